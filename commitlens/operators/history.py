@@ -7,6 +7,7 @@ one bucket to the next.
 """
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,7 +108,6 @@ def touches(changes: DataFrame, commits: DataFrame) -> DataFrame:
     )
 
 
-def all_keys_equal(left: str, right: str, keys) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(f"{left}.{k}") == F.col(f"{right}.{k}") for k in keys]
-    )
+def all_equal(keys, prefix: str) -> Column:
+    """Every key equals the column of the same name with ``prefix`` before it."""
+    return reduce(and_, [F.col(k) == F.col(prefix + k) for k in keys])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, text
-from commitlens.operators import ranges
+from commitlens.operators import history, ranges
 from commitlens.operators.change import for_requests
 from commitlens.schemas import CHANGE_KEY, MODIFIED
 
@@ -216,6 +216,53 @@ def functionchurn(t, requests=None, **options) -> DataFrame:
     return for_requests(counted, requests)
 
 
+def signature_sides(t) -> DataFrame:
+    """Every signature of the old or new version of a change, and on which side it is."""
+    names = t.functions.select("oid", "signature").distinct()
+    changes = t.changes.select(*CHANGE_KEY, "oid_before", "oid_after")
+
+    def side(column, flag):
+        version = names.withColumnRenamed("oid", column)
+        return changes.join(version, column).select(*CHANGE_KEY, "signature", F.lit(True).alias(flag))
+
+    both = side("oid_before", "b").join(side("oid_after", "a"), [*CHANGE_KEY, "signature"], "full_outer")
+    return both.select(
+        *CHANGE_KEY,
+        "signature",
+        F.coalesce("b", F.lit(False)).alias("in_before"),
+        F.coalesce("a", F.lit(False)).alias("in_after"),
+    )
+
+
+def function_line_overlap(t) -> DataFrame:
+    """Functions of the new version whose span meets a changed range."""
+    spans = t.changes.select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(t.functions, "oid")
+    hit = t.linechanges.select(*[F.col(k).alias(f"r_{k}") for k in CHANGE_KEY], "begin", "end")
+    same = history.all_equal(CHANGE_KEY, "r_")
+    meets = (F.col("begin") <= F.col("end_line")) & (F.col("end") >= F.col("begin_line"))
+    return spans.join(hit, same & meets, "left_semi").drop("oid")
+
+
+def line_in_function(t) -> DataFrame:
+    """(oid, ord, line) of every line of a function and whether it is blank or comment."""
+    spans = t.functions.select("oid", "ord", "begin_line", "end_line")
+    flags = line_flags(t.blobs, t.comments)
+    return (
+        flags.join(spans, "oid")
+        .select("oid", "ord", "commented", "blanks", F.explode(F.sequence("begin_line", "end_line")).alias("line"))
+        .select(
+            "oid", "ord", "line",
+            F.array_contains("commented", F.col("line").cast("int")).alias("is_comment"),
+            F.array_contains("blanks", F.col("line").cast("int")).alias("is_blank"),
+        )
+    )
+
+
+def comment_on_line(t) -> DataFrame:
+    """(oid, line) of the lines that hold nothing but comment."""
+    return line_flags(t.blobs, t.comments).select("oid", F.explode("commented").alias("line"))
+
+
 def _per_function(t, requests, name, measure, **options) -> DataFrame:
     bodies = ranges.function_lines(t.blobs, t.functions).select(
         "oid", "ord", "signature", F.array_join("lines", "\n").alias("body")
