@@ -54,15 +54,18 @@ def keyword_counts(text: Column, language: Column) -> Column:
     """
 
     def counted(words):
-        hits = F.filter(tokens(text), lambda t: t.isin(words))
-        pairs = F.transform(
-            F.array(*[F.lit(w) for w in words]),
-            lambda w: F.struct(
-                w.alias("word"),
-                F.size(F.filter(hits, lambda t: t == w)).cast("bigint").alias("n"),
-            ),
-        )
-        return F.filter(pairs, lambda p: p["n"] > 0)
+        def per_word(hits):
+            return F.transform(
+                F.array_intersect(F.array(*[F.lit(w) for w in words]), hits),
+                lambda w: F.struct(
+                    w.alias("word"),
+                    F.size(F.filter(hits, lambda t: t == w)).cast("bigint").alias("n"),
+                ),
+            )
+
+        # The one-element array names the hits, so that the text is cut up once.
+        hits = F.array(F.filter(tokens(text), lambda t: t.isin(words)))
+        return F.element_at(F.transform(hits, per_word), 1)
 
     result = F.lit(None)
     for name, words in KEYWORDS.items():

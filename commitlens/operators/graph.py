@@ -60,8 +60,7 @@ def author_touches(t, requests=None, names=None, extensions=None) -> DataFrame:
             .withColumnRenamed("sha", "till_sha")
         )
         rows = (
-            touched.join(tills, "project_id")
-            .filter(F.col("seq") <= F.col("till"))
+            history.join_until(tills, touched, ["project_id"])
             .withColumn("graph", F.struct("project_id", F.col("till_sha").alias("sha")))
         )
     return rows.groupBy("graph", "path", "author").agg(F.count(F.lit(1)).alias("weight"))
@@ -183,9 +182,10 @@ def collaboration_classes(touches: DataFrame):
     Returns ``(developers, files, members)``: ``developers`` (graph, v, size),
     ``files`` (graph, path, bundle) and ``members`` (graph, bundle, v).
     """
-    of_author = _classes(touches, "author", ["path"], "v")
+    touches = cut(touches)
+    of_author = cut(_classes(touches, "author", ["path"], "v"))
     developers = of_author.groupBy("graph", "v").agg(F.count(F.lit(1)).alias("size"))
-    by_class = touches.join(of_author, ["graph", "author"]).select("graph", "path", "v").distinct()
+    by_class = cut(touches.join(of_author, ["graph", "author"]).select("graph", "path", "v").distinct())
     files = _classes(by_class, "path", ["v"], "bundle")
     # The bundle is named by one of its paths, whose rows describe them all.
     members = by_class.withColumnRenamed("path", "bundle").join(

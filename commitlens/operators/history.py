@@ -100,6 +100,19 @@ def count_as_of(events: DataFrame, points: DataFrame, keys, name) -> DataFrame:
     return counted.filter(F.col("_point") == 1).select(*columns, name)
 
 
+def join_until(points: DataFrame, events: DataFrame, keys) -> DataFrame:
+    """Each point with all events of the same keys and ``seq`` not after its ``till``.
+
+    Points are spread over the buckets of history before them, so that the rows
+    of a hot key meet in many tasks.
+    """
+    bucket = "_bucket"
+    last = F.floor(F.col("till") / SEQ_BUCKET)
+    spread = points.withColumn(bucket, F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    dated = events.withColumn(bucket, F.floor(F.col("seq") / SEQ_BUCKET))
+    return spread.join(dated, [*keys, bucket]).filter(F.col("seq") <= F.col("till")).drop(bucket)
+
+
 def touches(changes: DataFrame, commits: DataFrame) -> DataFrame:
     """Change keys with their commit's position, time and author."""
     return changes.select("project_id", "sha", "path").join(

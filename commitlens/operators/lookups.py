@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions.parsing import parse_move
 from commitlens.functions.paths import module_of_path
+from commitlens.operators import history
 from commitlens.schemas import AUTHOR, CHANGE_KEY, DELETED
 
 class NotFound(Exception):
@@ -44,17 +45,13 @@ def get_commits_till(commits, requests, changes=None) -> DataFrame:
     asked = (
         requests.select(*keys)
         .distinct()
-        .join(commits.select(*COMMIT_KEY, F.col("seq").alias("till_seq")), COMMIT_KEY)
+        .join(commits.select(*COMMIT_KEY, F.col("seq").alias("till")), COMMIT_KEY)
         .withColumnRenamed("sha", "till_sha")
     )
     if changes is None:
-        return asked.join(commits, "project_id").filter(F.col("seq") <= F.col("till_seq")).drop("till_seq")
+        return history.join_until(asked, commits, ["project_id"]).drop("till")
     touching = changes.select(*CHANGE_KEY).join(commits, COMMIT_KEY)
-    return (
-        asked.join(touching, ["project_id", "path"])
-        .filter(F.col("seq") <= F.col("till_seq"))
-        .drop("till_seq")
-    )
+    return history.join_until(asked, touching, ["project_id", "path"]).drop("till")
 
 
 def get_change(changes: DataFrame, requests: DataFrame) -> DataFrame:

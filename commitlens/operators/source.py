@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commitlens.functions import paths, text
 from commitlens.operators import history, ranges
 from commitlens.operators.change import for_requests
-from commitlens.schemas import CHANGE_KEY, MODIFIED
+from commitlens.schemas import CHANGE_KEY, MODIFIED, NO_OID
 
 
 def _only_comment(line: Column, covered: Column) -> Column:
@@ -117,11 +117,19 @@ def last_wins(rows: DataFrame, columns) -> DataFrame:
     )
 
 
+def version_key(oid: str, wanted: Column) -> Column:
+    """Join key of a file version; one that matches nothing when there is none to read.
+
+    Missing versions may be a large share of all rows, so they get many keys.
+    """
+    none = F.concat(F.lit("none-"), F.pmod(F.xxhash64("sha", "path"), F.lit(4096)).cast("string"))
+    return F.when(wanted & (F.col(oid) != NO_OID), F.col(oid)).otherwise(none)
+
+
 def _of_changes(t, requests, measures: DataFrame, parsed_only: bool, how="left") -> DataFrame:
     """Join measures of versions to the changes that lead to them."""
-    changes = t.changes.select(*CHANGE_KEY, F.col("oid_after").alias("oid"))
-    if parsed_only:
-        changes = changes.withColumn("oid", F.when(paths.is_parsable(F.col("path")), F.col("oid")))
+    wanted = paths.is_parsable(F.col("path")) if parsed_only else F.lit(True)
+    changes = t.changes.select(*CHANGE_KEY, version_key("oid_after", wanted).alias("oid"))
     joined = changes.join(measures, "oid", how).drop("oid")
     return for_requests(joined, requests)
 
@@ -161,8 +169,8 @@ def functionchurn(t, requests=None, **options) -> DataFrame:
         F.collect_list(F.struct("signature", "begin_line", "end_line")).alias("functions")
     )
     # Empty and missing contents are never parsed.
-    readable = t.blobs.filter(F.col("content") != "").select("oid")
-    spans = spans.join(readable, "oid", "left_semi")
+    spans = spans.join(t.blobs.filter(F.col("content") != "").select("oid"), "oid", "left_semi")
+    readable = paths.is_supported(F.col("language")) & paths.is_parsable(F.col("path"))
     touched = t.linechanges.groupBy(*CHANGE_KEY).agg(
         F.collect_list(F.struct("begin", "end")).alias("ranges")
     )
@@ -173,8 +181,8 @@ def functionchurn(t, requests=None, **options) -> DataFrame:
             *CHANGE_KEY,
             "type",
             paths.is_supported(F.col("language")).alias("supported"),
-            F.when(paths.is_supported(F.col("language")) & paths.is_parsable(F.col("path")), F.col("oid_before")).alias("oid_before"),
-            F.when(paths.is_supported(F.col("language")) & paths.is_parsable(F.col("path")), F.col("oid_after")).alias("oid_after"),
+            version_key("oid_before", readable).alias("oid_before"),
+            version_key("oid_after", readable).alias("oid_after"),
         )
         .join(spans.select(F.col("oid").alias("oid_before"), F.col("functions").alias("before")), "oid_before", "left")
         .join(spans.select(F.col("oid").alias("oid_after"), F.col("functions").alias("after")), "oid_after", "left")

@@ -3,14 +3,14 @@
 from commitlens.functions import paths, text
 from commitlens.plans.catalog import SEED
 from commitlens.plans.queries import MIN_SIMILARITY, SOME_OWNER, WHITELIST_EXTENSIONS, WHITELIST_NAMES
-from commitlens.sources.testdata import BASE, NO_OID, VIEWS, duckdb_ctes, _used
+from commitlens.sources.testdata import VIEWS, duckdb_ctes, used_tables
 
 ORACLE: dict[str, str] = {}
 
 
 def add(name: str, sql: str, extra: str = "") -> None:
     """Register SQL; the derived tables it names are defined in front of it."""
-    used = _used(sql + extra, VIEWS)
+    used = used_tables(sql + extra, VIEWS)
     ctes = ",\n".join(part for part in (duckdb_ctes(*used) if used else "", extra) if part)
     ORACLE[name] = f"WITH {ctes}\n{sql}" if ctes else sql
 
@@ -108,14 +108,14 @@ add("get_commits_till_sha_path", """SELECT DISTINCT c.project_id, c.path, s.sha
 FROM requests r JOIN commits s ON s.project_id = r.project_id AND s.sha = r.sha
 JOIN touches c ON c.project_id = s.project_id AND c.path = r.path AND c.seq <= s.seq""", TOUCHES)
 REQUESTED = f"requests x LEFT JOIN changes y ON {SAME_KEY}"
-add("get_change", f"SELECT request_id, x.project_id, x.sha, x.path, type, oid_before, oid_after FROM {REQUESTED}".replace("FROM requests", "FROM requests"))
+add("get_change", f"SELECT request_id, x.project_id, x.sha, x.path, type, oid_before, oid_after FROM {REQUESTED}")
 add("get_changes", """SELECT h.project_id, h.sha, h.path, h.type, h.oid_before, h.oid_after FROM changes h
 WHERE EXISTS (SELECT 1 FROM requests r WHERE r.project_id = h.project_id AND r.sha = h.sha)""")
 add("get_delta", f"SELECT request_id, x.project_id, x.sha, x.path, insertions, deletions FROM {REQUESTED}")
 add("get_message", """SELECT request_id, r.project_id, r.sha, message
 FROM requests r LEFT JOIN messages m ON m.project_id = r.project_id AND m.sha = r.sha""")
 add("get_patch", f"SELECT request_id, x.project_id, x.sha, x.path, patch FROM requests x LEFT JOIN patches y ON {SAME_KEY}")
-add("get_linechanges", f"""SELECT {KEY}, kind, min(line) AS "begin", max(line) AS "end" FROM (
+add("get_linechanges", f"""SELECT {KEY}, kind, CAST(min(line) AS BIGINT) AS "begin", CAST(max(line) AS BIGINT) AS "end" FROM (
   SELECT *, line - row_number() OVER (PARTITION BY {KEY}, kind ORDER BY line) AS island FROM changed) c
 GROUP BY {KEY}, kind, island""", rf"""patch_lines AS (
   SELECT {KEY}, pos, ls[pos] AS txt, CASE WHEN ls[pos] LIKE '@@ -%' THEN pos END AS head
@@ -133,7 +133,6 @@ BY_LAST = f"""by_last AS (SELECT {KEY}, last_sha, min(line) AS "begin", max(line
 GROUP BY {KEY}, last_sha, island)"""
 add("get_lastmodifiers", """SELECT b.*, c.ts AS last_ts, c.author_name AS last_author_name, c.author_email AS last_author_email
 FROM by_last b JOIN commits c ON c.project_id = b.project_id AND c.sha = b.last_sha""", BY_LAST)
-MOVES = ORACLE["parse_move"].removeprefix("WITH ")
 add("get_moves", f"""SELECT c.project_id, c.sha, c.ts, c.author_name, c.author_email,
   string_agg(concat(m.source, ' -> ', m.destination), '; ' ORDER BY m.source, m.destination) AS moves
 FROM ({ORACLE["parse_move"]}) m JOIN commits c ON c.project_id = m.project_id AND c.sha = m.sha
@@ -293,13 +292,13 @@ QUALIFY row_number() OVER (PARTITION BY project_id, sha ORDER BY path) = 1""")
 
 # Graphs.  A developer's class is the set of paths the developer touched.
 DEVELOPERS = f"""{TOUCHES},
-touched AS (SELECT project_id, path, concat(author_name, '|', author_email) AS author, count(*) AS weight FROM touches GROUP BY ALL),
+touched AS (SELECT project_id, path, concat(author_name, chr(9), author_email) AS author, count(*) AS weight FROM touches GROUP BY ALL),
 path_sets AS (SELECT project_id, author, string_agg(path, ' ' ORDER BY path) AS paths FROM touched GROUP BY ALL),
 sized AS (SELECT project_id, author, min(author) OVER w AS name, count(*) OVER w AS size FROM path_sets
   WINDOW w AS (PARTITION BY project_id, paths)),
 members AS (SELECT DISTINCT t.project_id, t.path, s.name, s.size FROM touched t
   JOIN sized s ON s.project_id = t.project_id AND s.author = t.author),
-edges AS (SELECT x.project_id, x.name AS u, y.name AS v, x.size AS size_u, y.size AS size_v, x.path
+edges AS (SELECT x.project_id, replace(x.name, chr(9), '|') AS u, replace(y.name, chr(9), '|') AS v, x.size AS size_u, y.size AS size_v, x.path
   FROM members x JOIN members y ON x.project_id = y.project_id AND x.path = y.path
     AND (x.name < y.name OR x.name = y.name AND x.size > 1))"""
 add("collab_edges", "SELECT * FROM edges", DEVELOPERS)

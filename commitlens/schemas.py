@@ -18,5 +18,8 @@ REQUESTS = (
     "name STRING, email STRING"
 )
 
+# Fixed value: the object id git prints for a side that does not exist.
+NO_OID = "0" * 40
+
 CHANGE_KEY = ["project_id", "sha", "path"]
 AUTHOR = ["author_name", "author_email"]

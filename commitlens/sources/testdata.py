@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commitlens.operators import history
+from commitlens.session import scratch
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-NO_OID = "0" * 40
 
 
 def _sha(x):
@@ -176,7 +176,7 @@ def _render(sql: str, dialect: dict) -> str:
     return sql.replace("{{", "{").replace("}}", "}")
 
 
-def _used(sql: str, names) -> list[str]:
+def used_tables(sql: str, names) -> list[str]:
     return [n for n in names if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
 
 
@@ -186,7 +186,7 @@ def duckdb_ctes(*names: str) -> str:
 
     def visit(name):
         if name not in ordered:
-            for dependency in _used(VIEWS[name], VIEWS):
+            for dependency in used_tables(VIEWS[name], VIEWS):
                 visit(dependency)
             ordered.append(name)
 
@@ -195,6 +195,10 @@ def duckdb_ctes(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_render(VIEWS[n], _DUCKDB)})" for n in ordered)
 
 
+STORED = {"commits", "changes", "path_history", "linechanges", "blame"}
+_PATHS: dict[tuple, str] = {}
+
+
 class Tables:
     """The derived tables of one test-data folder as lazy DataFrames."""
 
@@ -210,7 +214,15 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._built:
-            self._built[name] = self._build(name)
+            frame = self._build(name)
+            if name in STORED:
+                # A table that an ingest job would have written; made once per session.
+                key = (self.spark.sparkContext.applicationId, self.folder, name)
+                if key not in _PATHS:
+                    _PATHS[key] = scratch(self.spark, name)
+                    frame.write.parquet(_PATHS[key])
+                frame = self.spark.read.parquet(_PATHS[key])
+            self._built[name] = frame
         return self._built[name]
 
     def _build(self, name: str) -> DataFrame:
@@ -223,8 +235,8 @@ class Tables:
                 {"nth": F.lit(1)},
             ).select("project_id", "sha", "path", "nth")
         sql = VIEWS[name]
-        ctes = [f"{b} AS (SELECT * FROM parquet.`{self.folder}/{b}.parquet`)" for b in _used(sql, BASE)]
-        for dependency in _used(sql, VIEWS):
+        ctes = [f"{b} AS (SELECT * FROM parquet.`{self.folder}/{b}.parquet`)" for b in used_tables(sql, BASE)]
+        for dependency in used_tables(sql, VIEWS):
             view = f"commitlens_{abs(hash(self.folder))}_{dependency}"
             self.table(dependency).createOrReplaceTempView(view)
             ctes.append(f"{dependency} AS (SELECT * FROM {view})")

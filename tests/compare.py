@@ -45,10 +45,12 @@ def compare(spark, con, folder, run, sql):
     columns = [d[0] for d in cursor.description]
     expected = cursor.fetchall()
     sql_time = time.time() - started
+    kinds = {d[0]: str(d[1]) for d in cursor.description}
+    odd = {c: k for c, k in kinds.items() if "HUGEINT" in k or "DECIMAL" in k}
     same_columns = sorted(columns) == sorted(frame.columns)
     n, h, got = digest(rows, frame.columns)
     m, k, wanted = digest(expected, columns)
-    note = "" if same_columns else f"columns {sorted(frame.columns)} <> {sorted(columns)}"
+    note = str(odd or "") if same_columns else f"columns {sorted(frame.columns)} <> {sorted(columns)}"
     if same_columns and h != k:
         here, there = set(got), set(wanted)
         note = f"only spark {[x[:300] for x in sorted(here - there)[:3]]} only sql {[x[:300] for x in sorted(there - here)[:3]]}"
