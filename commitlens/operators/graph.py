@@ -6,10 +6,13 @@ takes, so scores stay exact while the many developers who touched only one hot
 file, or the many files of one large commit, shrink to single vertices.  Pairs
 are formed between classes only, never between all members of a group.
 
-Column ``graph`` names the graph a row belongs to; all graphs are solved in the
-same rounds.
+Column ``graph`` names the graph a row belongs to.  A graph below a fixed size is
+solved inside one task, many graphs side by side; all larger ones are solved by
+joins, a row per (source, vertex), in the same rounds.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ from commitlens.session import cut
 # Each unordered pair of vertices is met once from either end.
 PAIR_SHARE = 0.5
 
+# A graph is small when its vertices, and vertices times edges, stay below these.
+SMALL_VERTICES = 512
+SMALL_WORK = 2_000_000
+
 
 def _fingerprint(*columns):
     """Order-free digest of a group's rows, built with partial aggregation."""
@@ -74,9 +81,115 @@ def numbered(vertices: DataFrame) -> DataFrame:
     return cut(cut(vertices).withColumn("id", F.monotonically_increasing_id()))
 
 
-def both_ways(one_way: DataFrame) -> DataFrame:
-    return one_way.select("u", "v", "w").unionByName(
-        one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")
+def betweenness(vertices: DataFrame, edges: DataFrame, small=(SMALL_VERTICES, SMALL_WORK)):
+    """Edge scores (u, v, score) and vertex scores (id, score) of all graphs.
+
+    ``vertices`` has (graph, id, size) and ``edges`` each edge once as (graph, u, v, w),
+    w > 0.  Vertices without an edge have no score.
+    """
+    order = vertices.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
+    sizes = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("m")).join(order, "graph")
+    is_small = (F.col("n") <= small[0]) & (F.col("n") * F.col("m") <= small[1])
+    marked = cut(sizes.select("graph", is_small.alias("is_small")))
+    little, large = marked.filter("is_small"), marked.filter("NOT is_small")
+    scores = _small_scores(vertices, edges.join(little, "graph", "left_semi"))
+    if not large.isEmpty():
+        scores = scores.unionByName(
+            _large_scores(
+                vertices.join(large, "graph", "left_semi"), edges.join(large, "graph", "left_semi")
+            )
+        )
+    scores = cut(scores.withColumn("score", F.col("score") * PAIR_SHARE))
+    of_vertices = scores.filter(F.col("u") == F.col("v")).select(F.col("u").alias("id"), "score")
+    return scores.filter(F.col("u") != F.col("v")), of_vertices
+
+
+def _small_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    sized = edges.join(
+        vertices.select(F.col("id").alias("u"), F.col("size").alias("size_u")), "u"
+    ).join(vertices.select(F.col("id").alias("v"), F.col("size").alias("size_v")), "v")
+    flat = sized.select("graph.project_id", "graph.sha", "u", "v", "w", "size_u", "size_v")
+    return flat.groupBy("project_id", "sha").applyInPandas(
+        solve_small, "u bigint, v bigint, score double"
+    )
+
+
+def solve_small(edges: pd.DataFrame) -> pd.DataFrame:
+    """Dependencies summed over all sources of one small graph.
+
+    Rows (u, v, score) for each edge and (v, v, score) for each vertex.
+    """
+    names, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    n, m = len(names), len(edges)
+    first, second = ends[:m], ends[m:]
+    tail, head = np.concatenate([first, second]), np.concatenate([second, first])
+    length = np.tile(edges["w"].to_numpy(float), 2)
+    size = np.ones(n)
+    size[first], size[second] = edges["size_u"], edges["size_v"]
+
+    distance = np.full((n, n), np.inf)
+    distance[tail, head] = length
+    np.fill_diagonal(distance, 0)
+    for k in range(n):
+        np.minimum(distance, distance[:, k : k + 1] + distance[k], out=distance)
+
+    # Links of the shortest-path DAG of every source, nearest first.
+    near = distance[:, tail]
+    source, edge = np.nonzero((near + length == distance[:, head]) & np.isfinite(near))
+    reached = distance[source, head[edge]]
+    nearest = np.argsort(reached, kind="stable")
+    source, edge, reached = source[nearest], edge[nearest], reached[nearest]
+    starts = np.flatnonzero(np.r_[True, reached[1:] != reached[:-1]]).tolist()
+    layers = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(reached)])]
+    at_tail, at_head = source * n + tail[edge], source * n + head[edge]
+    from_source = tail[edge] == source
+
+    sigma = np.eye(n).ravel()
+    copies = np.where(from_source, 1, size[tail[edge]])
+    for layer in layers:
+        np.add.at(sigma, at_head[layer], sigma[at_tail[layer]] * copies[layer])
+    beyond = np.zeros(n * n)
+    for layer in reversed(layers):
+        met = at_head[layer]
+        np.add.at(beyond, at_tail[layer], size[head[edge[layer]]] * (1 / sigma[met] + beyond[met]))
+
+    # A link that leaves the source itself belongs to one member of its class.
+    members = np.where(from_source, 1, size[source])
+    through = members * sigma[at_tail] * (1 / sigma[at_head] + beyond[at_head])
+    of_edge = np.bincount(edge, through, 2 * m)
+    depends = (size[:, None] * (sigma * beyond).reshape(n, n)) * (1 - np.eye(n))
+    return pd.DataFrame(
+        {
+            "u": np.concatenate([edges["u"], names]),
+            "v": np.concatenate([edges["v"], names]),
+            "score": np.concatenate([of_edge[:m] + of_edge[m:], depends.sum(axis=0)]),
+        }
+    )
+
+
+def _large_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same scores by joins, a row per source and vertex."""
+    one_way = edges.select("u", "v", "w")
+    both = cut(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    vertices = cut(vertices.select("id", "size"))
+    links, nodes = path_counts(both, vertices)
+    # A link that leaves s itself belongs to one member of s, any other to all.
+    weight = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_s"))
+    of_links = (
+        links.join(nodes.select("s", F.col("v").alias("u"), F.col("sigma").alias("sigma_u")), ["s", "u"])
+        .join(nodes, ["s", "v"])
+        .select("u", "v", (weight * F.col("sigma_u") * (1 / F.col("sigma") + F.col("beyond"))).alias("score"))
+    )
+    directed = of_links.unionByName(of_links.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
+    of_edges = one_way.join(directed.groupBy("u", "v").agg(F.sum("score").alias("score")), ["u", "v"])
+    of_vertices = (
+        nodes.filter(F.col("v") != F.col("s"))
+        .join(vertices.select(F.col("id").alias("s"), F.col("size").alias("size_s")), "s")
+        .groupBy("v")
+        .agg(F.sum(F.col("size_s") * F.col("sigma") * F.col("beyond")).alias("score"))
+    )
+    return of_edges.select("u", "v", "score").unionByName(
+        of_vertices.select(F.col("v").alias("u"), "v", "score")
     )
 
 
@@ -112,12 +225,12 @@ def shortest_paths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return state.drop("improved")
 
 
-def path_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Links (s, u, v) of all shortest-path DAGs with what betweenness needs.
+def path_counts(edges: DataFrame, vertices: DataFrame):
+    """Links (s, u, v, size_s) of all shortest-path DAGs, and nodes (s, v, sigma, beyond).
 
-    ``vertices`` has ``id`` and ``size``.  ``sigma_u``/``sigma_v`` are numbers of
-    shortest paths from one member of s to one member of u or v, ``beyond`` is the
-    dependency of s on one member of v divided by ``sigma_v``.
+    ``vertices`` has ``id`` and ``size``.  ``sigma`` is the number of shortest paths
+    from one member of s to one member of v, ``beyond`` the dependency of s on one
+    member of v divided by ``sigma``.
     """
     distances = shortest_paths(edges, vertices)
     sizes = vertices.select("id", "size")
@@ -146,15 +259,10 @@ def path_counts(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         ),
         keep_start=False,
     )
-    known = sigma.withColumnRenamed("n", "sigma").join(
+    nodes = sigma.withColumnRenamed("n", "sigma").join(
         backward.withColumnRenamed("n", "beyond"), ["s", "v"], "left"
     )
-    return links.join(
-        sigma.select("s", F.col("v").alias("u"), F.col("n").alias("sigma_u")), ["s", "u"]
-    ).join(
-        known.select("s", "v", F.col("sigma").alias("sigma_v"), F.coalesce("beyond", F.lit(0.0)).alias("beyond")),
-        ["s", "v"],
-    )
+    return links, cut(nodes.select("s", "v", "sigma", F.coalesce("beyond", F.lit(0.0)).alias("beyond")))
 
 
 def _propagate(start: DataFrame, links: DataFrame, keep_start: bool) -> DataFrame:
@@ -223,7 +331,9 @@ def collab_edges(t, requests=None, names=None, extensions=None, **options) -> Da
     )
 
 
-def collaboration(t, requests=None, names=None, extensions=None, **options) -> DataFrame:
+def collaboration(
+    t, requests=None, names=None, extensions=None, small=(SMALL_VERTICES, SMALL_WORK), **options
+) -> DataFrame:
     """Per path the greatest edge betweenness among developers who share it.
 
     Null for a path that fewer than two developers touched.
@@ -234,26 +344,15 @@ def collaboration(t, requests=None, names=None, extensions=None, **options) -> D
     inside = cut(
         members.join(vertices.select("graph", "v", "id", "size"), ["graph", "v"])
         .join(bundles, ["graph", "bundle"])
-        .select("b", "id", "size")
+        .select("graph", "b", "id", "size")
     )
     pairs = cut(
-        inside.select("b", F.col("id").alias("u"))
+        inside.select("graph", "b", F.col("id").alias("u"))
         .join(inside.select("b", F.col("id").alias("v")), "b")
         .filter(F.col("u") < F.col("v"))
     )
-    edges = cut(both_ways(pairs.select("u", "v").distinct().withColumn("w", F.lit(1))))
-    # A link that leaves s itself belongs to one member of s, any other to all.
-    weight = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_s"))
-    scored = (
-        path_counts(edges, vertices)
-        .select(
-            F.least("u", "v").alias("u"),
-            F.greatest("u", "v").alias("v"),
-            (weight * F.col("sigma_u") * (1 / F.col("sigma_v") + F.col("beyond"))).alias("score"),
-        )
-        .groupBy("u", "v")
-        .agg((F.sum("score") * PAIR_SHARE).alias("score"))
-    )
+    edges = cut(pairs.select("graph", "u", "v").distinct().withColumn("w", F.lit(1).cast("bigint")))
+    scored, _ = betweenness(vertices, edges, small)
     across = pairs.join(scored, ["u", "v"]).select("b", "score")
     # Two members of one class are linked directly and serve no other pair.
     within = inside.filter(F.col("size") > 1).select("b", F.lit(1.0).alias("score"))
@@ -280,7 +379,10 @@ def contrib_edges(t, requests=None, names=None, extensions=None, **options) -> D
     return author_touches(t, requests, names, extensions)
 
 
-def contribution(t, requests=None, names=None, extensions=None, closeness=False, **options) -> DataFrame:
+def contribution(
+    t, requests=None, names=None, extensions=None, closeness=False,
+    small=(SMALL_VERTICES, SMALL_WORK), **options
+) -> DataFrame:
     """Weighted betweenness of every file in the developer-file graph.
 
     The number of commits is the length of an edge.  ``closeness=True`` turns it
@@ -314,30 +416,23 @@ def contribution(t, requests=None, names=None, extensions=None, closeness=False,
         touches.select("graph", F.col("author").alias("author_class"), F.col("path").alias("path_class"), "weight")
         .join(author_ids, ["graph", "author_class"])
         .join(file_ids, ["graph", "path_class"])
-        .select("u", "v", F.col("weight").alias("w"))
-    )
-    edges = cut(both_ways(one_way))
-    through = (
-        path_counts(edges, vertices)
-        .filter(F.col("u") != F.col("s"))
-        .select(
-            F.col("u").alias("id"),
-            (
-                F.col("size_s") * F.col("sigma_u") * F.col("size_v")
-                * (1 / F.col("sigma_v") + F.col("beyond"))
-            ).alias("score"),
-        )
+        .select("graph", "u", "v", F.col("weight").alias("w"))
     )
+    edges = cut(one_way)
+    _, through = betweenness(vertices, edges, small)
     # Members of one class reach each other over their nearest neighbours.
     twins = vertices.filter(F.col("size") > 1).select(F.col("id").alias("u"), F.col("size").alias("twins"))
-    nearest = edges.join(twins, "u").groupBy("u", "twins").agg(F.min("w").alias("w"))
-    between = cut(edges.join(nearest, ["u", "w"]).join(vertices.select(F.col("id").alias("v"), "size"), "v"))
+    ways = edges.select("u", "v", "w").unionByName(
+        edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")
+    )
+    nearest = ways.join(twins, "u").groupBy("u", "twins").agg(F.min("w").alias("w"))
+    between = cut(ways.join(nearest, ["u", "w"]).join(vertices.select(F.col("id").alias("v"), "size"), "v"))
     routes = between.groupBy("u").agg(F.sum("size").alias("routes"))
     shared = between.join(routes, "u").select(
         F.col("v").alias("id"),
-        (F.col("twins") * (F.col("twins") - 1) / F.col("routes")).alias("score"),
+        (F.col("twins") * (F.col("twins") - 1) / F.col("routes") * PAIR_SHARE).alias("score"),
     )
-    scores = through.unionByName(shared).groupBy("id").agg((F.sum("score") * PAIR_SHARE).alias("score"))
+    scores = through.unionByName(shared).groupBy("id").agg(F.sum("score").alias("score"))
     measured = (
         files.join(file_ids.withColumnRenamed("v", "id"), ["graph", "path_class"])
         .join(scores, "id", "left")

@@ -29,17 +29,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and replace its lineage by a reliable checkpoint."""
-    context = df.sparkSession.sparkContext
-    folder = shared_dir(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Compute ``df`` once: write it to the shared folder as parquet and read it back.
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as parquet and read it back."""
+    Unlike a checkpoint the table has a known size, so a join with it is
+    broadcast only where Spark has checked that it fits.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
