@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions.parsing import parse_move
 from commitlens.functions.paths import module_of_path
-from commitlens.operators import history
+from commitlens.operators import dag, history
 from commitlens.schemas import AUTHOR, CHANGE_KEY, DELETED
 
 class NotFound(Exception):
@@ -35,23 +35,25 @@ def get_commits(commits, changes=None, path_requests=None) -> DataFrame:
     return touched.select(*CHANGE_KEY).join(commits, COMMIT_KEY)
 
 
-def get_commits_till(commits, requests, changes=None) -> DataFrame:
-    """Commits at or before each requested (project, sha), in linear history.
+def get_commits_till(t, requests, to_path=False, merges=False) -> DataFrame:
+    """Commits at or before each requested (project, sha).
 
-    With ``changes`` the requests carry a path and only commits touching it are
+    With ``merges`` that means reachable, otherwise not later in linear history.
+    With ``to_path`` the requests carry a path and only commits touching it are
     kept.  The request's sha is returned as ``till_sha``.
     """
-    keys = COMMIT_KEY if changes is None else CHANGE_KEY
-    asked = (
-        requests.select(*keys)
-        .distinct()
-        .join(commits.select(*COMMIT_KEY, F.col("seq").alias("till")), COMMIT_KEY)
-        .withColumnRenamed("sha", "till_sha")
-    )
-    if changes is None:
-        return history.join_until(asked, commits, ["project_id"]).drop("till")
-    touching = changes.select(*CHANGE_KEY).join(commits, COMMIT_KEY)
-    return history.join_until(asked, touching, ["project_id", "path"]).drop("till")
+    keys = CHANGE_KEY if to_path else COMMIT_KEY
+    points = requests.select(*keys).distinct()
+    facts = t.changes.select(*CHANGE_KEY).join(t.commits, COMMIT_KEY) if to_path else t.commits
+    if merges:
+        reached = dag.Reached(t, requests)
+        if not to_path:
+            return reached.join(facts)
+        return reached.join(facts, points.withColumnRenamed("sha", "till_sha"), ["path"])
+    asked = points.join(
+        t.commits.select(*COMMIT_KEY, F.col("seq").alias("till")), COMMIT_KEY
+    ).withColumnRenamed("sha", "till_sha")
+    return history.join_until(asked, facts, [k for k in keys if k != "sha"]).drop("till")
 
 
 def get_change(changes: DataFrame, requests: DataFrame) -> DataFrame:

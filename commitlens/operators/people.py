@@ -1,9 +1,14 @@
-"""Metrics of people and history: past changes and authors, ownership, offenders."""
+"""Metrics of people and history: past changes and authors, ownership, offenders.
+
+Requests may name any commit of a project, also one that does not touch the path.
+With ``merges=True`` "up to the commit" means reachable through ``commit_parents``;
+otherwise history is taken as linear, in the order of ``seq``.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.operators import history, ranges
+from commitlens.operators import dag, history, ranges
 from commitlens.operators.change import for_requests
 from commitlens.schemas import AUTHOR, CHANGE_KEY
 
@@ -20,8 +25,26 @@ def _placed(t, requests, extra=()):
     )
 
 
-def pastchanges(t, requests=None, **options) -> DataFrame:
+def _own_changes(t, requests):
+    """All change keys stand in for requests that were not given."""
+    return t.changes.select(*CHANGE_KEY) if requests is None else requests
+
+
+def _till(keys: DataFrame) -> DataFrame:
+    return keys.withColumnRenamed("sha", "till_sha")
+
+
+def pastchanges(t, requests=None, merges=False, **options) -> DataFrame:
     """Changes of the path up to the commit, less one for the commit itself."""
+    if merges:
+        asked = _own_changes(t, requests).select(*CHANGE_KEY).distinct()
+        reached = dag.Reached(t, asked)
+        counts = reached.count(t.changes.select(*CHANGE_KEY), _till(asked), ["path"], "n")
+        measures = counts.select(
+            "project_id", F.col("till_sha").alias("sha"), "path",
+            F.greatest(F.col("n") - 1, F.lit(0)).cast("bigint").alias("pastchanges"),
+        )
+        return for_requests(measures, requests)
     touches = history.touches(t.changes, t.commits).select(*CHANGE_KEY, "seq")
     if requests is None:
         counted = history.running(touches, PATH, {"n": F.lit(1)})
@@ -34,8 +57,31 @@ def pastchanges(t, requests=None, **options) -> DataFrame:
     return for_requests(measures, requests)
 
 
-def pastauthors(t, requests=None, **options) -> DataFrame:
+def pastauthors(t, requests=None, merges=False, **options) -> DataFrame:
     """Distinct authors of the path up to the commit, its own author left out."""
+    if merges:
+        asked = _own_changes(t, requests).select(*CHANGE_KEY).distinct()
+        reached = dag.Reached(t, asked)
+        touches = reached.with_position(history.touches(t.changes, t.commits).select(*CHANGE_KEY, *AUTHOR))
+        firsts = touches.groupBy(*PATH, *AUTHOR, "chain").agg(F.min("seq").alias("first"))
+        authors = (
+            reached.till.join(_till(asked), ["project_id", "till_sha"])
+            .join(firsts, [*PATH, "chain"])
+            .filter(F.col("first") <= F.col("till"))
+            .select("project_id", F.col("till_sha").alias("sha"), "path", F.struct(*AUTHOR).alias("author"))
+            .distinct()
+        )
+        own = t.commits.select(*COMMIT, F.struct(*AUTHOR).alias("own"))
+        others = (
+            authors.join(own, COMMIT)
+            .filter(F.col("author") != F.col("own"))
+            .groupBy(*CHANGE_KEY)
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+        measures = asked.join(t.commits.select(*COMMIT), COMMIT, "left_semi").join(others, CHANGE_KEY, "left")
+        return for_requests(
+            measures.select(*CHANGE_KEY, F.coalesce("n", F.lit(0)).cast("bigint").alias("pastauthors")), requests
+        )
     touches = history.touches(t.changes, t.commits).select(*CHANGE_KEY, "seq", *AUTHOR)
     firsts = touches.groupBy(*PATH, *AUTHOR).agg(F.min("seq").alias("first_seq"))
     if requests is None:
@@ -59,12 +105,28 @@ def pastauthors(t, requests=None, **options) -> DataFrame:
     return for_requests(measures, requests)
 
 
-def ownership(t, requests=None, **options) -> DataFrame:
+def ownership(t, requests=None, merges=False, **options) -> DataFrame:
     """Share of all commits up to the commit made by the named developer.
 
     Without requests: the share of each commit's own author.
     """
     developer = ["project_id", *AUTHOR]
+    if merges:
+        named = requests is not None
+        asked = (
+            requests.withColumnsRenamed({"name": "author_name", "email": "author_email"})
+            if named else t.commits
+        ).select(*COMMIT, *AUTHOR).distinct()
+        reached = dag.Reached(t, asked)
+        counts = reached.count(t.commits.select(*COMMIT, *AUTHOR), _till(asked), AUTHOR, "n")
+        totals = reached.till.groupBy("project_id", "till_sha").agg(F.sum("till").alias("total"))
+        labels = ["name", "email"] if named else AUTHOR
+        measures = counts.join(totals, ["project_id", "till_sha"]).select(
+            "project_id", F.col("till_sha").alias("sha"),
+            *[F.col(c).alias(label) for c, label in zip(AUTHOR, labels)],
+            (F.col("n") / F.col("total")).alias("ownership"),
+        )
+        return for_requests(measures, requests, [*COMMIT, *labels])
     if requests is None:
         counted = history.running(t.commits, developer, {"n": F.lit(1)})
         return counted.select(*COMMIT, *AUTHOR, (F.col("n") / F.col("seq")).alias("ownership"))

@@ -107,6 +107,38 @@ JOIN commits c ON c.project_id = s.project_id AND c.seq <= s.seq""")
 add("get_commits_till_sha_path", """SELECT DISTINCT c.project_id, c.path, s.sha AS till_sha, c.sha, c.ts, c.author_name, c.author_email
 FROM requests r JOIN commits s ON s.project_id = r.project_id AND s.sha = r.sha
 JOIN touches c ON c.project_id = s.project_id AND c.path = r.path AND c.seq <= s.seq""", TOUCHES)
+# Everything a commit reaches, itself included, by walking parents.
+REACHED = """RECURSIVE walk AS (
+  SELECT project_id, sha AS till_sha, sha FROM commits
+  UNION
+  SELECT w.project_id, w.till_sha, p.parent_sha AS sha FROM walk w JOIN commit_parents p ON p.project_id = w.project_id AND p.sha = w.sha)"""
+
+
+def add_recursive(name: str, sql: str, *tables: str) -> None:
+    ctes = duckdb_ctes("commits", "commit_parents", *tables)
+    ORACLE[name] = f"WITH RECURSIVE {ctes},\n{REACHED.removeprefix('RECURSIVE ')}\n{sql}"
+
+
+add_recursive("get_commits_till_sha_merges", """SELECT DISTINCT c.project_id, w.till_sha, c.sha, c.ts, c.author_name, c.author_email
+FROM requests r JOIN walk w ON w.project_id = r.project_id AND w.till_sha = r.sha
+JOIN commits c ON c.project_id = w.project_id AND c.sha = w.sha""", "requests")
+add_recursive("get_commits_till_sha_path_merges", """SELECT DISTINCT c.project_id, h.path, w.till_sha, c.sha, c.ts, c.author_name, c.author_email
+FROM requests r JOIN walk w ON w.project_id = r.project_id AND w.till_sha = r.sha
+JOIN changes h ON h.project_id = w.project_id AND h.sha = w.sha AND h.path = r.path
+JOIN commits c ON c.project_id = w.project_id AND c.sha = w.sha""", "requests", "changes")
+add_recursive("pastchanges_merges", """SELECT x.project_id, x.sha, x.path, greatest(count(y.sha) - 1, 0) AS pastchanges
+FROM changes x JOIN walk w ON w.project_id = x.project_id AND w.till_sha = x.sha
+LEFT JOIN changes y ON y.project_id = w.project_id AND y.sha = w.sha AND y.path = x.path GROUP BY ALL""", "changes")
+add_recursive("pastauthors_merges", """SELECT x.project_id, x.sha, x.path, count(DISTINCT CASE
+    WHEN c.author_name <> o.author_name OR c.author_email <> o.author_email THEN concat(c.author_name, '|', c.author_email) END) AS pastauthors
+FROM changes x JOIN commits o ON o.project_id = x.project_id AND o.sha = x.sha
+JOIN walk w ON w.project_id = x.project_id AND w.till_sha = x.sha
+JOIN changes y ON y.project_id = w.project_id AND y.sha = w.sha AND y.path = x.path
+JOIN commits c ON c.project_id = y.project_id AND c.sha = y.sha GROUP BY ALL""", "changes")
+add_recursive("ownership_merges", """SELECT r.request_id, r.project_id, r.sha, r.name, r.email,
+  round(count(*) FILTER (WHERE c.author_name = r.name AND c.author_email = r.email) / count(*), 6) AS ownership
+FROM requests r JOIN walk w ON w.project_id = r.project_id AND w.till_sha = r.sha
+JOIN commits c ON c.project_id = w.project_id AND c.sha = w.sha GROUP BY ALL""", "requests")
 REQUESTED = f"requests x LEFT JOIN changes y ON {SAME_KEY}"
 add("get_change", f"SELECT request_id, x.project_id, x.sha, x.path, type, oid_before, oid_after FROM {REQUESTED}")
 add("get_changes", """SELECT h.project_id, h.sha, h.path, h.type, h.oid_before, h.oid_after FROM changes h

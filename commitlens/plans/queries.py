@@ -196,13 +196,25 @@ def get_commits_path(t):
 
 @query
 def get_commits_till_sha(t):
-    found = lookups.get_commits_till(t.commits, t.requests)
+    found = lookups.get_commits_till(t, t.requests)
     return found.select("project_id", "till_sha", "sha", "ts", *AUTHOR)
 
 
 @query
 def get_commits_till_sha_path(t):
-    found = lookups.get_commits_till(t.commits, t.requests, t.changes)
+    found = lookups.get_commits_till(t, t.requests, to_path=True)
+    return found.select("project_id", "path", "till_sha", "sha", "ts", *AUTHOR)
+
+
+@query
+def get_commits_till_sha_merges(t):
+    found = lookups.get_commits_till(t, t.requests, merges=True)
+    return found.select("project_id", "till_sha", "sha", "ts", *AUTHOR)
+
+
+@query
+def get_commits_till_sha_path_merges(t):
+    found = lookups.get_commits_till(t, t.requests, to_path=True, merges=True)
     return found.select("project_id", "path", "till_sha", "sha", "ts", *AUTHOR)
 
 
@@ -400,6 +412,22 @@ def ownership_of_authors(t):
     return people.ownership(t).withColumn("ownership", F.round("ownership", 6))
 
 
+@query
+def pastchanges_merges(t):
+    return people.pastchanges(t, merges=True)
+
+
+@query
+def pastauthors_merges(t):
+    return people.pastauthors(t, merges=True)
+
+
+@query
+def ownership_merges(t):
+    asked = t.requests.select("request_id", "project_id", "sha", "name", "email")
+    return people.ownership(t, asked, merges=True).withColumn("ownership", F.round("ownership", 6))
+
+
 @query
 def interactivechurn(t):
     return people.interactivechurn(t).withColumn("interactivechurn", F.round("interactivechurn", 6))

@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.operators import history
+from commitlens.operators import dag, history
 from commitlens.session import scratch
 
 BASE = (
@@ -73,10 +73,11 @@ FROM orders""",
 SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, sha) AS seq FROM unordered_commits""",
     "commit_parents": """
 SELECT c.project_id, c.sha, p.sha AS parent_sha, 1 AS parent_no
-FROM commits c JOIN commits p ON p.project_id = c.project_id AND p.seq = c.seq - 1
+FROM commits c JOIN commits p ON p.project_id = c.project_id AND p.seq = c.seq - CASE WHEN c.seq % 10 IN (3, 4, 6) THEN 2 ELSE 1 END
 UNION ALL
 SELECT c.project_id, c.sha, p.sha AS parent_sha, 2 AS parent_no
-FROM commits c JOIN commits p ON p.project_id = c.project_id AND p.seq = c.seq - 3 WHERE c.seq % 10 = 0""",
+FROM commits c JOIN commits p ON p.project_id = c.project_id AND p.seq = c.seq - CASE WHEN c.seq % 10 = 8 THEN 3 ELSE 6 END
+WHERE c.seq % 10 IN (8, 9)""",
     "changed_items": """
 SELECT l_orderkey % (SELECT count(*) FROM supplier) AS project_id, l_orderkey AS okey,
   l_partkey - l_partkey % (SELECT count(*) FROM supplier) + l_orderkey % (SELECT count(*) FROM supplier) AS pkey,
@@ -195,7 +196,7 @@ def duckdb_ctes(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_render(VIEWS[n], _DUCKDB)})" for n in ordered)
 
 
-STORED = {"commits", "changes", "path_history", "linechanges", "blame"}
+STORED = {"commits", "commit_parents", "commit_chains", "changes", "path_history", "linechanges", "blame"}
 _PATHS: dict[tuple, str] = {}
 
 
@@ -208,7 +209,7 @@ class Tables:
         self._built: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name not in VIEWS:
+        if name not in VIEWS and name not in STORED:
             raise AttributeError(name)
         return self.table(name)
 
@@ -228,6 +229,8 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name == "commits":
             return history.history_order(self.table("unordered_commits"))
+        if name == "commit_chains":
+            return dag.chains(self.table("commits"), self.table("commit_parents"))
         if name == "path_history":
             return history.running(
                 history.touches(self.table("changes"), self.table("commits")),
