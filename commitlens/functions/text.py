@@ -44,7 +44,7 @@ def tokens(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Distinct tokens in code point order; null for null, empty for empty."""
-    return F.array_sort(F.array_distinct(tokens(text)))
+    return F.sort_array(F.array_distinct(tokens(text)))
 
 
 def keyword_counts(text: Column, language: Column) -> Column:

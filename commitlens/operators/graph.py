@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.paths import path_whitelist
-from commitlens.operators import history
+from commitlens.operators import dag, history
 from commitlens.operators.change import for_requests
 from commitlens.schemas import AUTHOR
 from commitlens.session import cut
@@ -49,16 +49,25 @@ def _classes(rows: DataFrame, member: str, neighbour: list[str], name: str) -> D
     return digests.join(named, ["graph", "digest"]).select("graph", member, name)
 
 
-def author_touches(t, requests=None, names=None, extensions=None) -> DataFrame:
+def author_touches(t, requests=None, whitelist=None, merges=False) -> DataFrame:
     """Whitelisted (graph, path, author) touches with their number of commits.
 
+    ``whitelist`` may hold ``names`` and ``extensions``, lists of regular expressions.
     One graph per project over its whole history or, with requests, one per
-    requested (project, sha) over the history up to that commit.
+    requested (project, sha) over the history up to that commit: in linear order or,
+    with ``merges``, as far as it is reachable.
     """
-    kept = t.changes.filter(path_whitelist(F.col("path"), names, extensions))
+    allowed = whitelist or {}
+    kept = t.changes.filter(
+        path_whitelist(F.col("path"), allowed.get("names"), allowed.get("extensions"))
+    )
     touched = history.touches(kept, t.commits).withColumn("author", F.struct(*AUTHOR))
     if requests is None:
         rows = touched.withColumn("graph", F.struct("project_id", F.lit(None).cast("string").alias("sha")))
+    elif merges:
+        rows = dag.Reached(t, requests).join(touched).withColumn(
+            "graph", F.struct("project_id", F.col("till_sha").alias("sha"))
+        )
     else:
         tills = (
             requests.select("project_id", "sha")
@@ -308,13 +317,13 @@ def class_pairs(members: DataFrame) -> DataFrame:
     return left.join(members, ["graph", "bundle"]).filter(F.col("u") < F.col("v"))
 
 
-def collab_edges(t, requests=None, names=None, extensions=None, **options) -> DataFrame:
+def collab_edges(t, requests=None, whitelist=None, merges=False, **options) -> DataFrame:
     """Edges of the developer graph in long form, one row per edge and shared file.
 
     An edge between classes u and v stands for ``size_u * size_v`` developer
     pairs, one from u to itself for the pairs within the class.
     """
-    developers, files, members = collaboration_classes(author_touches(t, requests, names, extensions))
+    developers, files, members = collaboration_classes(author_touches(t, requests, whitelist, merges))
     sizes = developers.select("graph", F.col("v").alias("u"), F.col("size").alias("size_u"))
     across = class_pairs(members)
     within = (
@@ -332,13 +341,13 @@ def collab_edges(t, requests=None, names=None, extensions=None, **options) -> Da
 
 
 def collaboration(
-    t, requests=None, names=None, extensions=None, small=(SMALL_VERTICES, SMALL_WORK), **options
+    t, requests=None, whitelist=None, merges=False, small=(SMALL_VERTICES, SMALL_WORK), **options
 ) -> DataFrame:
     """Per path the greatest edge betweenness among developers who share it.
 
     Null for a path that fewer than two developers touched.
     """
-    developers, files, members = collaboration_classes(author_touches(t, requests, names, extensions))
+    developers, files, members = collaboration_classes(author_touches(t, requests, whitelist, merges))
     vertices = numbered(developers)
     bundles = numbered(files.select("graph", "bundle").distinct()).withColumnRenamed("id", "b")
     inside = cut(
@@ -374,13 +383,13 @@ def _of_paths(scores: DataFrame, requests) -> DataFrame:
     return for_requests(measures, requests, ["project_id", "sha", "path"])
 
 
-def contrib_edges(t, requests=None, names=None, extensions=None, **options) -> DataFrame:
+def contrib_edges(t, requests=None, whitelist=None, merges=False, **options) -> DataFrame:
     """Developer-file edges with the number of commits as weight, files whitelisted."""
-    return author_touches(t, requests, names, extensions)
+    return author_touches(t, requests, whitelist, merges)
 
 
 def contribution(
-    t, requests=None, names=None, extensions=None, closeness=False,
+    t, requests=None, whitelist=None, merges=False, closeness=False,
     small=(SMALL_VERTICES, SMALL_WORK), **options
 ) -> DataFrame:
     """Weighted betweenness of every file in the developer-file graph.
@@ -388,7 +397,7 @@ def contribution(
     The number of commits is the length of an edge.  ``closeness=True`` turns it
     round: the more commits, the shorter the edge.
     """
-    touches = author_touches(t, requests, names, extensions)
+    touches = author_touches(t, requests, whitelist, merges)
     if closeness:
         most = touches.groupBy("graph").agg(F.max("weight").alias("most"))
         touches = touches.join(most, "graph").select(

@@ -112,13 +112,11 @@ def moves(rename_lines: DataFrame, similarity: int = 100) -> DataFrame:
 
 
 def get_moves(rename_lines, commits, similarity: int = 100) -> DataFrame:
-    """Moves grouped per commit as ``array<struct<source, destination>>``."""
-    grouped = (
-        moves(rename_lines, similarity)
-        .groupBy(*COMMIT_KEY)
-        .agg(F.array_sort(F.collect_list(F.struct("source", "destination"))).alias("moves"))
-    )
-    return grouped.join(commits.select(*COMMIT_KEY, "ts", *AUTHOR), COMMIT_KEY)
+    """Moves with the commit that made them, a row each.
+
+    One commit may move any number of files, so they are not gathered into a list.
+    """
+    return moves(rename_lines, similarity).join(commits.select(*COMMIT_KEY, "ts", *AUTHOR), COMMIT_KEY)
 
 
 def head_version(commits: DataFrame) -> DataFrame:

@@ -166,9 +166,9 @@ GROUP BY {KEY}, last_sha, island)"""
 add("get_lastmodifiers", """SELECT b.*, c.ts AS last_ts, c.author_name AS last_author_name, c.author_email AS last_author_email
 FROM by_last b JOIN commits c ON c.project_id = b.project_id AND c.sha = b.last_sha""", BY_LAST)
 add("get_moves", f"""SELECT c.project_id, c.sha, c.ts, c.author_name, c.author_email,
-  string_agg(concat(m.source, ' -> ', m.destination), '; ' ORDER BY m.source, m.destination) AS moves
+  m.source, m.destination, m.similarity
 FROM ({ORACLE["parse_move"]}) m JOIN commits c ON c.project_id = m.project_id AND c.sha = m.sha
-WHERE m.similarity >= {MIN_SIMILARITY} GROUP BY ALL""")
+WHERE m.similarity >= {MIN_SIMILARITY}""")
 add("head_version", "SELECT project_id, substring(max_by(sha, seq), 1, 7) AS version FROM commits GROUP BY project_id")
 add("project_get", f"SELECT * FROM projects WHERE owner = '{SOME_OWNER}'")
 

@@ -263,9 +263,7 @@ def get_lastmodifiers(t):
 
 @query
 def get_moves(t):
-    found = lookups.get_moves(t.rename_lines, t.commits, MIN_SIMILARITY)
-    pairs = F.transform("moves", lambda m: F.concat_ws(" -> ", m["source"], m["destination"]))
-    return found.withColumn("moves", joined(pairs, "; "))
+    return lookups.get_moves(t.rename_lines, t.commits, MIN_SIMILARITY)
 
 
 @query
@@ -570,7 +568,7 @@ def contrib_edges(t):
 
 @query
 def contrib_prune(t):
-    kept = graph.contrib_edges(t, names=WHITELIST_NAMES, extensions=WHITELIST_EXTENSIONS)
+    kept = graph.contrib_edges(t, whitelist={"names": WHITELIST_NAMES, "extensions": WHITELIST_EXTENSIONS})
     return kept.select("graph.project_id", "path", "author.*", "weight")
 
 

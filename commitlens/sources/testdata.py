@@ -196,7 +196,11 @@ def duckdb_ctes(*names: str) -> str:
     return ",\n".join(f"{n} AS ({_render(VIEWS[n], _DUCKDB)})" for n in ordered)
 
 
-STORED = {"commits", "commit_parents", "commit_chains", "changes", "path_history", "linechanges", "blame"}
+# Tables that an ingest job would have written, made once per session and folder.
+STORED = set(
+    "commits commit_parents commit_chains changes path_history linechanges blame "
+    "blobs blob_sizes functions comments".split()
+)
 _PATHS: dict[tuple, str] = {}
 
 
@@ -217,7 +221,6 @@ class Tables:
         if name not in self._built:
             frame = self._build(name)
             if name in STORED:
-                # A table that an ingest job would have written; made once per session.
                 key = (self.spark.sparkContext.applicationId, self.folder, name)
                 if key not in _PATHS:
                     _PATHS[key] = scratch(self.spark, name)
@@ -229,6 +232,11 @@ class Tables:
     def _build(self, name: str) -> DataFrame:
         if name == "commits":
             return history.history_order(self.table("unordered_commits"))
+        if name in ("messages", "blobs"):
+            # One small file of long texts would be read, and worked on, by one task.
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            texts = self.spark.read.parquet(f"{self.folder}/documents.parquet")
+            return self._sql(name, documents=texts.repartition(tasks, "doc_id"))
         if name == "commit_chains":
             return dag.chains(self.table("commits"), self.table("commit_parents"))
         if name == "path_history":
@@ -237,11 +245,18 @@ class Tables:
                 ["project_id", "path"],
                 {"nth": F.lit(1)},
             ).select("project_id", "sha", "path", "nth")
+        return self._sql(name)
+
+    def _sql(self, name: str, **given: DataFrame) -> DataFrame:
         sql = VIEWS[name]
-        ctes = [f"{b} AS (SELECT * FROM parquet.`{self.folder}/{b}.parquet`)" for b in used_tables(sql, BASE)]
-        for dependency in used_tables(sql, VIEWS):
-            view = f"commitlens_{abs(hash(self.folder))}_{dependency}"
-            self.table(dependency).createOrReplaceTempView(view)
-            ctes.append(f"{dependency} AS (SELECT * FROM {view})")
+        for table in used_tables(sql, BASE):
+            given.setdefault(table, self.spark.read.parquet(f"{self.folder}/{table}.parquet"))
+        for table in used_tables(sql, VIEWS):
+            given[table] = self.table(table)
+        ctes = []
+        for table, frame in given.items():
+            view = f"commitlens_{abs(hash(self.folder))}_{table}"
+            frame.createOrReplaceTempView(view)
+            ctes.append(f"{table} AS (SELECT * FROM {view})")
         body = _render(sql, _SPARK).replace('"begin"', "`begin`").replace('"end"', "`end`")
         return self.spark.sql(f"WITH {', '.join(ctes)} {body}")

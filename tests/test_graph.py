@@ -125,10 +125,26 @@ def test_history_up_to_a_commit(spark, tables):
         assert value == (pytest.approx(expected[path]) if expected.get(path) else None)
 
 
+def test_history_reachable_over_merges(spark, tables):
+    touches = [(1, a, p) for a, p in random_touches(4)]
+    parts = history_of(touches)
+    commits = [c[1] for c in parts["commits"][0]]
+    # Every other commit is on a side branch that nothing merges.
+    parents = [(1, commits[i], commits[i - 2], 1) for i in range(2, len(commits))]
+    t = tables(commit_parents=(parents, "project_id bigint, sha string, parent_sha string, parent_no int"), **parts)
+    last = len(commits) - 1
+    expected = brute([(a, p) for i, (_, a, p) in enumerate(touches) if i % 2 == last % 2])
+    requests = spark.createDataFrame([(1, commits[last], p) for p in {p for _, _, p in touches}], CHANGES)
+    for name, values in zip(("collaboration", "contribution"), expected):
+        for r in getattr(graph, name)(t, requests, merges=True).collect():
+            value = values.get(r["path"])
+            assert r[name] == (value if value is None else pytest.approx(value))
+
+
 def test_whitelist_keeps_matching_files_only(spark, tables):
     t = tables(**history_of([(1, "A", "f.C"), (1, "B", "f.C"), (1, "A", "g.py"), (1, "B", "g.py"), (1, "A", "x/Makefile")]))
     for name in ("collaboration", "contribution"):
-        rows = getattr(graph, name)(t, names=["makefile"], extensions=["c"]).collect()
+        rows = getattr(graph, name)(t, whitelist={"names": ["makefile"], "extensions": ["c"]}).collect()
         assert {r["path"] for r in rows} == {"f.C", "x/Makefile"}
 
 
