@@ -219,16 +219,17 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._built:
-            frame = self._build(name)
-            if name in STORED:
-                key = (self.spark.sparkContext.applicationId, self.folder, name)
-                if key not in _PATHS:
-                    _PATHS[key] = scratch(self.spark, name)
-                    frame.write.parquet(_PATHS[key])
-                frame = self.spark.read.parquet(_PATHS[key])
-            self._built[name] = frame
+            self._built[name] = self._stored(name) if name in STORED else self._build(name)
         return self._built[name]
 
+    def _stored(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _PATHS:
+            path = scratch(self.spark, name)
+            self._build(name).write.parquet(path)
+            _PATHS[key] = path
+        return self.spark.read.parquet(_PATHS[key])
+
     def _build(self, name: str) -> DataFrame:
         if name == "commits":
             return history.history_order(self.table("unordered_commits"))
