@@ -119,61 +119,66 @@ def _small_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ).join(vertices.select(F.col("id").alias("v"), F.col("size").alias("size_v")), "v")
     flat = sized.select("graph.project_id", "graph.sha", "u", "v", "w", "size_u", "size_v")
     return flat.groupBy("project_id", "sha").applyInPandas(
-        solve_small, "u bigint, v bigint, score double"
+        small_solver(), "u bigint, v bigint, score double"
     )
 
 
-def solve_small(edges: pd.DataFrame) -> pd.DataFrame:
-    """Dependencies summed over all sources of one small graph.
+def small_solver():
+    """The solver of one small graph, as a function that carries its own code to the tasks."""
+
+    def solve(edges: pd.DataFrame) -> pd.DataFrame:
+        """Dependencies summed over all sources of one small graph.
+
+        Rows (u, v, score) for each edge and (v, v, score) for each vertex.
+        """
+        names, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+        n, m = len(names), len(edges)
+        first, second = ends[:m], ends[m:]
+        tail, head = np.concatenate([first, second]), np.concatenate([second, first])
+        length = np.tile(edges["w"].to_numpy(float), 2)
+        size = np.ones(n)
+        size[first], size[second] = edges["size_u"], edges["size_v"]
+
+        distance = np.full((n, n), np.inf)
+        distance[tail, head] = length
+        np.fill_diagonal(distance, 0)
+        for k in range(n):
+            np.minimum(distance, distance[:, k : k + 1] + distance[k], out=distance)
+
+        # Links of the shortest-path DAG of every source, nearest first.
+        near = distance[:, tail]
+        source, edge = np.nonzero((near + length == distance[:, head]) & np.isfinite(near))
+        reached = distance[source, head[edge]]
+        nearest = np.argsort(reached, kind="stable")
+        source, edge, reached = source[nearest], edge[nearest], reached[nearest]
+        starts = np.flatnonzero(np.r_[True, reached[1:] != reached[:-1]]).tolist()
+        layers = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(reached)])]
+        at_tail, at_head = source * n + tail[edge], source * n + head[edge]
+        from_source = tail[edge] == source
+
+        sigma = np.eye(n).ravel()
+        copies = np.where(from_source, 1, size[tail[edge]])
+        for layer in layers:
+            np.add.at(sigma, at_head[layer], sigma[at_tail[layer]] * copies[layer])
+        beyond = np.zeros(n * n)
+        for layer in reversed(layers):
+            met = at_head[layer]
+            np.add.at(beyond, at_tail[layer], size[head[edge[layer]]] * (1 / sigma[met] + beyond[met]))
+
+        # A link that leaves the source itself belongs to one member of its class.
+        members = np.where(from_source, 1, size[source])
+        through = members * sigma[at_tail] * (1 / sigma[at_head] + beyond[at_head])
+        of_edge = np.bincount(edge, through, 2 * m)
+        depends = (size[:, None] * (sigma * beyond).reshape(n, n)) * (1 - np.eye(n))
+        return pd.DataFrame(
+            {
+                "u": np.concatenate([edges["u"], names]),
+                "v": np.concatenate([edges["v"], names]),
+                "score": np.concatenate([of_edge[:m] + of_edge[m:], depends.sum(axis=0)]),
+            }
+        )
 
-    Rows (u, v, score) for each edge and (v, v, score) for each vertex.
-    """
-    names, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
-    n, m = len(names), len(edges)
-    first, second = ends[:m], ends[m:]
-    tail, head = np.concatenate([first, second]), np.concatenate([second, first])
-    length = np.tile(edges["w"].to_numpy(float), 2)
-    size = np.ones(n)
-    size[first], size[second] = edges["size_u"], edges["size_v"]
-
-    distance = np.full((n, n), np.inf)
-    distance[tail, head] = length
-    np.fill_diagonal(distance, 0)
-    for k in range(n):
-        np.minimum(distance, distance[:, k : k + 1] + distance[k], out=distance)
-
-    # Links of the shortest-path DAG of every source, nearest first.
-    near = distance[:, tail]
-    source, edge = np.nonzero((near + length == distance[:, head]) & np.isfinite(near))
-    reached = distance[source, head[edge]]
-    nearest = np.argsort(reached, kind="stable")
-    source, edge, reached = source[nearest], edge[nearest], reached[nearest]
-    starts = np.flatnonzero(np.r_[True, reached[1:] != reached[:-1]]).tolist()
-    layers = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(reached)])]
-    at_tail, at_head = source * n + tail[edge], source * n + head[edge]
-    from_source = tail[edge] == source
-
-    sigma = np.eye(n).ravel()
-    copies = np.where(from_source, 1, size[tail[edge]])
-    for layer in layers:
-        np.add.at(sigma, at_head[layer], sigma[at_tail[layer]] * copies[layer])
-    beyond = np.zeros(n * n)
-    for layer in reversed(layers):
-        met = at_head[layer]
-        np.add.at(beyond, at_tail[layer], size[head[edge[layer]]] * (1 / sigma[met] + beyond[met]))
-
-    # A link that leaves the source itself belongs to one member of its class.
-    members = np.where(from_source, 1, size[source])
-    through = members * sigma[at_tail] * (1 / sigma[at_head] + beyond[at_head])
-    of_edge = np.bincount(edge, through, 2 * m)
-    depends = (size[:, None] * (sigma * beyond).reshape(n, n)) * (1 - np.eye(n))
-    return pd.DataFrame(
-        {
-            "u": np.concatenate([edges["u"], names]),
-            "v": np.concatenate([edges["v"], names]),
-            "score": np.concatenate([of_edge[:m] + of_edge[m:], depends.sum(axis=0)]),
-        }
-    )
+    return solve
 
 
 def _large_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
