@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commitlens.llm import mixing, quality_rules, simhash
+from commitlens.llm import mixing, quality_rules, simhash, substring
 
 
 def _read(spark, folder, table):
@@ -22,6 +22,10 @@ def op2_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_substring(spark, folder):
+    return substring.remove_repeats(_read(spark, folder, "documents")).drop("kept")
+
+
 def op8_simhash(spark, folder):
     found = simhash.near_duplicates(_read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -30,5 +34,6 @@ def op8_simhash(spark, folder):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op7_substring": op7_substring,
     "op8_simhash": op8_simhash,
 }
