@@ -2,13 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from commitlens.llm import mixing, quality_rules, simhash, substring
+from commitlens.llm import gam, mixing, quality_rules, simhash, substring, toxicity
 
 
 def _read(spark, folder, table):
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def held_out(every, rest):
+    """Rows whose crc32 of the id as text leaves ``rest``: never learned from."""
+    return lambda column: F.crc32(F.col(column).cast("string")) % every == rest
+
+
 def op1_quality_rules(spark, folder):
     ledger = quality_rules.apply_policy(quality_rules.ledger(_read(spark, folder, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask("base"))) != 0
@@ -22,6 +27,13 @@ def op2_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark, folder):
+    docs, labels, out = _read(spark, folder, "documents"), _read(spark, folder, "labels"), held_out(3, 1)
+    tagged = toxicity.tag(docs, toxicity.toxicity_model(docs, labels, out))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return tagged.select("doc_id", F.coalesce(out("doc_id"), F.lit(False)).alias("held_out"), "score", predicted, "spans")
+
+
 def op7_substring(spark, folder):
     return substring.remove_repeats(_read(spark, folder, "documents")).drop("kept")
 
@@ -31,9 +43,18 @@ def op8_simhash(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality_classifier(spark, folder):
+    docs, labels, out = _read(spark, folder, "documents"), _read(spark, folder, "labels"), held_out(5, 0)
+    scored = gam.score(docs, gam.quality_model(docs, labels, out))
+    predicted = (F.col("score") >= gam.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(out("doc_id"), F.lit(False)).alias("held_out"), "score", predicted)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_substring": op7_substring,
     "op8_simhash": op8_simhash,
+    "op10_quality_classifier": op10_quality_classifier,
 }

@@ -121,8 +121,8 @@ def hot_grams(docs: DataFrame, sample: int = HOT_SAMPLE) -> np.ndarray:
         for (text,) in _slices_of(batches):
             w = W.Words(text)
             at, g = w.windows(w.hashes(), GRAM)
-            own = np.unique(np.stack([w.doc[at].astype(np.uint64), g]), axis=1)[1] if len(at) else g
-            u, c = np.unique(own, return_counts=True)
+            _, once = np.unique(g ^ W.mix(w.doc[at].astype(np.uint64) + _U(1)), return_index=True)
+            u, c = np.unique(g[once], return_counts=True)
             docs_seen += len(text)
             kept.append((u[c > 1], c[c > 1]))
         if kept:

@@ -140,21 +140,19 @@ def repeated(keys):
 
 
 def map_texts(df, columns, text, schema, measure):
-    """Apply ``measure(table) -> dict of columns`` to row slices of bounded size.
+    """Apply ``measure(columns) -> columns`` to row slices of bounded size.
 
     ``df``'s other columns are left behind before any work, so their names can't clash.
     """
-    names = [f.name for f in schema]
-    arrow = [_ARROW[f.dataType.simpleString()] for f in schema]
+    kinds = {f.name: _ARROW.get(f.dataType.simpleString()) for f in schema}
 
     def run(batches):
         for batch in batches:
             for start, stop in slices(batch.column(columns.index(text))):
                 part = {c: batch.column(i).slice(start, stop - start) for i, c in enumerate(columns)}
                 got = measure(part)
-                yield pa.RecordBatch.from_arrays(
-                    [x if isinstance(x := got[n], (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t) for n, t in zip(names, arrow)], names=names
-                )
+                made = [got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], type=t) for n, t in kinds.items()]
+                yield pa.RecordBatch.from_arrays(made, names=list(kinds))
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -169,6 +167,7 @@ _ARROW = {
     "array<int>": pa.list_(pa.int32()),
     "array<bigint>": pa.list_(pa.int64()),
     "array<float>": pa.list_(pa.float32()),
+    "array<double>": pa.list_(pa.float64()),
     "array<string>": pa.list_(pa.string()),
 }
 
