@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from commitlens.llm import gam, mixing, quality_rules, simhash, substring, toxicity
+from commitlens.llm import decontaminate, gam, mixing, quality_rules, simhash, substring, toxicity
 
 
 def _read(spark, folder, table):
@@ -27,6 +27,13 @@ def op2_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_decontamination(spark, folder):
+    found = decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("reworded").alias("reworded")
+    )
+
+
 def op6_toxicity(spark, folder):
     docs, labels, out = _read(spark, folder, "documents"), _read(spark, folder, "labels"), held_out(3, 1)
     tagged = toxicity.tag(docs, toxicity.toxicity_model(docs, labels, out))
@@ -53,6 +60,7 @@ def op10_quality_classifier(spark, folder):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op4_decontamination": op4_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_substring": op7_substring,
     "op8_simhash": op8_simhash,
