@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from commitlens.llm import decontaminate, gam, mixing, quality_rules, simhash, substring, toxicity
+from commitlens.llm import chat, decontaminate, gam, license_scan, mixing, pages, quality_rules, simhash, substring, toxicity
+from commitlens.session import cut
 
 
 def _read(spark, folder, table):
@@ -27,6 +28,10 @@ def op2_mixing(spark, folder):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_license_scan(spark, folder):
+    return license_scan.scan(_read(spark, folder, "documents"), license_scan.NOTICES)
+
+
 def op4_decontamination(spark, folder):
     found = decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
     return found.groupBy("doc_id", "item_id").agg(
@@ -34,6 +39,15 @@ def op4_decontamination(spark, folder):
     )
 
 
+def op5_chat(spark, folder):
+    known = cut(chat.transcripts(_read(spark, folder, "conversations")), "transcripts")
+    parsed = chat.parse(known, chat.fit(known), ["piece", "roles_known"])
+    return parsed.select(
+        F.col("id").alias("conv_id"), "piece", F.size("roles").cast("bigint").alias("n_turns"), F.array_join("roles", ",").alias("roles"),
+        (F.col("roles") == F.col("roles_known")).alias("as_labelled"), F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 def op6_toxicity(spark, folder):
     docs, labels, out = _read(spark, folder, "documents"), _read(spark, folder, "labels"), held_out(3, 1)
     tagged = toxicity.tag(docs, toxicity.toxicity_model(docs, labels, out))
@@ -50,6 +64,11 @@ def op8_simhash(spark, folder):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_html(spark, folder):
+    web = _read(spark, folder, "pages")
+    return pages.main_text(web, pages.page_weights(web))
+
+
 def op10_quality_classifier(spark, folder):
     docs, labels, out = _read(spark, folder, "documents"), _read(spark, folder, "labels"), held_out(5, 0)
     scored = gam.score(docs, gam.quality_model(docs, labels, out))
@@ -60,9 +79,12 @@ def op10_quality_classifier(spark, folder):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
+    "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
     "op7_substring": op7_substring,
     "op8_simhash": op8_simhash,
+    "op9_html": op9_html,
     "op10_quality_classifier": op10_quality_classifier,
 }

@@ -42,13 +42,18 @@ def _fingerprints(part):
         n = len(hashes) // 8
         ones = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(n, 8), axis=1).sum(axis=0, dtype=np.int64)
         out[i] = np.packbits(2 * ones > n).view(">u8")[0]
-    return {"doc_id": part["doc_id"], "fp": pa.array(out.view(np.int64))}
+    return {**part, "fp": pa.array(out.view(np.int64))}
+
+
+def row_key():
+    """A hash of a row's id and text, which tells rows with one id apart."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): bit b of the unsigned fingerprint is bit b of over half the shingle hashes."""
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return W.map_texts(docs, ["doc_id", "text"], "text", W.schema("doc_id bigint, fp bigint"), _fingerprints)
+    """(doc_id, row, fp): bit b of the unsigned fingerprint is bit b of over half the shingle hashes."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text")
+    return W.map_texts(docs, ["doc_id", "row", "text"], "text", W.schema("doc_id bigint, row bigint, fp bigint"), _fingerprints)
 
 
 def _signed(x):
@@ -67,7 +72,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every document; the component's name is its least doc_id."""
+    """(doc_id, row, fp, component_id, root) of every document: the component's name is its least
+    doc_id, its root its least fingerprint."""
     prints = cut(fingerprints(docs), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = cut(components(links(distinct.select("fp"))), "roots")
@@ -75,5 +81,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.join(names, "root").select(F.col("fp").alias("f"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = classes.join(names, "root").select(F.col("fp").alias("f"), "component_id", "root")
+    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "row", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, but one of each component: that of the least id (null
+    last), then of the least row hash; of repeated rows one."""
+    found = near_duplicates(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = cut(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_kept_row")), "kept")
+    keyed = docs.withColumn("_row", row_key())
+    return keyed.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").dropDuplicates(["_row"]).drop("_row")

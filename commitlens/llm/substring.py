@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from commitlens.llm import words as W
 from commitlens.session import cut
@@ -409,7 +410,7 @@ def _found(shards):
     return run
 
 
-def _removal(hot):
+def _removal(hot, carried):
     def measure(part):
         w = W.Words(part["text"])
         s, e, _, seg, is_hot = segments(w, w.hashes(), hot)
@@ -439,6 +440,7 @@ def _removal(hot):
             kept.append(text)
             digests.append(hashlib.sha256(text).hexdigest())
         return {
+            **{c: part[c] for c in carried},
             "doc_id": part["doc_id"],
             "n_words": w.counts,
             "n_removed": removed,
@@ -449,20 +451,18 @@ def _removal(hot):
     return measure
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept) of every document: ``kept`` are the
-    words that no window of an earlier document covers, joined by one space."""
+def _removals(docs: DataFrame, carried, fields) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shards = SHARDS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot_grams(docs)
+    bare = docs.select("doc_id", "text")
+    hot = hot_grams(bare)
     plan = cut(
-        _entries(docs, shards, hot).groupBy("shard").applyInArrow(_classes(shards), "kind int, place int, blob binary"),
+        _entries(bare, shards, hot).groupBy("shard").applyInArrow(_classes(shards), "kind int, place int, blob binary"),
         "classes",
     )
     requests = plan.filter("kind = 1").select("place", "blob").groupBy("place").applyInArrow(_by_document, "id bigint, blob binary")
     # The text is shuffled by doc_id once: both joins read the same exchange.
-    asked = docs.join(requests, F.col("doc_id") == F.col("id")).select("text", "blob")
+    asked = bare.join(requests, F.col("doc_id") == F.col("id")).select("text", "blob")
     texts = _words_of_classes(asked, hot).select("shard", F.lit(2).alias("kind"), "blob")
     members = plan.filter("kind = 0").select(F.col("place").alias("shard"), "kind", "blob")
     answers = (
@@ -471,10 +471,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .groupBy("place").applyInArrow(_by_document, "id bigint, blob binary")
     )
     joined = docs.join(answers, F.col("doc_id") == F.col("id"), "left")
-    return W.map_texts(
-        joined,
-        ["doc_id", "text", "blob"],
-        "text",
-        W.schema("doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"),
-        _removal(hot),
-    )
+    return W.map_texts(joined, ["doc_id", "text", *carried, "blob"], "text", fields, _removal(hot, ["text", *carried]))
+
+
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of every document: ``kept`` are the
+    words that no window of an earlier document covers, joined by one space."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return _removals(docs, [], W.schema(RESULT))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents, with all their columns, without the repeated words; a changed text is its
+    kept words joined by one space with ``n_chars``, if there, to match, and documents of which
+    nothing is left go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    carried = ["_rest"] if rest else []
+    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", *([F.struct(*rest).alias("_rest")] if rest else []))
+    fields = StructType([*W.schema(RESULT).fields, packed.schema["text"], *([packed.schema["_rest"]] if rest else [])])
+    done = _removals(packed, carried, fields).filter((F.col("n_removed") < F.col("n_words")) | (F.col("n_words") == 0))
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col(f"_rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.when(changed, F.length("kept")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return done.select(*[columns[c].alias(c) for c in docs.columns])
