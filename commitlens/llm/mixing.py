@@ -132,17 +132,14 @@ def mix(docs: DataFrame, weight=None, seed: int = 7, weights=WEIGHTS, most=MOST_
 
 
 def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The texts of a mix with ``copies`` and ``taken``; equal (id, source, text) rows are merged and their copies added."""
-    rows = docs.withColumn("_tie", F.xxhash64("text")).alias("d")
+    """The texts of a mix with ``copies`` and ``taken``; equal (id, source, text) rows are merged and their
+    copies added.  Columns of the documents with these two names are replaced."""
     taken = (
         mixed.filter(F.col("copies") > 0)
-        .select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_m"), "copies", "taken")
-        .groupBy("_id", "_source", "_m")
-        .agg(F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"))
+        .agg(F.sum("copies").alias("_copies"), F.sum("taken").alias("_taken"))
     )
-    once = rows.dropDuplicates(["doc_id", "source", "_tie"])
-    joined = once.join(
-        taken,
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_tie") == F.col("_m")),
-    )
-    return joined.select(*docs.columns, "copies", "taken")
+    columns = [c for c in docs.columns if c not in ("copies", "taken")]
+    once = docs.select(*columns, F.xxhash64("text").alias("_text")).dropDuplicates(["doc_id", "source", "_text"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_tie"))
+    return once.join(taken, same).select(*columns, F.col("_copies").alias("copies"), F.col("_taken").alias("taken"))

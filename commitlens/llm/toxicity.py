@@ -288,7 +288,7 @@ def tag(docs: DataFrame, model: Model, likely: float = 0.5) -> DataFrame:
         hit = np.flatnonzero(p >= likely)
         new = np.append(True, (hit[1:] != hit[:-1] + 1) | (w.doc[hit[1:]] != w.doc[hit[:-1]])) if len(hit) else np.zeros(0, bool)
         runs = np.flatnonzero(new)
-        ends = np.append(runs[1:], len(hit)) - 1
+        ends = (np.append(runs[1:], len(hit)) - 1)[: len(runs)]
         points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
         doc = w.doc[hit[runs]]
         pair = np.stack([points[w.starts[hit[runs]]], points[w.ends[hit[ends]]]], axis=1) - points[w.begin[doc]][:, None]
