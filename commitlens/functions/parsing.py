@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from commitlens.schemas import CHANGE_TYPES
 
+# The shapes of git's rename, raw and numstat lines.
 RENAME = r"^ rename (.*) \((\d+)%\)$"
 BRACED = r"^([^}]*)\{([^}]*) => ([^}]*)\}(.*)$"
 PLAIN = r"^(.*) => (.*)$"
@@ -13,7 +14,7 @@ DELTA = r"^(\d+|-)\s+(\d+|-)\s+(.+)"
 
 def change_type(letter: Column) -> Column:
     codes = F.create_map(*[F.lit(x) for pair in CHANGE_TYPES.items() for x in pair])
-    return F.element_at(codes, letter)
+    return F.try_element_at(codes, letter)
 
 
 def parse_change(line: Column) -> Column:
@@ -21,7 +22,7 @@ def parse_change(line: Column) -> Column:
 
     A merge line carries one mode and one object id per parent; the first
     parent's id and status letter are taken.  The path is everything after the
-    first tab, so blanks inside it survive.
+    first tab, so blanks inside it survive.  What a short line lacks is null.
     """
     parents = F.length(F.regexp_extract(line, "^(:+)", 1))
     words = F.split(line, r"\s+")
@@ -30,9 +31,9 @@ def parse_change(line: Column) -> Column:
     ).otherwise(F.array_join(F.slice(words, 2 * parents + 4, F.size(words)), " "))
     return F.struct(
         path.alias("path"),
-        change_type(F.substring(F.element_at(words, 2 * parents + 3), 1, 1)).alias("type"),
-        F.element_at(words, parents + 2).alias("oid_before"),
-        F.element_at(words, 2 * parents + 2).alias("oid_after"),
+        change_type(F.substring(F.try_element_at(words, 2 * parents + 3), 1, 1)).alias("type"),
+        F.try_element_at(words, parents + 2).alias("oid_before"),
+        F.try_element_at(words, 2 * parents + 2).alias("oid_after"),
     )
 
 

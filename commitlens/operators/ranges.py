@@ -31,7 +31,8 @@ def merge_ranges(ranges: DataFrame, keys) -> DataFrame:
     )
 
 
-_HEADER = r"(?m)^@@+ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))?"
+# Lines end at \n only, here as where the kinds of lines are cut.
+_HEADER = r"(?md)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))?"
 
 
 def _line_kinds(patch: Column) -> Column:
@@ -47,9 +48,11 @@ def patch_linechanges(patches: DataFrame) -> DataFrame:
     """Inserted (new numbering) and deleted (old numbering) ranges of every patch.
 
     Patches are read inside their row: only runs of equal lines leave it, so no
-    patch text is shuffled.
+    patch text is shuffled.  A combined patch of a merge (``@@@``) numbers lines of several
+    parents and gives no ranges.
     """
-    hunks = patches.filter(F.col("patch").isNotNull()).select(
+    plain = F.col("patch").isNotNull() & ~F.col("patch").rlike(r"(?md)^@@@+ -")
+    hunks = patches.filter(plain).select(
         *CHANGE_KEY,
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(1)).alias("olds"),
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(3)).alias("news"),
@@ -99,12 +102,10 @@ def patch_linechanges(patches: DataFrame) -> DataFrame:
 
 def last_modifiers(linechanges: DataFrame, blame: DataFrame) -> DataFrame:
     """For the deleted ranges of each change: ranges grouped by last modifying commit."""
-    deleted = linechanges.filter(F.col("kind") == "-").select(*CHANGE_KEY, "begin", "end")
-    asked = (
-        blame.join(deleted, CHANGE_KEY)
-        .filter(F.col("line").between(F.col("begin"), F.col("end")))
-        .select(*CHANGE_KEY, "last_sha", "line")
+    deleted = linechanges.filter(F.col("kind") == "-").select(
+        *CHANGE_KEY, F.explode(F.sequence("begin", "end")).alias("line")
     )
+    asked = blame.join(deleted.distinct(), [*CHANGE_KEY, "line"]).select(*CHANGE_KEY, "last_sha", "line")
     return collapse_ranges(asked, [*CHANGE_KEY, "last_sha"])
 
 

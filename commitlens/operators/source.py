@@ -4,7 +4,7 @@ Content is addressed by object id, so each version is measured once and the
 small result is joined to all changes that lead to it.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.functions import paths, text
@@ -87,25 +87,45 @@ def blob_loc(blobs, comments) -> DataFrame:
 
 def blob_function_loc(blobs, comments, functions) -> DataFrame:
     """Line counts per function span; of equal signatures the last one counts."""
-    spans = functions.groupBy("oid").agg(
-        F.collect_list(F.struct("ord", "signature", "begin_line", "end_line")).alias("spans")
-    )
-    each = (
-        line_flags(blobs, comments)
-        .join(spans, "oid")
-        .select("oid", "commented", "blanks", F.explode("spans").alias("f"))
+    flags = line_flags(blobs, comments)
+    spans = functions.select("oid", "ord", "signature", "begin_line", "end_line").join(flags.select("oid"), "oid")
+    counted = spans.join(_lines_inside(flags, spans), ["oid", "ord"]).select(
+        "oid", "ord", "signature", *_loc(F.col("blank"), F.col("comment"), F.col("end_line") - F.col("begin_line") + 1)
     )
+    return last_wins(counted, ["blank", "comment", "source", "aggregate"])
 
-    def inside(numbers):
-        return F.size(F.filter(numbers, lambda n: n.between(F.col("f.begin_line"), F.col("f.end_line"))))
 
-    counted = each.select(
-        "oid",
-        "f.ord",
-        "f.signature",
-        *_loc(inside("blanks"), inside("commented"), F.col("f.end_line") - F.col("f.begin_line") + 1),
+def _lines_inside(flags: DataFrame, spans: DataFrame) -> DataFrame:
+    """(oid, ord, blank, comment): flagged lines within each span, by running counts over a file.
+
+    Spans ask before their first line and after their last, so a file of n lines and m
+    spans is one sorted pass over n + 2m rows.
+    """
+    nobody = F.lit(None).cast(spans.schema["ord"].dataType)
+
+    def lines(column, comment):
+        return flags.select("oid", F.explode(column).alias("line")).select(
+            "oid", F.col("line").cast("bigint").alias("line"), nobody.alias("ord"), F.lit(0).alias("side"),
+            F.lit(1 - comment).alias("blank"), F.lit(comment).alias("comment"),
+        )
+
+    def asks(line, side):
+        return spans.select(
+            "oid", line.cast("bigint").alias("line"), "ord", F.lit(side).alias("side"), F.lit(0).alias("blank"), F.lit(0).alias("comment")
+        )
+
+    rows = (
+        lines("commented", 1)
+        .unionByName(lines("blanks", 0))
+        .unionByName(asks(F.col("begin_line") - 1, -1))
+        .unionByName(asks(F.col("end_line"), 1))
+    )
+    # At equal lines a flagged line comes first, so that both asks are answered after it.
+    upto = Window.partitionBy("oid").orderBy("line", F.abs("side")).rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.select("oid", "ord", "side", F.sum("blank").over(upto).alias("blank"), F.sum("comment").over(upto).alias("comment"))
+    return running.filter("ord IS NOT NULL").groupBy("oid", "ord").agg(
+        F.sum(F.col("side") * F.col("blank")).alias("blank"), F.sum(F.col("side") * F.col("comment")).alias("comment")
     )
-    return last_wins(counted, ["blank", "comment", "source", "aggregate"])
 
 
 def last_wins(rows: DataFrame, columns) -> DataFrame:
@@ -231,7 +251,7 @@ def signature_sides(t) -> DataFrame:
 
     def side(column, flag):
         version = names.withColumnRenamed("oid", column)
-        return changes.join(version, column).select(*CHANGE_KEY, "signature", F.lit(True).alias(flag))
+        return changes.filter(F.col(column) != NO_OID).join(version, column).select(*CHANGE_KEY, "signature", F.lit(True).alias(flag))
 
     both = side("oid_before", "b").join(side("oid_after", "a"), [*CHANGE_KEY, "signature"], "full_outer")
     return both.select(
@@ -244,7 +264,8 @@ def signature_sides(t) -> DataFrame:
 
 def function_line_overlap(t) -> DataFrame:
     """Functions of the new version whose span meets a changed range."""
-    spans = t.changes.select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(t.functions, "oid")
+    there = t.changes.filter(F.col("oid_after") != NO_OID)
+    spans = there.select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(t.functions, "oid")
     hit = t.linechanges.select(*[F.col(k).alias(f"r_{k}") for k in CHANGE_KEY], "begin", "end")
     same = history.all_equal(CHANGE_KEY, "r_")
     meets = (F.col("begin") <= F.col("end_line")) & (F.col("end") >= F.col("begin_line"))
@@ -253,16 +274,17 @@ def function_line_overlap(t) -> DataFrame:
 
 def line_in_function(t) -> DataFrame:
     """(oid, ord, line) of every line of a function and whether it is blank or comment."""
-    spans = t.functions.select("oid", "ord", "begin_line", "end_line")
     flags = line_flags(t.blobs, t.comments)
-    return (
-        flags.join(spans, "oid")
-        .select("oid", "ord", "commented", "blanks", F.explode(F.sequence("begin_line", "end_line")).alias("line"))
-        .select(
-            "oid", "ord", "line",
-            F.array_contains("commented", F.col("line").cast("int")).alias("is_comment"),
-            F.array_contains("blanks", F.col("line").cast("int")).alias("is_blank"),
-        )
+    marked = flags.select("oid", F.explode("commented").alias("line"), F.lit(True).alias("comment")).unionByName(
+        flags.select("oid", F.explode("blanks").alias("line"), F.lit(False).alias("comment"))
+    )
+    lines = t.functions.join(flags.select("oid"), "oid").select(
+        "oid", "ord", F.explode(F.sequence("begin_line", "end_line")).alias("line")
+    )
+    return lines.join(marked, ["oid", "line"], "left").select(
+        "oid", "ord", "line",
+        F.coalesce("comment", F.lit(False)).alias("is_comment"),
+        F.coalesce(~F.col("comment"), F.lit(False)).alias("is_blank"),
     )
 
 

@@ -55,6 +55,7 @@ METRIC_JOBS = {
     "relativechurn": change.relativechurn,
 }
 
+MEASURES = "metric string, granularity string, project_id bigint, sha string, path string, name string, email string, measure string"
 KEY_COLUMNS = ("project_id", "sha", "path", "name", "email", "author_name", "author_email", "entity")
 
 
@@ -88,7 +89,8 @@ def as_measures(name: str, granularity: str, result: DataFrame) -> DataFrame:
 
     ``measure`` is the JSON of the metric's own columns; null if all are null.
     """
-    own = [c for c in result.columns if c not in KEY_COLUMNS and c != "request_id"]
+    echoed = {*KEY_COLUMNS, "request_id", "metric", "granularity"}
+    own = [c for c in result.columns if c not in echoed]
 
     def key(*names):
         there = [F.col(c) for c in names if c in result.columns]
@@ -128,4 +130,6 @@ def collect_enabled(t, granularity: str, requests=None, **options) -> DataFrame:
         results.append(
             as_measures(name, granularity, result.join(projects, "project_id", "left_semi"))
         )
+    if not results:
+        return t.metrics.sparkSession.createDataFrame([], MEASURES)
     return reduce(DataFrame.unionByName, results)

@@ -1,27 +1,17 @@
 """Where intermediate results go when a job must cut its lineage.
 
-The cluster names a shared folder in ``spark.checkpoint.dir``.  Only a local
-session, which has no other executors, may fall back to a folder of its own.
+The cluster names a shared folder in ``spark.checkpoint.dir``.  Without it the tables
+go beside the warehouse, which every executor reaches as well.
 """
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="commitlens-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -35,6 +25,29 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     Unlike a checkpoint the table has a known size, so a join with it is
     broadcast only where Spark has checked that it fits.
     """
-    path = scratch(df.sparkSession, name)
+    return _write(df, scratch(df.sparkSession, name))
+
+
+def _write(df, path):
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """Tables of a loop: each round's is written like a ``cut``, and the one before is deleted.
+
+    Only for tables that nothing but the next round reads.
+    """
+
+    def __init__(self, name: str):
+        self.name = name
+        self.path = None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        spark, old = df.sparkSession, self.path
+        self.path = scratch(spark, self.name)
+        table = _write(df, self.path)
+        if old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(old)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        return table

@@ -105,7 +105,10 @@ SELECT concat('d', CAST(doc_id AS STRING)) AS oid, doc_id % 50 = 49 AS is_binary
 UNION ALL
 SELECT concat('p', CAST(page_id AS STRING)) AS oid, false AS is_binary, html AS content FROM pages""",
     "messages": """
-SELECT c.project_id, c.sha, d.text AS message
+SELECT c.project_id, c.sha, CASE d.doc_id % 4
+    WHEN 0 THEN replace(d.text, '. ', concat('.', {NL:}, '*', {NL:}))
+    WHEN 1 THEN concat(replace(d.text, ', ', concat(',', {NL:}, '*', {NL:}, '*', {NL:})), {NL:}, '*')
+    ELSE d.text END AS message
 FROM (SELECT o_orderkey % (SELECT count(*) FROM supplier) AS project_id, {SHA:o_orderkey} AS sha,
     o_orderkey % (SELECT count(*) FROM documents) AS doc_id FROM orders) c JOIN documents d ON d.doc_id = c.doc_id""",
     "patches": """

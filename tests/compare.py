@@ -6,6 +6,7 @@ Usage: python tests/compare.py FOLDER [QUERY ...]
 import hashlib
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -65,7 +66,7 @@ def main(folder, names):
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
-        .config("spark.driver.maxResultSize", "4g")
+        .config("spark.driver.maxResultSize", "4g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
