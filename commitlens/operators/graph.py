@@ -6,13 +6,13 @@ takes, so scores stay exact while the many developers who touched only one hot
 file, or the many files of one large commit, shrink to single vertices.  Pairs
 are formed between classes only, never between all members of a group.
 
-Column ``graph`` names the graph a row belongs to.  A graph below a fixed size is
-solved inside one task, many graphs side by side; all larger ones are solved by
-joins, a row per (source, vertex), in the same rounds.
+Column ``graph`` names the graph a row belongs to.  All graphs are solved together by
+joins, a row per (source, vertex), for one block of sources after the other: what is
+kept at a time stays within ``STATE_ROWS`` rows, and no source is left out.
 """
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +20,13 @@ from commitlens.functions.paths import path_whitelist
 from commitlens.operators import dag, history
 from commitlens.operators.change import for_requests
 from commitlens.schemas import AUTHOR
-from commitlens.session import cut
+from commitlens.session import Rounds, cut
 
 # Each unordered pair of vertices is met once from either end.
 PAIR_SHARE = 0.5
 
-# A graph is small when its vertices, and vertices times edges, stay below these.
-SMALL_VERTICES = 512
-SMALL_WORK = 2_000_000
+# Rows (source, vertex) that one block of sources may keep at a time.
+STATE_ROWS = 100_000_000
 
 
 def _fingerprint(*columns):
@@ -90,130 +89,60 @@ def numbered(vertices: DataFrame) -> DataFrame:
     return cut(cut(vertices).withColumn("id", F.monotonically_increasing_id()))
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, small=(SMALL_VERTICES, SMALL_WORK)):
+def betweenness(vertices: DataFrame, edges: DataFrame, state_rows: int = STATE_ROWS):
     """Edge scores (u, v, score) and vertex scores (id, score) of all graphs.
 
     ``vertices`` has (graph, id, size) and ``edges`` each edge once as (graph, u, v, w),
     w > 0.  Vertices without an edge have no score.
     """
-    order = vertices.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    sizes = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("m")).join(order, "graph")
-    is_small = (F.col("n") <= small[0]) & (F.col("n") * F.col("m") <= small[1])
-    marked = cut(sizes.select("graph", is_small.alias("is_small")))
-    little, large = marked.filter("is_small"), marked.filter("NOT is_small")
-    scores = _small_scores(vertices, edges.join(little, "graph", "left_semi"))
-    if not large.isEmpty():
-        scores = scores.unionByName(
-            _large_scores(
-                vertices.join(large, "graph", "left_semi"), edges.join(large, "graph", "left_semi")
-            )
-        )
-    scores = cut(scores.withColumn("score", F.col("score") * PAIR_SHARE))
-    of_vertices = scores.filter(F.col("u") == F.col("v")).select(F.col("u").alias("id"), "score")
-    return scores.filter(F.col("u") != F.col("v")), of_vertices
-
-
-def _small_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    sized = edges.join(
-        vertices.select(F.col("id").alias("u"), F.col("size").alias("size_u")), "u"
-    ).join(vertices.select(F.col("id").alias("v"), F.col("size").alias("size_v")), "v")
-    flat = sized.select("graph.project_id", "graph.sha", "u", "v", "w", "size_u", "size_v")
-    return flat.groupBy("project_id", "sha").applyInPandas(
-        small_solver(), "u bigint, v bigint, score double"
+    one_way = edges.select("u", "v", "w")
+    both = cut(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
+    linked = cut(
+        vertices.join(both.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select("graph", "id", "size")
     )
+    squares = linked.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    blocks = -(-squares // state_rows) or 1
+    parts = []
+    for block in range(blocks):
+        sources = linked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        parts.append(cut(_scores(sources, linked, both)))
+    scores = reduce(DataFrame.unionByName, parts).groupBy("u", "v").agg((F.sum("score") * PAIR_SHARE).alias("score"))
+    scores = cut(scores)
+    of_vertices = scores.filter(F.col("u") == F.col("v")).select(F.col("u").alias("id"), "score")
+    return scores.filter(F.col("u") != F.col("v")).join(one_way.select("u", "v"), ["u", "v"]), of_vertices
 
 
-def small_solver():
-    """The solver of one small graph, as a function that carries its own code to the tasks."""
-
-    def solve(edges: pd.DataFrame) -> pd.DataFrame:
-        """Dependencies summed over all sources of one small graph.
-
-        Rows (u, v, score) for each edge and (v, v, score) for each vertex.
-        """
-        names, ends = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
-        n, m = len(names), len(edges)
-        first, second = ends[:m], ends[m:]
-        tail, head = np.concatenate([first, second]), np.concatenate([second, first])
-        length = np.tile(edges["w"].to_numpy(float), 2)
-        size = np.ones(n)
-        size[first], size[second] = edges["size_u"], edges["size_v"]
-
-        distance = np.full((n, n), np.inf)
-        distance[tail, head] = length
-        np.fill_diagonal(distance, 0)
-        for k in range(n):
-            np.minimum(distance, distance[:, k : k + 1] + distance[k], out=distance)
-
-        # Links of the shortest-path DAG of every source, nearest first.
-        near = distance[:, tail]
-        source, edge = np.nonzero((near + length == distance[:, head]) & np.isfinite(near))
-        reached = distance[source, head[edge]]
-        nearest = np.argsort(reached, kind="stable")
-        source, edge, reached = source[nearest], edge[nearest], reached[nearest]
-        starts = np.flatnonzero(np.r_[True, reached[1:] != reached[:-1]]).tolist()
-        layers = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(reached)])]
-        at_tail, at_head = source * n + tail[edge], source * n + head[edge]
-        from_source = tail[edge] == source
-
-        sigma = np.eye(n).ravel()
-        copies = np.where(from_source, 1, size[tail[edge]])
-        for layer in layers:
-            np.add.at(sigma, at_head[layer], sigma[at_tail[layer]] * copies[layer])
-        beyond = np.zeros(n * n)
-        for layer in reversed(layers):
-            met = at_head[layer]
-            np.add.at(beyond, at_tail[layer], size[head[edge[layer]]] * (1 / sigma[met] + beyond[met]))
-
-        # A link that leaves the source itself belongs to one member of its class.
-        members = np.where(from_source, 1, size[source])
-        through = members * sigma[at_tail] * (1 / sigma[at_head] + beyond[at_head])
-        of_edge = np.bincount(edge, through, 2 * m)
-        depends = (size[:, None] * (sigma * beyond).reshape(n, n)) * (1 - np.eye(n))
-        return pd.DataFrame(
-            {
-                "u": np.concatenate([edges["u"], names]),
-                "v": np.concatenate([edges["v"], names]),
-                "score": np.concatenate([of_edge[:m] + of_edge[m:], depends.sum(axis=0)]),
-            }
-        )
-
-    return solve
-
-
-def _large_scores(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same scores by joins, a row per source and vertex."""
-    one_way = edges.select("u", "v", "w")
-    both = cut(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    vertices = cut(vertices.select("id", "size"))
-    links, nodes = path_counts(both, vertices)
+def _scores(sources: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """What the paths from some sources add: (u, v, score) in both directions and (v, v, score)."""
+    links, nodes = path_counts(edges, vertices, sources)
     # A link that leaves s itself belongs to one member of s, any other to all.
     weight = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_s"))
     of_links = (
         links.join(nodes.select("s", F.col("v").alias("u"), F.col("sigma").alias("sigma_u")), ["s", "u"])
         .join(nodes, ["s", "v"])
-        .select("u", "v", (weight * F.col("sigma_u") * (1 / F.col("sigma") + F.col("beyond"))).alias("score"))
+        .groupBy("u", "v")
+        .agg(F.sum(weight * F.col("sigma_u") * (1 / F.col("sigma") + F.col("beyond"))).alias("score"))
     )
-    directed = of_links.unionByName(of_links.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
-    of_edges = one_way.join(directed.groupBy("u", "v").agg(F.sum("score").alias("score")), ["u", "v"])
     of_vertices = (
         nodes.filter(F.col("v") != F.col("s"))
-        .join(vertices.select(F.col("id").alias("s"), F.col("size").alias("size_s")), "s")
+        .join(sources.select(F.col("id").alias("s"), F.col("size").alias("size_s")), "s")
         .groupBy("v")
         .agg(F.sum(F.col("size_s") * F.col("sigma") * F.col("beyond")).alias("score"))
     )
-    return of_edges.select("u", "v", "score").unionByName(
-        of_vertices.select(F.col("v").alias("u"), "v", "score")
+    return (
+        of_links.unionByName(of_links.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
+        .unionByName(of_vertices.select(F.col("v").alias("u"), "v", "score"))
     )
 
 
-def shortest_paths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(s, v, d): distances from every vertex to all it reaches.
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, v, d): distances from every source to all it reaches.
 
     ``edges`` holds both directions as (u, v, w) with w > 0.
     """
-    state = cut(
-        vertices.select(
+    rounds = Rounds("distances")
+    state = rounds.put(
+        sources.select(
             F.col("id").alias("s"),
             F.col("id").alias("v"),
             F.lit(0).cast("bigint").alias("d"),
@@ -231,7 +160,7 @@ def shortest_paths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         both = state.select("s", "v", "d", F.col("d").alias("old")).unionByName(
             steps.withColumn("old", F.lit(None).cast("bigint"))
         )
-        state = cut(
+        state = rounds.put(
             both.groupBy("s", "v")
             .agg(F.min("d").alias("d"), F.min("old").alias("old"))
             .select("s", "v", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("improved"))
@@ -239,14 +168,14 @@ def shortest_paths(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return state.drop("improved")
 
 
-def path_counts(edges: DataFrame, vertices: DataFrame):
+def path_counts(edges: DataFrame, vertices: DataFrame, sources: DataFrame):
     """Links (s, u, v, size_s) of all shortest-path DAGs, and nodes (s, v, sigma, beyond).
 
     ``vertices`` has ``id`` and ``size``.  ``sigma`` is the number of shortest paths
     from one member of s to one member of v, ``beyond`` the dependency of s on one
     member of v divided by ``sigma``.
     """
-    distances = shortest_paths(edges, vertices)
+    distances = shortest_paths(edges, sources)
     sizes = vertices.select("id", "size")
     links = cut(
         distances.select("s", F.col("v").alias("u"), F.col("d").alias("d_u"))
@@ -261,7 +190,7 @@ def path_counts(edges: DataFrame, vertices: DataFrame):
     # Only s itself starts a path, not the other members of its class.
     copies = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_u"))
     forward = _propagate(
-        vertices.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("n")),
+        sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("n")),
         links.select("s", F.col("u").alias("v"), F.col("v").alias("next"), copies.alias("factor")),
         keep_start=True,
     )
@@ -298,6 +227,11 @@ def _propagate(start: DataFrame, links: DataFrame, keep_start: bool) -> DataFram
         total = total.unionByName(front)
 
 
+def developer_classes(touches: DataFrame) -> DataFrame:
+    """(graph, author, v): the class, named by its least member, of every developer."""
+    return _classes(touches, "author", ["path"], "v")
+
+
 def collaboration_classes(touches: DataFrame):
     """Developer classes, and for each group of files with the same classes its pairs.
 
@@ -305,7 +239,7 @@ def collaboration_classes(touches: DataFrame):
     ``files`` (graph, path, bundle) and ``members`` (graph, bundle, v).
     """
     touches = cut(touches)
-    of_author = cut(_classes(touches, "author", ["path"], "v"))
+    of_author = cut(developer_classes(touches))
     developers = of_author.groupBy("graph", "v").agg(F.count(F.lit(1)).alias("size"))
     by_class = cut(touches.join(of_author, ["graph", "author"]).select("graph", "path", "v").distinct())
     files = _classes(by_class, "path", ["v"], "bundle")
@@ -346,7 +280,7 @@ def collab_edges(t, requests=None, whitelist=None, merges=False, **options) -> D
 
 
 def collaboration(
-    t, requests=None, whitelist=None, merges=False, small=(SMALL_VERTICES, SMALL_WORK), **options
+    t, requests=None, whitelist=None, merges=False, state_rows=STATE_ROWS, **options
 ) -> DataFrame:
     """Per path the greatest edge betweenness among developers who share it.
 
@@ -366,7 +300,7 @@ def collaboration(
         .filter(F.col("u") < F.col("v"))
     )
     edges = cut(pairs.select("graph", "u", "v").distinct().withColumn("w", F.lit(1).cast("bigint")))
-    scored, _ = betweenness(vertices, edges, small)
+    scored, _ = betweenness(vertices, edges, state_rows)
     across = pairs.join(scored, ["u", "v"]).select("b", "score")
     # Two members of one class are linked directly and serve no other pair.
     within = inside.filter(F.col("size") > 1).select("b", F.lit(1.0).alias("score"))
@@ -395,7 +329,7 @@ def contrib_edges(t, requests=None, whitelist=None, merges=False, **options) ->
 
 def contribution(
     t, requests=None, whitelist=None, merges=False, closeness=False,
-    small=(SMALL_VERTICES, SMALL_WORK), **options
+    state_rows=STATE_ROWS, **options
 ) -> DataFrame:
     """Weighted betweenness of every file in the developer-file graph.
 
@@ -433,7 +367,7 @@ def contribution(
         .select("graph", "u", "v", F.col("weight").alias("w"))
     )
     edges = cut(one_way)
-    _, through = betweenness(vertices, edges, small)
+    _, through = betweenness(vertices, edges, state_rows)
     # Members of one class reach each other over their nearest neighbours.
     twins = vertices.filter(F.col("size") > 1).select(F.col("id").alias("u"), F.col("size").alias("twins"))
     ways = edges.select("u", "v", "w").unionByName(

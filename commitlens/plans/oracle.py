@@ -2,7 +2,7 @@
 
 from commitlens.functions import paths, text
 from commitlens.plans.catalog import SEED
-from commitlens.plans.queries import MIN_SIMILARITY, SOME_OWNER, WHITELIST_EXTENSIONS, WHITELIST_NAMES
+from commitlens.plans.queries import MIN_SIMILARITY, PAIRED, SOME_OWNER, WHITELIST_EXTENSIONS, WHITELIST_NAMES
 from commitlens.sources.testdata import VIEWS, duckdb_ctes, used_tables
 
 ORACLE: dict[str, str] = {}
@@ -323,8 +323,11 @@ add("first_only", """SELECT project_id, sha, path, type, oid_before, oid_after F
 QUALIFY row_number() OVER (PARTITION BY project_id, sha ORDER BY path) = 1""")
 
 # Graphs.  A developer's class is the set of paths the developer touched.
-DEVELOPERS = f"""{TOUCHES},
-touched AS (SELECT project_id, path, concat(author_name, chr(9), author_email) AS author, count(*) AS weight FROM touches GROUP BY ALL),
+def developers(pair: bool) -> str:
+    also = f"UNION ALL SELECT * REPLACE (concat(author_name, '-pair') AS author_name) FROM touches WHERE author_name = '{PAIRED}'"
+    return f"""{TOUCHES},
+everyone AS (SELECT * FROM touches {also if pair else ''}),
+touched AS (SELECT project_id, path, concat(author_name, chr(9), author_email) AS author, count(*) AS weight FROM everyone GROUP BY ALL),
 path_sets AS (SELECT project_id, author, string_agg(path, ' ' ORDER BY path) AS paths FROM touched GROUP BY ALL),
 sized AS (SELECT project_id, author, min(author) OVER w AS name, count(*) OVER w AS size FROM path_sets
   WINDOW w AS (PARTITION BY project_id, paths)),
@@ -332,9 +335,18 @@ members AS (SELECT DISTINCT t.project_id, t.path, s.name, s.size FROM touched t
   JOIN sized s ON s.project_id = t.project_id AND s.author = t.author),
 edges AS (SELECT x.project_id, replace(x.name, chr(9), '|') AS u, replace(y.name, chr(9), '|') AS v, x.size AS size_u, y.size AS size_v, x.path
   FROM members x JOIN members y ON x.project_id = y.project_id AND x.path = y.path
-    AND (x.name < y.name OR x.name = y.name AND x.size > 1))"""
-add("collab_edges", "SELECT * FROM edges", DEVELOPERS)
-add("dev_pair_self_join", "SELECT project_id, u, v, count(*) AS n_files FROM edges GROUP BY ALL", DEVELOPERS)
+    AND (x.name < y.name OR x.name = y.name AND x.size > 1)),
+pairs AS (SELECT x.project_id, x.path, x.author AS a, y.author AS b FROM touched x JOIN touched y
+  ON x.project_id = y.project_id AND x.path = y.path AND x.author < y.author),
+named_pairs AS (SELECT p.project_id, p.path, p.a, p.b, least(m.name, n.name) AS u, greatest(m.name, n.name) AS v FROM pairs p
+  JOIN sized m ON m.project_id = p.project_id AND m.author = p.a JOIN sized n ON n.project_id = p.project_id AND n.author = p.b)"""
+
+
+add("collab_edges", "SELECT * FROM edges", developers(False))
+add("developer_classes", """SELECT project_id, replace(name, chr(9), '|') AS class, replace(author, chr(9), '|') AS member FROM sized""", developers(True))
+add("dev_pair_self_join", """SELECT project_id, replace(u, chr(9), '|') AS u, replace(v, chr(9), '|') AS v,
+  count(DISTINCT path) AS n_files, count(DISTINCT concat(a, '|', b)) AS n_pairs FROM named_pairs GROUP BY ALL""", developers(True))
+add("dev_pairs_per_file", "SELECT project_id, path, count(*) AS n_pairs FROM pairs GROUP BY ALL", developers(True))
 add("contrib_edges", """SELECT project_id, path, author_name, author_email, count(*) AS weight FROM touches GROUP BY ALL""", TOUCHES)
 add("contrib_prune", f"""SELECT project_id, path, author_name, author_email, count(*) AS weight FROM touches
 WHERE {WHITELISTED} GROUP BY ALL""", TOUCHES)
@@ -361,24 +373,46 @@ def betweenness(longest: int) -> str:
     return ",\n".join(parts)
 
 
-SHARED = f"""{TOUCHES},
-touched AS (SELECT DISTINCT project_id AS g, path, concat(author_name, '|', author_email) AS a FROM touches),
+def complete(longest: int) -> str:
+    """Fails the query if some shortest path is longer than was looked for."""
+    return f"""(SELECT count(*) FROM upto{longest} n JOIN e ON e.g = n.g AND e.u = n.v
+  WHERE NOT EXISTS (SELECT 1 FROM upto{longest} o WHERE o.g = n.g AND o.s = n.s AND o.v = e.v)) = 0"""
+
+
+SHARING = """touched AS (SELECT DISTINCT project_id AS g, path, concat(author_name, '|', author_email) AS a FROM touches),
 sharing AS MATERIALIZED (SELECT x.g, x.path, x.a AS u, y.a AS v FROM touched x JOIN touched y ON x.g = y.g AND x.path = y.path AND x.a <> y.a),
 e AS MATERIALIZED (SELECT DISTINCT g, u, v, 1 AS w FROM sharing)"""
-add("collaboration", """SELECT t.g AS project_id, t.path, round(max(k.score), 6) AS collaboration
+EDGE_SCORES = """one_way AS (SELECT n.g, n.v AS u, m.v AS v, sum(n.sig / m.sig * (1 + m.dep)) AS score
+  FROM back0 n JOIN e ON e.g = n.g AND e.u = n.v JOIN back0 m ON m.g = e.g AND m.v = e.v AND m.s = n.s AND m.d = n.d + 1 GROUP BY ALL),
+score AS (SELECT x.g, x.u, x.v, (x.score + y.score) / 2 AS score FROM one_way x JOIN one_way y ON x.g = y.g AND x.u = y.v AND x.v = y.u)"""
+COLLABORATION = f"""SELECT t.g AS project_id, t.path, round(max(k.score), 6) AS collaboration
 FROM (SELECT DISTINCT g, path FROM touched) t
 LEFT JOIN sharing p ON p.g = t.g AND p.path = t.path
-LEFT JOIN score k ON k.g = p.g AND k.u = p.u AND k.v = p.v GROUP BY ALL""", f"""{SHARED},
-{betweenness(8)},
-one_way AS (SELECT n.g, n.v AS u, m.v AS v, sum(n.sig / m.sig * (1 + m.dep)) AS score
-  FROM back0 n JOIN e ON e.g = n.g AND e.u = n.v JOIN back0 m ON m.g = e.g AND m.v = e.v AND m.s = n.s AND m.d = n.d + 1 GROUP BY ALL),
-score AS (SELECT x.g, x.u, x.v, (x.score + y.score) / 2 AS score FROM one_way x JOIN one_way y ON x.g = y.g AND x.u = y.v AND x.v = y.u)""")
-add("contribution", """SELECT t.g AS project_id, t.path, round(sum(k.dep) / 2, 6) AS contribution
-FROM (SELECT DISTINCT g, path FROM weighted) t JOIN back0 k ON k.g = t.g AND k.v = concat('f|', t.path) AND k.s <> k.v GROUP BY ALL""",
-    f"""{TOUCHES},
-weighted AS (SELECT project_id AS g, path, concat('a|', author_name, '|', author_email) AS a, count(*) AS w FROM touches GROUP BY ALL),
-e AS MATERIALIZED (SELECT g, a AS u, concat('f|', path) AS v, w FROM weighted UNION ALL SELECT g, concat('f|', path) AS u, a AS v, w FROM weighted),
-{betweenness(24)}""")
+LEFT JOIN score k ON k.g = p.g AND k.u = p.u AND k.v = p.v WHERE {complete(8)} GROUP BY ALL"""
+BIPARTITE = """weighted AS (SELECT project_id AS g, path, concat('a|', author_name, '|', author_email) AS a, count(*) AS w FROM touches GROUP BY ALL),
+e AS MATERIALIZED (SELECT g, a AS u, concat('f|', path) AS v, w FROM weighted UNION ALL SELECT g, concat('f|', path) AS u, a AS v, w FROM weighted)"""
+CONTRIBUTION = f"""SELECT t.g AS project_id, t.path, round(sum(k.dep) / 2, 6) AS contribution
+FROM (SELECT DISTINCT g, path FROM weighted) t JOIN back0 k ON k.g = t.g AND k.v = concat('f|', t.path) AND k.s <> k.v
+WHERE {complete(24)} GROUP BY ALL"""
+add("collaboration", COLLABORATION, f"{TOUCHES},\n{SHARING},\n{betweenness(8)},\n{EDGE_SCORES}")
+add("contribution", CONTRIBUTION, f"{TOUCHES},\n{BIPARTITE},\n{betweenness(24)}")
+# The same over what each project's last commit reaches.
+HEADS = f"""heads AS (SELECT project_id, max_by(sha, seq) AS sha FROM commits GROUP BY project_id),
+below AS (SELECT project_id, sha FROM heads UNION
+  SELECT p.project_id, p.parent_sha FROM below b JOIN commit_parents p ON p.project_id = b.project_id AND p.sha = b.sha),
+every_touch AS ({TOUCHES.removeprefix("touches AS (").removesuffix(")")}),
+touches AS (SELECT y.* FROM every_touch y JOIN below b ON b.project_id = y.project_id AND b.sha = y.sha)"""
+
+
+def add_at_heads(name, measured, column, extra):
+    sql = f"""SELECT r.project_id, h.sha, r.path, m.{column} FROM (SELECT DISTINCT project_id, path FROM changes) r
+JOIN heads h ON h.project_id = r.project_id LEFT JOIN ({measured}) m ON m.project_id = r.project_id AND m.path = r.path"""
+    add(name, sql, f"{HEADS},\n{extra}")
+    ORACLE[name] = ORACLE[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+add_at_heads("collaboration_at_commit", COLLABORATION, "collaboration", f"{SHARING},\n{betweenness(8)},\n{EDGE_SCORES}")
+add_at_heads("contribution_at_commit", CONTRIBUTION, "contribution", f"{BIPARTITE},\n{betweenness(24)}")
 
 # Catalog and streams.
 add("collect_enabled", f"""SELECT 'loc' AS metric, 'file' AS granularity, project_id, sha, path,

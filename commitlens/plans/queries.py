@@ -24,6 +24,7 @@ WHITELIST_NAMES = ["f7_1.py", "makefile"]
 WHITELIST_EXTENSIONS = ["C", "cpp"]
 MIN_SIMILARITY = 90
 SOME_OWNER = "own15"
+PAIRED = "dev0"
 
 
 def query(fn):
@@ -548,11 +549,36 @@ def collab_edges(t):
     )
 
 
+def paired(t):
+    """History in which one developer always works with another, who so has the same files."""
+    pair = t.commits.filter(F.col("author_name") == PAIRED).withColumn("author_name", F.concat("author_name", F.lit("-pair")))
+    return SimpleNamespace(changes=t.changes, commits=t.commits.unionByName(pair))
+
+
+@query
+def developer_classes(t):
+    """Members of every class of developers with equal files."""
+    return graph.developer_classes(graph.author_touches(paired(t))).select(
+        "graph.project_id", author("v").alias("class"), author("author").alias("member")
+    )
+
+
 @query
 def dev_pair_self_join(t):
-    """Shared files per edge of the developer graph."""
-    return graph.collab_edges(t).groupBy("graph", "u", "v").agg(F.count(F.lit(1)).alias("n_files")).select(
-        "graph.project_id", author("u").alias("u"), author("v").alias("v"), "n_files"
+    """Shared files and developer pairs per edge of the developer graph."""
+    pairs = F.when(F.col("u") == F.col("v"), F.col("size_u") * (F.col("size_u") - 1) / 2).otherwise(F.col("size_u") * F.col("size_v"))
+    edges = graph.collab_edges(paired(t)).groupBy("graph", "u", "v").agg(
+        F.count(F.lit(1)).alias("n_files"), F.max(pairs.cast("bigint")).alias("n_pairs")
+    )
+    return edges.select("graph.project_id", author("u").alias("u"), author("v").alias("v"), "n_files", "n_pairs")
+
+
+@query
+def dev_pairs_per_file(t):
+    """Pairs of developers who share a file, counted over the edges between their classes."""
+    pairs = F.when(F.col("u") == F.col("v"), F.col("size_u") * (F.col("size_u") - 1) / 2).otherwise(F.col("size_u") * F.col("size_v"))
+    return graph.collab_edges(paired(t)).groupBy("graph", "path").agg(F.sum(pairs.cast("bigint")).alias("n_pairs")).select(
+        "graph.project_id", "path", "n_pairs"
     )
 
 
@@ -561,6 +587,24 @@ def collaboration(t):
     return graph.collaboration(t).withColumn("collaboration", F.round("collaboration", 6))
 
 
+def at_head(t):
+    """Every file of every project, asked for at the project's last commit."""
+    heads = t.commits.groupBy("project_id").agg(F.max_by("sha", "seq").alias("sha"))
+    return change_paths(t).join(heads, "project_id").select(*CHANGE_KEY)
+
+
+@query
+def collaboration_at_commit(t):
+    scores = graph.collaboration(t, at_head(t), merges=True)
+    return scores.withColumn("collaboration", F.round("collaboration", 6))
+
+
+@query
+def contribution_at_commit(t):
+    scores = graph.contribution(t, at_head(t), merges=True)
+    return scores.withColumn("contribution", F.round("contribution", 6))
+
+
 @query
 def contrib_edges(t):
     return graph.contrib_edges(t).select("graph.project_id", "path", "author.*", "weight")

@@ -87,12 +87,12 @@ def random_touches(seed):
     return touches
 
 
-@pytest.mark.parametrize("small", [(graph.SMALL_VERTICES, graph.SMALL_WORK), (0, 0), (5, 40)])
-def test_scores_match_enumeration(spark, tables, small):
+@pytest.mark.parametrize("state_rows", [graph.STATE_ROWS, 300])
+def test_scores_match_enumeration(spark, tables, state_rows):
     cases = {seed: random_touches(seed) for seed in range(14)}
     t = tables(**history_of([(seed, a, p) for seed, case in cases.items() for a, p in case]))
     got = {
-        name: {(r["project_id"], r["path"]): r[name] for r in getattr(graph, name)(t, small=small).collect()}
+        name: {(r["project_id"], r["path"]): r[name] for r in getattr(graph, name)(t, state_rows=state_rows).collect()}
         for name in ("collaboration", "contribution")
     }
     for seed, case in cases.items():
