@@ -84,9 +84,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "items",
     )
     found = windows(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "tie", "at", "window", "slots")
-    hits = found.join(items, "window").select(
-        "doc_id", "tie", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots"
-    ).distinct()
+    hits = cut(
+        found.join(items, "window")
+        .select("doc_id", "tie", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots")
+        .distinct(),
+        "hits",
+    )
     place = ["doc_id", "tie", "item_id", "item_windows", "shift"]
     # Slot pairs of an alignment: as many pairs as values on either side.
     pairs = (
