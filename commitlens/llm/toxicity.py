@@ -147,6 +147,21 @@ class Model:
     final: np.ndarray = None
     base: float = 0.0
 
+    def __getstate__(self):
+        """Weights travel to the tasks without their zeros."""
+        state = dict(self.__dict__)
+        if self.weights is not None:
+            at = np.flatnonzero(self.weights)
+            state["weights"] = (len(self.weights), at, self.weights[at])
+        return state
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.weights is not None:
+            size, at, values = self.weights
+            self.weights = np.zeros(size, dtype=np.float32)
+            self.weights[at] = values
+
     def emission(self, features):
         total = np.full(len(features), self.weights[-1], dtype=np.float64)
         for column in features.T:
@@ -174,24 +189,52 @@ class Model:
         return w, p, 1 / (1 + np.exp(-self.evidence(w, p) @ self.final))
 
 
-def _toxic_units(w, units, toxic):
+def _by_slices(texts):
+    """(first document, tokens) of slices of the texts: hashing a byte takes tens of bytes."""
+    for start, stop in W.slices(texts):
+        yield start, tokens(texts.slice(start, stop - start))
+
+
+def _toxic_units(texts, toxic):
     """Words and prefixes found so much more in toxic documents that chance would not
     produce one such among all (a binomial likelihood ratio with a Bonferroni bound)."""
     share = toxic.mean()
+    once = [[] for _ in range(1 + len(PREFIXES))]
+    for start, (w, units, _) in _by_slices(texts):
+        for seen, unit in zip(once, units.T):
+            _, i = np.unique(unit ^ W.mix(w.doc.astype(np.uint64) + _U(1)), return_index=True)
+            seen.append((unit[i], toxic[w.doc[i] + start]))
     found = []
-    for unit in units.T:
-        _, once = np.unique(unit ^ W.mix(w.doc.astype(np.uint64) + _U(1)), return_index=True)
-        names, where = np.unique(unit[once], return_inverse=True)
-        bad = toxic[w.doc[once]]
-        n, hits = np.bincount(where), np.bincount(where, bad)
+    for seen in once:
+        names, where = np.unique(np.concatenate([u for u, _ in seen]), return_inverse=True)
+        n, hits = np.bincount(where), np.bincount(where, np.concatenate([b for _, b in seen]))
         q = np.clip(hits / n, 1e-9, 1 - 1e-9)
         ratio = n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share)))
         found.append(names[(q > 0.8) & (ratio > np.log(100 * len(names)))])
     return found
 
 
-def _train_field(w, features, y):
+class _Sequences:
+    """What the field needs of many documents: word counts and, where asked, features and toxic tokens."""
+
+    def __init__(self, texts, marked, toxic):
+        counts, features, y = [], [], []
+        for start, (w, units, f) in _by_slices(texts):
+            hit = np.zeros(len(w.starts), dtype=bool)
+            for unit, names in zip(units.T, marked):
+                hit |= np.isin(unit, names)
+            counts.append(w.counts)
+            features.append(f)
+            y.append(hit & toxic[w.doc + start])
+        self.counts = np.concatenate(counts)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.features, self.y = np.concatenate(features), np.concatenate(y)
+
+
+def _train_field(w):
     """Adam on the field's penalised log likelihood: weights with the bias last, and log transitions."""
+    features, y = w.features, w.y
     weights = np.zeros(BUCKETS + 1)
     rate = y.mean()
     weights[-1] = np.log(rate / (1 - rate))
@@ -230,22 +273,19 @@ def fit(texts, toxic, share):
     name, rest = nth % 3 != 0, nth % 3 == 0
     if not toxic[name].any() or toxic[name].all() or not toxic[rest].any() or toxic[rest].all():
         return Model(base=float(share))
-    w, units, _ = tokens(texts.filter(pa.array(name)))
-    marked = _toxic_units(w, units, toxic[name])
+    marked = _toxic_units(texts.filter(pa.array(name)), toxic[name])
     field = name & (nth <= 1.5 * FIELD_SAMPLE)
-    w, units, features = tokens(texts.filter(pa.array(field)))
-    y = np.zeros(len(w.starts), dtype=bool)
-    for unit, names in zip(units.T, marked):
-        y |= np.isin(unit, names)
-    y &= toxic[field][w.doc]
-    if not y.any():
+    w = _Sequences(texts.filter(pa.array(field)), marked, toxic[field])
+    if not w.y.any():
         return Model(base=float(share))
-    weights, trans = _train_field(w, features, y)
+    weights, trans = _train_field(w)
     model = Model(weights.astype(np.float32), np.exp(trans).reshape(2, 2))
 
-    w, _, features = tokens(texts.filter(pa.array(rest)))
-    _, _, p = marginals(w.first, w.counts, model.emission(features), model.transition)
-    x, t = model.evidence(w, p), toxic[rest]
+    x, t = [], toxic[rest]
+    for _, (w, _, features) in _by_slices(texts.filter(pa.array(rest))):
+        _, _, p = marginals(w.first, w.counts, model.emission(features), model.transition)
+        x.append(model.evidence(w, p))
+    x = np.concatenate(x)
     # The sample has more toxic documents than the labels: weigh both kinds back.
     weight = np.where(t, share / t.mean(), (1 - share) / (1 - t.mean()))
     final = np.zeros(x.shape[1])
