@@ -1,10 +1,12 @@
 """Metrics of one change: churn, relative churn, hunks, keywords and tokens."""
 
+from types import SimpleNamespace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions import text
-from commitlens.schemas import ADDED, CHANGE_KEY, DELETED
+from commitlens.schemas import ADDED, CHANGE_KEY, DELETED, NO_OID
 
 
 def for_requests(measures: DataFrame, requests: DataFrame | None, keys=CHANGE_KEY) -> DataFrame:
@@ -12,6 +14,27 @@ def for_requests(measures: DataFrame, requests: DataFrame | None, keys=CHANGE_KE
     return measures if requests is None else requests.join(measures, list(keys), "left")
 
 
+def asked_only(t, requests: DataFrame | None):
+    """The tables with only what the requests can need: their changes, and the contents,
+    functions, comments, ranges and blame of those.  All there is without requests."""
+    if requests is None:
+        return t
+    asked = requests.select(*CHANGE_KEY).distinct()
+    changes = t.changes.join(asked, CHANGE_KEY, "left_semi")
+    oids = (
+        changes.select(F.col("oid_before").alias("oid")).union(changes.select("oid_after")).filter(F.col("oid") != NO_OID).distinct()
+    )
+    reduced = SimpleNamespace(changes=changes)
+    for name in ("blobs", "comments", "functions", "linechanges", "blame", "commits", "projects"):
+        table = getattr(t, name, None)
+        if table is not None and name in ("blobs", "comments", "functions"):
+            table = table.join(oids, "oid", "left_semi")
+        elif table is not None and name in ("linechanges", "blame"):
+            table = table.join(asked, CHANGE_KEY, "left_semi")
+        setattr(reduced, name, table)
+    return reduced
+
+
 def churn(t, requests=None, **options) -> DataFrame:
     """Inserted, deleted and all changed lines; null for binary files."""
     both = F.col("insertions") + F.col("deletions")
@@ -27,6 +50,7 @@ def churn(t, requests=None, **options) -> DataFrame:
 
 def relativechurn(t, requests=None, **options) -> DataFrame:
     """Churn divided by the size of the new version."""
+    t = asked_only(t, requests)
     sizes = t.blobs.select(
         F.col("oid").alias("oid_after"), text.content_size(F.col("content")).alias("size")
     )

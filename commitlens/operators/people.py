@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.operators import dag, history, ranges
-from commitlens.operators.change import for_requests
+from commitlens.operators.change import asked_only, for_requests
 from commitlens.schemas import AUTHOR, CHANGE_KEY
 
 PATH = ["project_id", "path"]
@@ -174,6 +174,7 @@ def offender(t, requests=None, **options) -> DataFrame:
 
 def interactivechurn(t, requests=None, unit="ranges", **options) -> DataFrame:
     """Share of deleted ranges (or lines) that another developer wrote last."""
+    t = asked_only(t, requests)
     deleted = t.linechanges.filter(F.col("kind") == "-").select(*CHANGE_KEY, "begin", "end")
     lines = F.col("end") - F.col("begin") + 1
     size = F.count(F.lit(1)) if unit == "ranges" else F.sum(lines)

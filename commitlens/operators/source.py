@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import paths, text
 from commitlens.operators import history, ranges
-from commitlens.operators.change import for_requests
+from commitlens.operators.change import asked_only, for_requests
 from commitlens.schemas import CHANGE_KEY, MODIFIED, NO_OID
 
 
@@ -160,6 +160,7 @@ def loc(t, requests=None, granularity="file", **options) -> DataFrame:
     ``granularity='function'`` gives ``map<signature, struct>``; any other value
     than ``function`` means ``file``.
     """
+    t = asked_only(t, requests)
     if granularity != "function":
         return _of_changes(t, requests, blob_loc(t.blobs, t.comments), True)
     functions = blob_function_loc(t.blobs, t.comments, t.functions)
@@ -185,63 +186,67 @@ def functionchurn(t, requests=None, **options) -> DataFrame:
     A modified function is one of the new version whose signature both versions
     have and whose span meets a changed range, whichever numbering the range uses.
     """
-    spans = t.functions.groupBy("oid").agg(
-        F.collect_list(F.struct("signature", "begin_line", "end_line")).alias("functions")
-    )
+    t = asked_only(t, requests)
     # Empty and missing contents are never parsed.
-    spans = spans.join(t.blobs.filter(F.col("content") != "").select("oid"), "oid", "left_semi")
+    functions = t.functions.join(t.blobs.filter(F.col("content") != "").select("oid"), "oid", "left_semi")
+    names = functions.select("oid", "signature").distinct()
+    number = names.groupBy("oid").agg(F.count(F.lit(1)).alias("n"))
     readable = paths.is_supported(F.col("language")) & paths.is_parsable(F.col("path"))
-    touched = t.linechanges.groupBy(*CHANGE_KEY).agg(
-        F.collect_list(F.struct("begin", "end")).alias("ranges")
-    )
     languages = t.projects.select(F.col("id").alias("project_id"), "language")
-    parsed = (
-        t.changes.join(languages, "project_id")
-        .select(
-            *CHANGE_KEY,
-            "type",
-            paths.is_supported(F.col("language")).alias("supported"),
-            version_key("oid_before", readable).alias("oid_before"),
-            version_key("oid_after", readable).alias("oid_after"),
-        )
-        .join(spans.select(F.col("oid").alias("oid_before"), F.col("functions").alias("before")), "oid_before", "left")
-        .join(spans.select(F.col("oid").alias("oid_after"), F.col("functions").alias("after")), "oid_after", "left")
-        .join(touched, CHANGE_KEY, "left")
-    )
-    span_list = "array<struct<signature:string,begin_line:bigint,end_line:bigint>>"
-    none = F.array().cast(span_list)
-    no_ranges = F.array().cast("array<struct<begin:bigint,end:bigint>>")
-    sided = parsed.select(
+    versions = t.changes.join(languages, "project_id").select(
         *CHANGE_KEY,
-        "supported",
-        (F.col("before").isNotNull() | F.col("after").isNotNull()).alias("parsed"),
-        F.coalesce(F.col("before").cast(span_list), none).alias("before"),
-        F.coalesce(F.col("after").cast(span_list), none).alias("after"),
-        F.when(F.col("type") == MODIFIED, F.coalesce("ranges", no_ranges)).otherwise(no_ranges).alias("ranges"),
-    ).select(
-        "*",
-        F.array_distinct(F.transform("before", lambda f: f["signature"])).alias("b"),
-        F.array_distinct(F.transform("after", lambda f: f["signature"])).alias("a"),
+        "type",
+        paths.is_supported(F.col("language")).alias("supported"),
+        version_key("oid_before", readable).alias("oid_before"),
+        version_key("oid_after", readable).alias("oid_after"),
     )
-    modified = F.filter(
-        "after",
-        lambda f: F.array_contains(F.col("b"), f["signature"])
-        & F.exists(
-            "ranges", lambda r: (r["begin"] <= f["end_line"]) & (r["end"] >= f["begin_line"])
-        ),
+    # Signatures are compared once for every pair of versions, however many changes lead from one to the other.
+    pair = ["oid_before", "oid_after"]
+    pairs = versions.select(*pair).distinct()
+    kept = pairs.join(names.withColumnRenamed("oid", "oid_before"), "oid_before").join(
+        names.withColumnRenamed("oid", "oid_after"), ["oid_after", "signature"]
     )
+    common = kept.groupBy(*pair).agg(F.count(F.lit(1)).alias("common"))
+    counted = (
+        versions.join(number.select(F.col("oid").alias("oid_before"), F.col("n").alias("b")), "oid_before", "left")
+        .join(number.select(F.col("oid").alias("oid_after"), F.col("n").alias("a")), "oid_after", "left")
+        .join(common, pair, "left")
+        .join(_modified(versions, kept, functions, t.linechanges), CHANGE_KEY, "left")
+    )
+    parsed = F.col("a").isNotNull() | F.col("b").isNotNull()
 
     def when_parsed(n):
-        return F.when(F.col("parsed"), n.cast("bigint"))
+        return F.when(parsed, n.cast("bigint"))
 
-    counted = sided.select(
+    shared = F.coalesce("common", F.lit(0))
+    measures = counted.select(
         *CHANGE_KEY,
         "supported",
-        when_parsed(F.size(F.array_except("a", "b"))).alias("insertions"),
-        when_parsed(F.size(F.array_except("b", "a"))).alias("deletions"),
-        when_parsed(F.size(modified)).alias("modifications"),
+        when_parsed(F.coalesce("a", F.lit(0)) - shared).alias("insertions"),
+        when_parsed(F.coalesce("b", F.lit(0)) - shared).alias("deletions"),
+        when_parsed(F.coalesce("modified", F.lit(0))).alias("modifications"),
     ).withColumn("aggregate", F.col("insertions") + F.col("deletions") + F.col("modifications"))
-    return for_requests(counted, requests)
+    return for_requests(measures, requests)
+
+
+def _modified(versions, kept, functions, linechanges) -> DataFrame:
+    """(change, modified): functions of the new version that the old one had, and that a changed range meets.
+
+    A function is met if the furthest end of the ranges that begin before its end lies
+    behind its begin: one sorted pass over the ranges and functions of a change.
+    """
+    spans = kept.join(functions.withColumnRenamed("oid", "oid_after"), ["oid_after", "signature"])
+    changed = versions.filter(F.col("type") == MODIFIED).select(*CHANGE_KEY, "oid_before", "oid_after")
+    asks = changed.join(spans, ["oid_before", "oid_after"]).select(
+        *CHANGE_KEY, F.col("end_line").cast("bigint").alias("at"), F.col("begin_line").cast("bigint").alias("begin"), F.lit(None).cast("bigint").alias("end")
+    )
+    ranged = linechanges.select(
+        *CHANGE_KEY, F.col("begin").cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end")
+    ).join(asks.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi")
+    # At equal places ranges come first.
+    upto = Window.partitionBy(*CHANGE_KEY).orderBy("at", F.col("begin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    met = asks.unionByName(ranged).select(*CHANGE_KEY, "begin", F.max("end").over(upto).alias("furthest"))
+    return met.filter(F.col("furthest") >= F.col("begin")).groupBy(*CHANGE_KEY).agg(F.count(F.lit(1)).alias("modified"))
 
 
 def signature_sides(t) -> DataFrame:
@@ -294,6 +299,7 @@ def comment_on_line(t) -> DataFrame:
 
 
 def _per_function(t, requests, name, measure, **options) -> DataFrame:
+    t = asked_only(t, requests)
     bodies = ranges.function_lines(t.blobs, t.functions).select(
         "oid", "ord", "signature", F.array_join("lines", "\n").alias("body")
     )

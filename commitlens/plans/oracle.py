@@ -414,6 +414,13 @@ JOIN heads h ON h.project_id = r.project_id LEFT JOIN ({measured}) m ON m.projec
 add_at_heads("collaboration_at_commit", COLLABORATION, "collaboration", f"{SHARING},\n{betweenness(8)},\n{EDGE_SCORES}")
 add_at_heads("contribution_at_commit", CONTRIBUTION, "contribution", f"{BIPARTITE},\n{betweenness(24)}")
 
+# Metrics of requested changes only.
+for _name, _how in (
+    ("relativechurn", "LEFT"), ("interactivechurn", "LEFT"), ("functionchurn", "LEFT"), ("loc_file", "LEFT"), ("complexity", ""), ("nesting", "")
+):
+    add(f"{_name}_requested", f"""SELECT r.request_id, r.project_id, r.sha, r.path, m.* EXCLUDE (project_id, sha, path)
+FROM requests r {_how} JOIN ({ORACLE[_name]}) m ON m.project_id = r.project_id AND m.sha = r.sha AND m.path = r.path""")
+
 # Catalog and streams.
 add("collect_enabled", f"""SELECT 'loc' AS metric, 'file' AS granularity, project_id, sha, path,
   CASE WHEN aggregate IS NOT NULL THEN concat('{{"blank":', blank, ',"comment":', "comment", ',"source":', source, ',"aggregate":', aggregate, '}}') END AS measure

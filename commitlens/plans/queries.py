@@ -375,6 +375,45 @@ def relativechurn(t):
     return result.select(*CHANGE_KEY, *[F.round(c, 6).alias(c) for c in ("insertions", "deletions", "aggregate")])
 
 
+def asked(t):
+    return t.requests.select("request_id", *CHANGE_KEY)
+
+
+def asked_columns(result, *columns):
+    return result.select("request_id", *CHANGE_KEY, *columns)
+
+
+@query
+def relativechurn_requested(t):
+    columns = [F.round(c, 6).alias(c) for c in ("insertions", "deletions", "aggregate")]
+    return asked_columns(change.relativechurn(t, asked(t)), *columns)
+
+
+@query
+def interactivechurn_requested(t):
+    return asked_columns(people.interactivechurn(t, asked(t)), F.round("interactivechurn", 6).alias("interactivechurn"))
+
+
+@query
+def functionchurn_requested(t):
+    return source.functionchurn(t, asked(t))
+
+
+@query
+def loc_file_requested(t):
+    return source.loc(t, asked(t))
+
+
+@query
+def complexity_requested(t):
+    return asked_columns(long_map(source.complexity(t, asked(t)), "complexity", "signature", "n"), "signature", "n")
+
+
+@query
+def nesting_requested(t):
+    return asked_columns(long_map(source.nesting(t, asked(t)), "nesting", "signature", "n"), "signature", "n")
+
+
 @query
 def hunk(t):
     return change.hunk(t)
