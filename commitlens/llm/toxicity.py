@@ -191,7 +191,7 @@ class Model:
 
 def _by_slices(texts):
     """(first document, tokens) of slices of the texts: hashing a byte takes tens of bytes."""
-    for start, stop in W.slices(texts):
+    for start, stop in W.slices(texts, 1 << 20):
         yield start, tokens(texts.slice(start, stop - start))
 
 
@@ -311,9 +311,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, held_out, sample: int = S
     for y, n in totals.items():
         limit = F.when(F.col("y") == y, F.lit(int(min(1.0, (sample if y else clean) / n) * (1 << 20)))).otherwise(limit)
     chosen = named.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < limit)
+    # The sample's rows are few by its bound, so their ids may be broadcast and no text is shuffled.
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").toPandas()
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").toPandas()
         .sort_values(["doc_id", "text"], kind="stable")
     )
     return fit(pa.array(rows.text.to_list(), pa.string()), rows.y.to_numpy() == 1, share)
