@@ -8,7 +8,7 @@ Memory is bounded by ``CHUNK`` bytes of text, or by one document if that is long
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 WORD = r"[^\x20\x09-\x0D]+"
 
 _U = np.uint64
