@@ -15,6 +15,11 @@ from commitlens.session import cut
 COMMIT = ["project_id", "sha"]
 
 
+def by_reach(t, merges: bool | None) -> bool:
+    """Whether "up to a commit" means what it reaches: as asked, else wherever parents are known."""
+    return getattr(t, "commit_parents", None) is not None if merges is None else merges
+
+
 def _followers(commits: DataFrame, first: DataFrame) -> DataFrame:
     """For each commit with children by first parent, the child with most descendants.
 

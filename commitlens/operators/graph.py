@@ -48,7 +48,7 @@ def _classes(rows: DataFrame, member: str, neighbour: list[str], name: str) -> D
     return digests.join(named, ["graph", "digest"]).select("graph", member, name)
 
 
-def author_touches(t, requests=None, whitelist=None, merges=False) -> DataFrame:
+def author_touches(t, requests=None, whitelist=None, merges=None) -> DataFrame:
     """Whitelisted (graph, path, author) touches with their number of commits.
 
     ``whitelist`` may hold ``names`` and ``extensions``, lists of regular expressions.
@@ -63,7 +63,7 @@ def author_touches(t, requests=None, whitelist=None, merges=False) -> DataFrame:
     touched = history.touches(kept, t.commits).withColumn("author", F.struct(*AUTHOR))
     if requests is None:
         rows = touched.withColumn("graph", F.struct("project_id", F.lit(None).cast("string").alias("sha")))
-    elif merges:
+    elif dag.by_reach(t, merges):
         rows = dag.Reached(t, requests).join(touched).withColumn(
             "graph", F.struct("project_id", F.col("till_sha").alias("sha"))
         )
@@ -256,7 +256,7 @@ def class_pairs(members: DataFrame) -> DataFrame:
     return left.join(members, ["graph", "bundle"]).filter(F.col("u") < F.col("v"))
 
 
-def collab_edges(t, requests=None, whitelist=None, merges=False, **options) -> DataFrame:
+def collab_edges(t, requests=None, whitelist=None, merges=None, **options) -> DataFrame:
     """Edges of the developer graph in long form, one row per edge and shared file.
 
     An edge between classes u and v stands for ``size_u * size_v`` developer
@@ -280,7 +280,7 @@ def collab_edges(t, requests=None, whitelist=None, merges=False, **options) -> D
 
 
 def collaboration(
-    t, requests=None, whitelist=None, merges=False, state_rows=STATE_ROWS, **options
+    t, requests=None, whitelist=None, merges=None, state_rows=STATE_ROWS, **options
 ) -> DataFrame:
     """Per path the greatest edge betweenness among developers who share it.
 
@@ -322,13 +322,13 @@ def _of_paths(scores: DataFrame, requests) -> DataFrame:
     return for_requests(measures, requests, ["project_id", "sha", "path"])
 
 
-def contrib_edges(t, requests=None, whitelist=None, merges=False, **options) -> DataFrame:
+def contrib_edges(t, requests=None, whitelist=None, merges=None, **options) -> DataFrame:
     """Developer-file edges with the number of commits as weight, files whitelisted."""
     return author_touches(t, requests, whitelist, merges)
 
 
 def contribution(
-    t, requests=None, whitelist=None, merges=False, closeness=False,
+    t, requests=None, whitelist=None, merges=None, closeness=False,
     state_rows=STATE_ROWS, **options
 ) -> DataFrame:
     """Weighted betweenness of every file in the developer-file graph.

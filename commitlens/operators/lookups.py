@@ -35,17 +35,19 @@ def get_commits(commits, changes=None, path_requests=None) -> DataFrame:
     return touched.select(*CHANGE_KEY).join(commits, COMMIT_KEY)
 
 
-def get_commits_till(t, requests, to_path=False, merges=False) -> DataFrame:
+def get_commits_till(t, requests, to_path=False, merges=None) -> DataFrame:
     """Commits at or before each requested (project, sha).
 
-    With ``merges`` that means reachable, otherwise not later in linear history.
+    That means reachable where parents are known; with ``merges=False`` not later in linear history.
+    The result has a row per request and commit: ``dag.Reached(t, requests).till`` is the compact
+    form, a position per chain.
     With ``to_path`` the requests carry a path and only commits touching it are
     kept.  The request's sha is returned as ``till_sha``.
     """
     keys = CHANGE_KEY if to_path else COMMIT_KEY
     points = requests.select(*keys).distinct()
     facts = t.changes.select(*CHANGE_KEY).join(t.commits, COMMIT_KEY) if to_path else t.commits
-    if merges:
+    if dag.by_reach(t, merges):
         reached = dag.Reached(t, requests)
         if not to_path:
             return reached.join(facts)

@@ -1,8 +1,8 @@
 """Metrics of people and history: past changes and authors, ownership, offenders.
 
 Requests may name any commit of a project, also one that does not touch the path.
-With ``merges=True`` "up to the commit" means reachable through ``commit_parents``;
-otherwise history is taken as linear, in the order of ``seq``.
+"Up to the commit" means reachable through ``commit_parents`` where that table is there;
+with ``merges=False`` history is taken as linear, in the order of ``seq``.
 """
 
 from pyspark.sql import DataFrame
@@ -34,9 +34,9 @@ def _till(keys: DataFrame) -> DataFrame:
     return keys.withColumnRenamed("sha", "till_sha")
 
 
-def pastchanges(t, requests=None, merges=False, **options) -> DataFrame:
+def pastchanges(t, requests=None, merges=None, **options) -> DataFrame:
     """Changes of the path up to the commit, less one for the commit itself."""
-    if merges:
+    if dag.by_reach(t, merges):
         asked = _own_changes(t, requests).select(*CHANGE_KEY).distinct()
         reached = dag.Reached(t, asked)
         counts = reached.count(t.changes.select(*CHANGE_KEY), _till(asked), ["path"], "n")
@@ -57,9 +57,9 @@ def pastchanges(t, requests=None, merges=False, **options) -> DataFrame:
     return for_requests(measures, requests)
 
 
-def pastauthors(t, requests=None, merges=False, **options) -> DataFrame:
+def pastauthors(t, requests=None, merges=None, **options) -> DataFrame:
     """Distinct authors of the path up to the commit, its own author left out."""
-    if merges:
+    if dag.by_reach(t, merges):
         asked = _own_changes(t, requests).select(*CHANGE_KEY).distinct()
         reached = dag.Reached(t, asked)
         touches = reached.with_position(history.touches(t.changes, t.commits).select(*CHANGE_KEY, *AUTHOR))
@@ -105,13 +105,13 @@ def pastauthors(t, requests=None, merges=False, **options) -> DataFrame:
     return for_requests(measures, requests)
 
 
-def ownership(t, requests=None, merges=False, **options) -> DataFrame:
+def ownership(t, requests=None, merges=None, **options) -> DataFrame:
     """Share of all commits up to the commit made by the named developer.
 
     Without requests: the share of each commit's own author.
     """
     developer = ["project_id", *AUTHOR]
-    if merges:
+    if dag.by_reach(t, merges):
         named = requests is not None
         asked = (
             requests.withColumnsRenamed({"name": "author_name", "email": "author_email"})

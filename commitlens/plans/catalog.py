@@ -84,8 +84,8 @@ def metrics_get(metrics: DataFrame, project_metrics: DataFrame, granularity=None
     return on.join(wanted, "id")
 
 
-def as_measures(name: str, granularity: str, result: DataFrame) -> DataFrame:
-    """Any metric's result in the layout of the measure sink.
+def as_measures(name: str, granularity: str, result: DataFrame, also=()) -> DataFrame:
+    """Any metric's result in the layout of the measure sink, behind the columns ``also``.
 
     ``measure`` is the JSON of the metric's own columns; null if all are null.
     """
@@ -97,6 +97,7 @@ def as_measures(name: str, granularity: str, result: DataFrame) -> DataFrame:
         return (F.coalesce(*there) if there else F.lit(None)).cast("string")
 
     return result.select(
+        *[F.col(c) if c in result.columns else F.lit(None).cast("bigint").alias(c) for c in also],
         F.lit(name).alias("metric"),
         F.lit(granularity).alias("granularity"),
         "project_id",

@@ -431,4 +431,18 @@ SELECT 'offender' AS metric, 'file' AS granularity, project_id, sha, path,
 FROM ({ORACLE["offender"]}) o""")
 add("stream_collect", f"""SELECT x.request_id, 'churn' AS metric, x.project_id, x.sha, x.path, x.name, x.email,
   y.insertions, y.deletions, y.insertions + y.deletions AS aggregate FROM requests x LEFT JOIN changes y ON {SAME_KEY}""")
+def _json(*columns):
+    return "concat('{', " + ", ',', ".join(f"""'"{c}":', coalesce(CAST({e} AS STRING), 'null')""" for c, e in columns) + ", '}')"
+
+
+STREAMED = (
+    ("churn", "churn", [("insertions", "insertions"), ("deletions", "deletions"), ("aggregate", "aggregate")], "aggregate"),
+    ("hunk", "hunk", [("hunks", "hunks")], "hunks"),
+    ("functionchurn", "functionchurn", [(c, c) for c in ("supported", "insertions", "deletions", "modifications", "aggregate")], "supported"),
+    ("loc", "loc_file", [(c, f'"{c}"') for c in ("blank", "comment", "source", "aggregate")], "aggregate"),
+)
+add("stream_collect_mixed", "\nUNION ALL\n".join(f"""SELECT r.request_id, '{name}' AS metric, r.project_id, r.sha, r.path,
+  CASE WHEN m.{known} IS NOT NULL THEN {_json(*columns)} END AS measure
+FROM requests r LEFT JOIN ({ORACLE[query]}) m ON m.project_id = r.project_id AND m.sha = r.sha AND m.path = r.path
+WHERE r.request_id % {len(STREAMED)} = {k}""" for k, (name, query, columns, known) in enumerate(STREAMED)))
 ORACLE["stream_project_created"] = ORACLE["metrics_seed"]

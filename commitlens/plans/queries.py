@@ -197,13 +197,13 @@ def get_commits_path(t):
 
 @query
 def get_commits_till_sha(t):
-    found = lookups.get_commits_till(t, t.requests)
+    found = lookups.get_commits_till(t, t.requests, merges=False)
     return found.select("project_id", "till_sha", "sha", "ts", *AUTHOR)
 
 
 @query
 def get_commits_till_sha_path(t):
-    found = lookups.get_commits_till(t, t.requests, to_path=True)
+    found = lookups.get_commits_till(t, t.requests, to_path=True, merges=False)
     return found.select("project_id", "path", "till_sha", "sha", "ts", *AUTHOR)
 
 
@@ -421,33 +421,33 @@ def hunk(t):
 
 @query
 def pastchanges(t):
-    return people.pastchanges(t)
+    return people.pastchanges(t, merges=False)
 
 
 @query
 def history_asof(t):
-    return people.pastchanges(t, asked_change(t))
+    return people.pastchanges(t, asked_change(t), merges=False)
 
 
 @query
 def pastauthors(t):
-    return people.pastauthors(t)
+    return people.pastauthors(t, merges=False)
 
 
 @query
 def author_set_minus_self(t):
-    return people.pastauthors(t, asked_change(t))
+    return people.pastauthors(t, asked_change(t), merges=False)
 
 
 @query
 def ownership(t):
     asked = t.requests.select("request_id", "project_id", "sha", "name", "email")
-    return people.ownership(t, asked).withColumn("ownership", F.round("ownership", 6))
+    return people.ownership(t, asked, merges=False).withColumn("ownership", F.round("ownership", 6))
 
 
 @query
 def ownership_of_authors(t):
-    return people.ownership(t).withColumn("ownership", F.round("ownership", 6))
+    return people.ownership(t, merges=False).withColumn("ownership", F.round("ownership", 6))
 
 
 @query
@@ -673,6 +673,55 @@ def collect_enabled(t):
     return catalog.collect_enabled(bundle, "file").drop("name", "email")
 
 
+def enabled_counts(t, granularity):
+    """Rows and measures of every metric that is on for a granularity, by project."""
+    s = seeded(t)
+    bundle = SimpleNamespace(
+        metrics=s.metrics, project_metrics=s.project_metrics, changes=t.changes, commits=t.commits, commit_parents=t.commit_parents,
+        commit_chains=t.commit_chains, blobs=t.blobs, comments=t.comments, functions=t.functions, offenders=t.offenders, patches=t.patches,
+        messages=t.messages, linechanges=t.linechanges, blame=t.blame, projects=t.projects,
+    )
+    rows = catalog.collect_enabled(bundle, granularity)
+    return rows.groupBy("metric", "granularity", "project_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("measure").alias("n_measures")
+    )
+
+
+@query
+def collect_enabled_change(t):
+    return enabled_counts(t, "change")
+
+
+@query
+def collect_enabled_commit(t):
+    return enabled_counts(t, "commit")
+
+
+@query
+def collect_enabled_function(t):
+    return enabled_counts(t, "function")
+
+
+@query
+def collect_enabled_developer(t):
+    return enabled_counts(t, "developer")
+
+
+STREAMED = ("churn", "hunk", "functionchurn", "loc")
+
+
+@query
+def stream_collect_mixed(t):
+    """Requests for several metrics in one stream."""
+    folder = scratch(t.spark, "stream")
+    names = F.array(*[F.lit(n) for n in STREAMED])
+    metric = F.element_at(names, (F.col("request_id") % len(STREAMED) + 1).cast("int"))
+    t.requests.select("request_id", metric.alias("metric"), *CHANGE_KEY, "name", "email").write.parquet(f"{folder}/requests")
+    arriving = streams.read_requests(t.spark, f"{folder}/requests")
+    streams.sink_collected(arriving, t, f"{folder}/measures", f"{folder}/progress").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/measures").select("request_id", "metric", *CHANGE_KEY, "measure")
+
+
 @query
 def stream_collect(t):
     folder = scratch(t.spark, "stream")

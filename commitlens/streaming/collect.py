@@ -1,11 +1,16 @@
 """Streams: metric requests in, measures out, and onboarding of projects."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commitlens.plans.catalog import metrics_seed
+from commitlens.plans.catalog import METRIC_JOBS, SEED, as_measures, metrics_seed
 from commitlens.schemas import PROJECTS, REQUESTS
 
+# A metric of several granularities answers in its first, unless asked through the catalog.
+DEFAULT_GRANULARITY = {name: granularity for _, name, granularity, _ in reversed(SEED)}
+
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Collect requests that arrive as parquet files in a folder."""
@@ -21,6 +26,36 @@ def collect(requests: DataFrame, metric: str, measures: DataFrame, keys) -> Data
     return requests.filter(F.col("metric") == metric).join(measures, list(keys), "left")
 
 
+def sink_collected(requests: DataFrame, t, path: str, checkpoint: str, **options):
+    """Measure every arriving request by its own metric and append the results.
+
+    A micro-batch runs the job of each metric it asks for on its own requests only, so
+    what is read is bounded by what the batch needs.  A batch that is run again replaces
+    what it wrote.  Rows have the layout of ``catalog.as_measures`` and the request's id.
+    """
+
+    def measure(batch: DataFrame, epoch: int):
+        batch = batch.persist()
+        # At most one name per metric of the catalog comes to the driver.
+        names = sorted(r.metric for r in batch.select("metric").distinct().collect() if r.metric in METRIC_JOBS)
+        results = []
+        for name in names:
+            asked = batch.filter(F.col("metric") == name)
+            granularity = DEFAULT_GRANULARITY[name]
+            result = METRIC_JOBS[name](t, asked.drop("metric"), granularity=granularity, **options)
+            results.append(as_measures(name, granularity, result, ["request_id"]))
+        if results:
+            reduce(DataFrame.unionByName, results).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        batch.unpersist()
+
+    return (
+        requests.writeStream.foreachBatch(measure)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def sink_measures(measures: DataFrame, path: str, checkpoint: str):
     """Append measures as parquet; handles all requests that are there, then stops."""
     return (

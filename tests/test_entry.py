@@ -8,7 +8,9 @@ import __spark_entry__ as entry
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.QUERIES) == set(entry.ORACLE)
+    # Measures in JSON have no like in SQL; their metrics are compared one by one.
+    counted = {f"collect_enabled_{g}" for g in ("change", "commit", "function", "developer")}
+    assert set(entry.QUERIES) - counted == set(entry.ORACLE)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -29,6 +29,11 @@ def test_change_lines(spark):
     ]
 
 
+def test_short_change_lines_give_nulls(spark):
+    got = values(spark, ["", ":", ":100644 100644 f1", "::1", ":100644 100644 f1 f2 X\tp"], parsing.parse_change)
+    assert [r["type"] for r in got] == [None] * 5 and got[2]["oid_before"] == "f1" and got[4]["path"] == "p"
+
+
 def test_delta_lines(spark):
     got = values(spark, ["3\t4\ta b.c", "-\t-\tx.png", "0\t12\ty"], parsing.parse_delta)
     assert [tuple(r) for r in got] == [(3, 4, "a b.c"), (None, None, "x.png"), (0, 12, "y")]

@@ -116,3 +116,15 @@ def test_onboarding_twice_seeds_once(spark, tmp_path):
     for progress in ("p1", "p1", "p2"):  # p2 has lost what was done and repeats the batch.
         streams.onboard_projects(spark, source, table, str(tmp_path / progress)).awaitTermination()
     assert spark.read.parquet(table).count() == 19
+
+
+def test_nothing_enabled_measures_nothing(spark):
+    from types import SimpleNamespace
+
+    t = SimpleNamespace(metrics=catalog.metric_catalog(spark), project_metrics=catalog.metrics_seed(spark.createDataFrame([], PROJECTS)))
+    assert catalog.collect_enabled(t, "file").count() == 0
+
+
+def test_request_columns_are_no_measure(spark):
+    row = spark.createDataFrame([(1, "churn", "s", "p", None)], "project_id bigint, metric string, sha string, path string, n bigint")
+    assert catalog.as_measures("churn", "change", row).first()["measure"] is None

@@ -218,3 +218,48 @@ def test_files_are_active_until_deleted(spark):
     commits = spark.createDataFrame([(1, s, n) for n, s in enumerate("abcd", 1)], "project_id bigint, sha string, seq bigint")
     got = {r["path"]: (r["is_active"], r["module"]) for r in lookups.get_files(changes, commits).collect()}
     assert got == {"x/f": (False, "x"), "g": (True, "(root)"), "h": (True, "(root)")}
+
+
+def patch_ranges(spark, patch):
+    rows = ranges.patch_linechanges(spark.createDataFrame([(1, "s", "p", patch)], "project_id bigint, sha string, path string, patch string")).collect()
+    return sorted((r["kind"], r["begin"], r["end"]) for r in rows)
+
+
+def test_combined_patches_give_no_ranges(spark):
+    assert patch_ranges(spark, "@@@ -1,2 -1,2 +1,3 @@@\n--a\n++b\n @@ x") == []
+
+
+def test_bare_carriage_returns_end_no_line(spark):
+    patch = "@@ -10,1 +10,2 @@\n a\r@@ -90 +90 @@\n+b\n"
+    assert patch_ranges(spark, patch) == [("+", 11, 11)]
+
+
+def test_scattered_lines_of_one_change(spark):
+    """Work on one change grows with its lines, not with lines times ranges."""
+    n = 40_000
+    deleted = spark.range(n).select(F.lit(1).cast("bigint").alias("project_id"), F.lit("s").alias("sha"), F.lit("p").alias("path"), F.lit("-").alias("kind"), (2 * F.col("id") + 1).alias("begin"), (2 * F.col("id") + 1).alias("end"))
+    blame = deleted.select("project_id", "sha", "path", F.col("begin").alias("line"), F.when(F.col("begin") % 3 == 0, F.lit("x")).otherwise(F.lit("y")).alias("last_sha"))
+    assert ranges.last_modifiers(deleted, blame).count() == n
+
+
+def test_one_file_of_many_lines_and_functions(spark, tables):
+    n = 20_000
+    content = "\n".join("" if i % 4 == 0 else f"line {i}" for i in range(1, n + 1))
+    functions = [("b", k, f"f{k}", 2 * k + 1, 2 * k + 2) for k in range(n // 2)]
+    t = tables(
+        blobs=([("b", False, content), ("a", False, "x\ny")], BLOBS), functions=(functions + [("a", 0, "f7", 1, 2)], FUNCTIONS), comments=([], COMMENTS),
+        changes=([(1, "s", "p.c", 3, 1, 1, "a", "b")], CHANGES), linechanges=([(1, "s", "p.c", "+", 15, 15)], RANGES), projects=project("C"),
+    )
+    rows = source.blob_function_loc(t.blobs, t.comments, t.functions).collect()
+    assert len(rows) == n // 2 + 1 and {(r["blank"], r["aggregate"]) for r in rows if r["oid"] == "b"} == {(0, 2), (1, 2)}
+    assert source.line_in_function(t).filter("oid = 'b' AND is_blank").count() == n // 4 - 1  # an empty last line is none
+    got = source.functionchurn(t).collect()[0]
+    assert (got["insertions"], got["deletions"], got["modifications"]) == (n // 2 - 1, 0, 1)
+
+
+def test_requests_restrict_what_is_measured(spark, tables):
+    changes = [(1, f"s{k}", "p.c", 3, 1, 1, f"b{k}", f"b{k + 1}") for k in range(5)]
+    t = tables(blobs=([(f"b{k}", False, "a\n" * k) for k in range(6)], BLOBS), comments=([], COMMENTS), changes=(changes, CHANGES), functions=([], FUNCTIONS), projects=project("C"), linechanges=([], RANGES))
+    asked = spark.createDataFrame([(9, 1, "s2", "p.c"), (10, 1, "gone", "p.c")], "request_id bigint, project_id bigint, sha string, path string")
+    assert sorted((r["request_id"], r["aggregate"]) for r in source.loc(t, asked).collect()) == [(9, 3), (10, None)]
+    assert change.asked_only(t, asked).blobs.count() == 2
