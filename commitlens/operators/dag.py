@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.operators import history
-from commitlens.session import cut
+from commitlens.session import Rounds, cut
 
 COMMIT = ["project_id", "sha"]
 
@@ -28,7 +28,8 @@ def _followers(commits: DataFrame, first: DataFrame) -> DataFrame:
     counted by doubling: those less than 2k steps away are those less than k away
     and, for each commit k steps above, those less than k away from it.
     """
-    state = cut(
+    rounds = Rounds("followers")
+    state = rounds.put(
         commits.select(*COMMIT)
         .join(first.select(*COMMIT, F.col("parent_sha").alias("target")), COMMIT, "left")
         .withColumn("size", F.lit(1).cast("bigint"))
@@ -42,14 +43,11 @@ def _followers(commits: DataFrame, first: DataFrame) -> DataFrame:
         further = state.filter("target IS NOT NULL").select(
             "project_id", F.col("sha").alias("target"), F.col("target").alias("next")
         )
-        state = cut(
-            state.join(above, COMMIT, "left")
-            .join(further, ["project_id", "target"], "left")
-            .select(
-                *COMMIT,
-                F.col("next").alias("target"),
-                (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"),
-            )
+        grown = state.join(above, COMMIT, "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        # Finished rows have no target: they stand aside, or all of them would meet in one key.
+        moved = grown.filter("target IS NOT NULL").join(further, ["project_id", "target"], "left")
+        state = rounds.put(
+            moved.select(*COMMIT, F.col("next").alias("target"), "size").unionByName(grown.filter("target IS NULL"))
         )
     return (
         first.join(state.select(*COMMIT, "size"), COMMIT)
@@ -75,8 +73,9 @@ def chains(commits: DataFrame, parents: DataFrame) -> DataFrame:
             F.col("parent_sha").isNotNull().cast("bigint").alias("steps"),
         )
     )
+    rounds = Rounds("chains")
     ends = jumps.filter("steps = 0").select("project_id", F.col("sha").alias("target"), F.lit(True).alias("at_end"))
-    state = cut(jumps.join(ends, ["project_id", "target"], "left").withColumn("at_end", F.coalesce("at_end", F.lit(False))))
+    state = rounds.put(jumps.join(ends, ["project_id", "target"], "left").withColumn("at_end", F.coalesce("at_end", F.lit(False))))
     while not state.filter("NOT at_end").isEmpty():
         further = state.select(
             "project_id",
@@ -95,7 +94,7 @@ def chains(commits: DataFrame, parents: DataFrame) -> DataFrame:
                 F.col("next_at_end").alias("at_end"),
             )
         )
-        state = cut(state.filter("at_end").unionByName(moved))
+        state = rounds.put(state.filter("at_end").unionByName(moved))
     return state.select(*COMMIT, F.col("target").alias("chain"), (F.col("steps") + 1).alias("pos"))
 
 
@@ -113,7 +112,8 @@ def reach(placed: DataFrame, parents: DataFrame, requests: DataFrame) -> DataFra
         .select("project_id", "from_chain", "from_pos", "chain", "pos")
     )
     key = ["project_id", "till_sha", "chain"]
-    state = cut(
+    rounds = Rounds("reach")
+    state = rounds.put(
         requests.select(*COMMIT)
         .distinct()
         .join(placed, COMMIT)
@@ -136,7 +136,7 @@ def reach(placed: DataFrame, parents: DataFrame, requests: DataFrame) -> DataFra
         both = state.select(*key, "till", F.col("till").alias("was")).unionByName(
             steps.withColumn("was", F.lit(0).cast("bigint"))
         )
-        state = cut(both.groupBy(*key).agg(F.max("till").alias("till"), F.max("was").alias("was")))
+        state = rounds.put(both.groupBy(*key).agg(F.max("till").alias("till"), F.max("was").alias("was")))
 
 
 class Reached:

@@ -202,7 +202,7 @@ def duckdb_ctes(*names: str) -> str:
 # Tables that an ingest job would have written, made once per session and folder.
 STORED = set(
     "commits commit_parents commit_chains changes path_history linechanges blame "
-    "blobs blob_sizes functions comments".split()
+    "blobs blob_sizes functions comments messages patches requests".split()
 )
 _PATHS: dict[tuple, str] = {}
 
