@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import xxhash
@@ -9,6 +10,11 @@ import xxhash
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(("the", "of", "and", "in")) if r.random() < 0.3 else "".join(r.choices("abcdeghilmnorstu", k=r.randint(3, 8))) for _ in range(n))
+
+
 def words(text):
     return WORD.findall(text or "")
 

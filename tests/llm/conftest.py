@@ -1,16 +1,10 @@
-import random
-
 import pytest
+from brute import prose
 
 #: Columns whose names the operators use themselves.
 CLASHING = {"size": "long", "n_words": "long", "score": "double", "blob": "string", "row": "long", "fp": "long", "id": "long", "kept": "boolean", "words": "string", "tie": "long", "copies": "long", "key": "string"}
 
 
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join(r.choice(("the", "of", "and", "in")) if r.random() < 0.3 else "".join(r.choices("abcdeghilmnorstu", k=r.randint(3, 8))) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def messy(spark):
     """Documents with nulls, empty and long texts, ties, repeated rows and clashing columns."""

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import prose
+from brute import prose
 from pyspark.sql import functions as F
 
 from commitlens.llm import chat, decontaminate, gam, license_scan, pages, toxicity
