@@ -37,7 +37,8 @@ RULES = (
     Rule(0, "few_words", "n_words < 20"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 30 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    # A few repeated lines are common boilerplate in short documents.
+    Rule(3, "repeated_lines", "n_dup_lines > 4 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 15 * n_words"),
     Rule(6, "upper_case", "5 * n_upper > 2 * word_chars"),
