@@ -215,7 +215,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out, samp
         named = named.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(sample / total * (1 << 20)))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # At most about ``sample`` ids of two numbers: small enough to broadcast, so no text is shuffled.
-    return texts.join(F.broadcast(named), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")
+    # Rows with one id, however many, are one example: the one with the least text.
+    found = texts.join(F.broadcast(named), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, held_out, sample: int = SAMPLE) -> Model:

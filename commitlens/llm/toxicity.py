@@ -314,8 +314,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, held_out, sample: int = S
     # The sample's rows are few by its bound, so their ids may be broadcast and no text is shuffled.
     rows = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").toPandas()
-        .sort_values(["doc_id", "text"], kind="stable")
+        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+        # Rows with one id, however many, are one example: the one with the least text.
+        .groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
+        .sort_values("doc_id", kind="stable")
     )
     return fit(pa.array(rows.text.to_list(), pa.string()), rows.y.to_numpy() == 1, share)
 
