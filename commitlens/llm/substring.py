@@ -461,8 +461,8 @@ def _removals(docs: DataFrame, carried, fields) -> DataFrame:
         "classes",
     )
     requests = plan.filter("kind = 1").select("place", "blob").groupBy("place").applyInArrow(_by_document, "id bigint, blob binary")
-    # The text is shuffled by doc_id once: both joins read the same exchange.
-    asked = bare.join(requests, F.col("doc_id") == F.col("id")).select("text", "blob")
+    # The text is shuffled by doc_id once: as both joins keep all documents, they read the same exchange.
+    asked = bare.join(requests, F.col("doc_id") == F.col("id"), "left").select("text", "blob")
     texts = _words_of_classes(asked, hot).select("shard", F.lit(2).alias("kind"), "blob")
     members = plan.filter("kind = 0").select(F.col("place").alias("shard"), "kind", "blob")
     answers = (
