@@ -134,6 +134,14 @@ def test_leaks(spark, messy, empty):
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_with_equal_new_values(spark):
+    item = "at the market on the old square a girl buys 5 apples and also 3 pears for her mother and her aunt, then walks home slowly"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("5", "4").replace("3", "4")), (2, item.replace("5", "3"))]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.reworded) for r in found} == {(1, True), (2, True)}
+
+
 def turns_of(k):
     r = random.Random(k)
     out = [("user" if i % 2 == 0 else "assistant", prose(k * 31 + i, r.randint(4, 9)) + "?" if i % 2 == 0 else prose(k * 31 + i, 60) + "\n" + prose(k * 37 + i, 30)) for i in range(r.randint(2, 8))]
