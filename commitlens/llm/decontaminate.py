@@ -1,7 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
 Texts are canonicalised: numbers, units after numbers and names (capitalised words within a
-sentence) become typed placeholders, case and punctuation go.  Windows of ``WINDOW`` template
+sentence) become typed placeholders, case and punctuation go.  Other capitalised words, such as
+those that begin a sentence, may be names or not, unless they are in STARTERS: windows with
+such words have a key for either reading.  Windows of ``WINDOW`` template
 words are hash-joined with the benchmark's, so that a question with other numbers or names
 still meets its original.  Slots must then be consistent: along one alignment of document
 and item, each value of the item stands for one value of the document; two values of the item
@@ -26,50 +28,86 @@ UNITS = (
     "meters metres kilometers kilometres miles inches feet yards grams kilograms pounds ounces liters litres gallons "
     "dollars euros cents percent degrees mph kph hz khz mhz ghz kb mb gb tb w kw v a"
 )
+#: Function words that often begin a sentence and are no names.
+STARTERS = (
+    "After All Also An And Any As At Because Before Both But By Can Could Do Does During Each Every Find For From Given Had Has Have He Her "
+    "His How However If In Into Is It Its Let Many More Most No Not Now Of On One Or Our She Since So Some Than That The Their Then There "
+    "These They This Those To Two Under Until Was We Were What When Where Which While Who Why Will With Would You Your"
+)
 MARK = "\u0001"
+#: Before a word that may be a name.
+MAYBE = "\u0002"
 
 
 def canonical(text):
-    """Template text: placeholders keep their value behind MARK and a letter for their type."""
+    """Template text: placeholders keep their value behind MARK and a letter for their type; words that
+    may be names stand behind MAYBE."""
     units = "|".join(UNITS.split())
     t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\d[\d.,]*", f"{MARK}n$0")
     t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{MARK}p$0")
     t = F.regexp_replace(t, rf"({MARK}n\S+ )((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1{MARK}u$2")
-    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}\s]+", "")
+    starters = "|".join(STARTERS.split())
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{starters})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}+", f"{MAYBE}$0")
+    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}{MAYBE}\s]+", "")
 
 
 def windows(texts: DataFrame, key) -> DataFrame:
-    """(key columns, tie, n, at, window, slots) of every window; ``n`` is the number of windows of the text.
+    """(key columns, tie, n, at, window, reading, slots) of every window; ``n`` is the number of windows of the text.
+
+    A window with words that may be names has two rows: in reading 1 they are words, in reading 2
+    names.  Others have reading 0.  Slots have all placeholders and words that may be names.
 
     ``explode(array(...))`` keeps the optimizer from writing an array's expression into the
     function that reads it element by element.
     """
     once = lambda column, name: F.explode(F.array(column)).alias(name)
     is_slot = lambda x: F.startswith(x, F.lit(MARK))
+    is_maybe = lambda x: F.startswith(x, F.lit(MAYBE))
     words = texts.select(
         *key,
         F.xxhash64("text").alias("tie"),
-        once(F.filter(F.split(canonical(F.col("text")), r"\s+"), lambda x: x != ""), "words"),
+        once(F.filter(F.split(canonical(F.col("text")), r"\s+"), lambda x: F.replace(x, F.lit(MAYBE), F.lit("")) != ""), "words"),
     ).filter(F.size("words") >= WINDOW)
     hashed = words.select(
         *key,
         "tie",
         "words",
-        F.exists("words", is_slot).alias("slotted"),
-        once(F.transform("words", lambda x: F.xxhash64(F.when(is_slot(x), F.substring(x, 1, 2)).otherwise(x))), "hashes"),
+        F.exists("words", lambda x: is_slot(x) | is_maybe(x)).alias("slotted"),
+        once(
+            F.transform("words", lambda x: F.xxhash64(F.when(is_slot(x), F.substring(x, 1, 2)).otherwise(F.replace(x, F.lit(MAYBE), F.lit(""))))),
+            "hashes",
+        ),
+        F.exists("words", is_maybe).alias("unsure"),
+    )
+    hashed = hashed.select(
+        "*",
+        once(
+            F.when(
+                F.col("unsure"), F.zip_with("words", "hashes", lambda x, h: F.when(is_maybe(x), F.xxhash64(F.lit(f"{MARK}p"))).otherwise(h))
+            ),
+            "named",
+        ),
     )
-    slots = lambda i: F.array_join(F.filter(F.slice("words", i, WINDOW), is_slot), " ")
+    slots = lambda i: F.array_join(F.filter(F.slice("words", i, WINDOW), lambda x: is_slot(x) | is_maybe(x)), " ")
     every = F.transform(
         F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)),
         lambda i: F.struct(
             i.alias("at"),
-            F.xxhash64(F.slice("hashes", i, WINDOW)).alias("window"),
+            F.xxhash64(F.slice("hashes", i, WINDOW)).alias("plain"),
+            F.when(F.col("unsure"), F.xxhash64(F.slice("named", i, WINDOW))).alias("named"),
             F.when(F.col("slotted"), slots(i)).otherwise("").alias("slots"),
         ),
     )
-    return hashed.select(*key, "tie", (F.size("hashes") - (WINDOW - 1)).alias("n"), F.explode(every).alias("w")).select(
-        *key, "tie", "n", "w.*"
-    )
+    both = hashed.select(*key, "tie", (F.size("hashes") - (WINDOW - 1)).alias("n"), F.explode(every).alias("w")).select(*key, "tie", "n", "w.*")
+    reading = lambda k, column: F.struct(F.lit(k).alias("reading"), F.col(column).alias("window"))
+    readings = F.when(F.col("named") != F.col("plain"), F.array(reading(1, "plain"), reading(2, "named"))).otherwise(F.array(reading(0, "plain")))
+    return both.select(*key, "tie", "n", "at", "slots", F.explode(readings).alias("r")).select(*key, "tie", "n", "at", "r.window", "r.reading", "slots")
+
+
+def values(slots, reading):
+    """The placeholders of a window's slots in its reading, as an array."""
+    listed = F.when(reading == 2, F.regexp_replace(slots, MAYBE, f"{MARK}p")).otherwise(slots)
+    return F.filter(F.split(listed, " "), lambda x: F.startswith(x, F.lit(MARK)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -79,22 +117,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = cut(
         windows(benchmark.select("item_id", "text").distinct(), ["item_id"]).select(
-            "item_id", F.col("n").alias("item_windows"), F.col("at").alias("item_at"), "window", F.col("slots").alias("item_slots")
+            "item_id", F.col("n").alias("item_windows"), F.col("at").alias("item_at"), "window",
+            F.col("reading").alias("item_reading"), values(F.col("slots"), F.col("reading")).alias("item_slots"),
         ),
         "items",
     )
-    found = windows(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "tie", "at", "window", "slots")
+    found = windows(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "tie", "at", "window", "reading", "slots")
+    # Alignments are tried with and without the windows in which words that may be names are names.
+    tried = F.when((F.col("reading") == 2) | (F.col("item_reading") == 2), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
     hits = cut(
         found.join(items, "window")
-        .select("doc_id", "tie", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), "slots", "item_slots")
+        .select(
+            "doc_id", "tie", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(tried).alias("tried"),
+            values(F.col("slots"), F.col("reading")).alias("slots"), "item_slots",
+        )
         .distinct(),
         "hits",
     )
-    place = ["doc_id", "tie", "item_id", "item_windows", "shift"]
+    place = ["doc_id", "tie", "item_id", "item_windows", "shift", "tried"]
     # Slot pairs of an alignment: as many pairs as values of the item.
     pairs = (
-        hits.filter(F.col("slots") != "")
-        .select(*place, F.explode(F.arrays_zip(F.split("slots", " ").alias("d"), F.split("item_slots", " ").alias("b"))).alias("p"))
+        hits.select(*place, F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b"))).alias("p"))
         .groupBy(*place)
         .agg(
             F.count_distinct("p.d", "p.b").alias("pairs"),

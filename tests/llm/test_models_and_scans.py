@@ -142,6 +142,17 @@ def test_leaks_with_equal_new_values(spark):
     assert {(r.doc_id, r.reworded) for r in found} == {(1, True), (2, True)}
 
 
+def test_leaks_of_names_that_begin_sentences(spark):
+    item = "Tom has 5 apples. Ann gives him 3 more. Ben eats 2 of them.\nEva sells 4 pears to Ann. How many apples does he have?"
+    other = item
+    for name, new in {"Tom": "Max", "Ann": "Zoe", "Ben": "Leo", "Eva": "Ida", "5": "9"}.items():
+        other = other.replace(name, new)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, other), (2, prose(3, 30) + ", " + other), (3, item.lower()), (4, item), (5, prose(5, 60).title())]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.reworded) for r in found} == {(1, True), (2, True), (3, False), (4, False)}
+
+
 def turns_of(k):
     r = random.Random(k)
     out = [("user" if i % 2 == 0 else "assistant", prose(k * 31 + i, r.randint(4, 9)) + "?" if i % 2 == 0 else prose(k * 31 + i, 60) + "\n" + prose(k * 37 + i, 30)) for i in range(r.randint(2, 8))]
