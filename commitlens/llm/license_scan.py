@@ -3,8 +3,10 @@
 Texts and templates are cut into shingles of ``SHINGLE`` words, without case and surrounding
 punctuation.  For a template of n words, windows are as long as twice the next power of two
 and overlap by half, so one window holds any whole occurrence.  ``BANDS`` bands of one MinHash
-row each find a window with containment ``CONTAINMENT`` or more, whose similarity to the
-template is at least 0.19, with probability 1 - 0.81**48 > 0.9999.  Windows without any
+row each find a window with containment ``CONTAINMENT`` or more with probability above 0.9999
+if that implies a similarity of at least 0.175, as it does for templates of 11 words and more.
+Some shorter templates are few shingles in a wide window: they are looked up by so many of
+their shingles that a window with the containment has one of these, so none is missed.  Windows without any
 shingle of a template cannot share a MinHash with one, so only the others get signatures.
 Retrieved pairs count if at least CONTAINMENT of the template's shingles are in the window.
 
@@ -24,6 +26,7 @@ from commitlens.llm.toxicity import tokens
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS = 48
+MISSED = 1e-4
 BLOCK = 5_000
 
 _U = np.uint64
@@ -67,6 +70,17 @@ def window_length(words: int) -> int:
     return 2 * (1 << max(words - 1, SHINGLE - 1).bit_length())
 
 
+def needed(shingles: int) -> int:
+    """How many of a template's distinct shingles make up CONTAINMENT."""
+    return next(k for k in range(shingles + 1) if k / shingles >= CONTAINMENT)
+
+
+def bands_reach(shingles: int, length: int) -> bool:
+    """Whether BANDS find a full window of ``length`` words with the least containment, but for MISSED."""
+    k = needed(shingles)
+    return (1 - k / (length - SHINGLE + 1 + shingles - k)) ** BANDS <= MISSED
+
+
 def signature(shingles):
     """BANDS MinHash values of a set of shingle hashes."""
     seeds = W.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
@@ -74,12 +88,12 @@ def signature(shingles):
 
 
 class Templates:
-    """Shingle sets, signatures and window lengths of a block of templates."""
+    """Shingle sets, signatures or looked-up shingles, and window lengths of a block of templates."""
 
     def __init__(self, names, texts):
         w, units, _ = tokens(pa.array(texts, pa.string()))
         word = units[:, 0] if len(units) else np.zeros(0, np.uint64)
-        self.names, self.sets, self.bands, self.lengths = [], [], {}, {}
+        self.names, self.sets, self.bands, self.exact, self.lengths = [], [], {}, {}, {}
         for i, name in enumerate(names):
             own = word[w.first[i] : w.first[i + 1]]
             if len(own) < SHINGLE:
@@ -90,8 +104,12 @@ class Templates:
             self.names.append(name)
             self.sets.append(shingles)
             length = window_length(len(own))
-            for band, value in enumerate(signature(shingles)):
-                self.bands.setdefault((length, band, int(value)), []).append(k)
+            if bands_reach(len(shingles), length):
+                for band, value in enumerate(signature(shingles)):
+                    self.bands.setdefault((length, band, int(value)), []).append(k)
+            else:
+                for value in shingles[: len(shingles) - needed(len(shingles)) + 1].tolist():
+                    self.exact.setdefault((length, value), []).append(k)
             self.lengths.setdefault(length, []).append(k)
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
 
@@ -106,6 +124,7 @@ class Templates:
         hits = self.all[spot] == g
         hit_at = at[hits]
         doc = w.doc[hit_at]
+        banded = {length for length, _, _ in self.bands}
         for length in self.lengths:
             half = length // 2
             # Windows begin at multiples of half a length within their document.
@@ -120,7 +139,9 @@ class Templates:
                     continue
                 inside = g[a:b]
                 found = set()
-                for band, value in enumerate(signature(inside)):
+                for value in inside[hits[a:b]].tolist():
+                    found.update(self.exact.get((length, value), ()))
+                for band, value in enumerate(signature(inside)) if length in banded else ():
                     found.update(self.bands.get((length, band, int(value)), ()))
                 for t in found:
                     mine = np.isin(inside, self.sets[t])

@@ -116,6 +116,19 @@ def test_license_retrieval_is_exact(spark):
     assert sorted(tuple(r) for r in found.select("doc_id", "license", "first_word").collect()) == [(k, "gpl-header", k) for k in range(120)]
 
 
+def test_every_notice_is_found_in_mid_text():
+    """Each notice, whole and with as few words as count, at many places of a text."""
+    found = license_scan.Templates(*zip(*sorted(license_scan.NOTICES.items())))
+    for name, notice in license_scan.NOTICES.items():
+        words = notice.split()
+        least = license_scan.needed(len(words) - 4)
+        texts = [prose(k, 20 + k) + " " + notice + " zzz " + prose(k + 500, 300) for k in range(150)]
+        texts += [prose(k, 20 + k) + " " + " ".join(words[: least + 4]) + " zzz " + prose(k + 500, 300) for k in range(150)]
+        _, best = found.scan(pa.array(texts))
+        got = {d: (-row[1], row[2]) for (d, t), row in best.items() if found.names[t] == name}
+        assert got == {k: (20 + k % 150, 20 + k % 150 + (len(words) if k < 150 else least + 4)) for k in range(300)}
+
+
 def test_leaks(spark, messy, empty):
     item = "In a town called Springfield, a farmer named Homer has 12 cows and 7 goats. If Homer sells 5 of the 12 cows for 300 dollars each, how much money does he have"
     swapped = item.replace("Homer", "Martha").replace("12", "48").replace("300", "90")
