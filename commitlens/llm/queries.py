@@ -1,8 +1,13 @@
 """The numbered queries: thin views of the operators over whole tables."""
 
+import zlib
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from commitlens.llm import chat, decontaminate, gam, license_scan, mixing, pages, quality_rules, simhash, substring, toxicity
+from commitlens.llm import (
+    bpe, chat, decontaminate, gam, license_scan, mixing, pages, quality_rules, runs, simhash, substring, toxicity, whitening,
+)
 from commitlens.session import cut
 
 
@@ -76,6 +81,41 @@ def op10_quality_classifier(spark, folder):
     return scored.select("doc_id", F.coalesce(out("doc_id"), F.lit(False)).alias("held_out"), "score", predicted)
 
 
+def op11_whitening(spark, folder):
+    table = _read(spark, folder, "embeddings")
+    return whitening.whiten(table, whitening.fit(table))
+
+
+def op12_bpe(spark, folder):
+    from public_tokenizers import path
+
+    file = path("word_bpe_49k.json")
+    tokens = bpe.decode(bpe.encode(_read(spark, folder, "documents"), file), file)
+    return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def looped(doc_id, n):
+    """The fixed rewriting of one text in ten: from some word on, its first few words over and over."""
+    g, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest or not n or doc_id is None:
+        return None
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.append(np.arange(a), a + np.arange(n - a) % p)
+
+
+def op13_periodic_runs(spark, folder):
+    found = runs.runs(_read(spark, folder, "documents"), rewrite=looped)
+    ranked = F.transform("runs", lambda r: F.struct((r.length / r.period).alias("exponent"), -r.start, -r.period, r.alias("run")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", F.array_max(ranked)["run"]).select(
+        "doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.floor(1000 * best.length / best.period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mixing": op2_mixing,
@@ -87,4 +127,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_html": op9_html,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_whitening": op11_whitening,
+    "op12_bpe": op12_bpe,
+    "op13_periodic_runs": op13_periodic_runs,
 }

@@ -172,7 +172,8 @@ _ARROW = {
 }
 
 
-def schema(ddl):
-    from pyspark.sql.types import _parse_datatype_string
+def schema(ddl, before=None):
+    """The schema that ``ddl`` names, behind the fields of ``before``."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-    return _parse_datatype_string(ddl)
+    return StructType([*(before.fields if before else []), *_parse_datatype_string(ddl).fields])
