@@ -1,21 +1,26 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Texts are canonicalised: numbers, units after numbers and names (capitalised words within a
-sentence) become typed placeholders, case and punctuation go.  Other capitalised words, such as
-those that begin a sentence, may be names or not, unless they are in STARTERS: windows with
-such words have a key for either reading.  Windows of ``WINDOW`` template
-words are hash-joined with the benchmark's, so that a question with other numbers or names
-still meets its original.  Slots must then be consistent: along one alignment of document
-and item, each value of the item stands for one value of the document; two values of the item
-may stand for the same one.  An item has leaked into a document if at least LEAST_WINDOWS of its windows, or half
-of them if that is less, are found in consistent alignments.
-
-Null and empty texts have no windows.  Items of fewer than ``WINDOW`` words match nothing.
-Equal rows count once.  A null id is reported as null.  The benchmark's windows are a table
-of known size: Spark broadcasts it below its threshold and shuffles both sides beyond it.
+Texts are canonicalised: numbers (digits or number words), units after numbers and names (capitalised words
+within a sentence) become typed placeholders, case and punctuation go; digits are read without the
+points and commas between them, and letters behind them are a word of their own.  Other capitalised words,
+such as those that begin a sentence, may be names or not, unless they are in STARTERS: windows with
+such words have a key for either reading.  Windows of ``WINDOW`` template words are hash-joined with the
+benchmark's, so that a question with other numbers or names still meets its original.
+
+A first pass forms only hashes of windows and looks for documents that hold enough windows of
+an item; slots are formed for those documents alone.  Slots must then be consistent: along one alignment
+of document and item, each value of the item stands for the value that it stands for in most windows
+(of ties for itself, else for the least); two values of the item may stand for the same one.  A window counts if all
+its slots agree with that or if it is verbatim.  An item has leaked into a document if at least LEAST_WINDOWS of its
+windows, or half of them if that is less, count in some alignment.
+
+Null and empty texts have no windows.  Items of fewer than ``WINDOW`` words match nothing, and neither do empty tables.
+Equal rows count once.  A null id is reported as null.  Only ids and texts are read, so other columns' names
+can't clash.  The benchmark's windows are a table of known size: Spark broadcasts it below its threshold and
+shuffles both sides beyond it.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commitlens.session import cut
@@ -28,147 +33,180 @@ UNITS = (
     "meters metres kilometers kilometres miles inches feet yards grams kilograms pounds ounces liters litres gallons "
     "dollars euros cents percent degrees mph kph hz khz mhz ghz kb mb gb tb w kw v a"
 )
+#: Number words.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+)
 #: Function words that often begin a sentence and are no names.
 STARTERS = (
     "After All Also An And Any As At Because Before Both But By Can Could Do Does During Each Every Find For From Given Had Has Have He Her "
     "His How However If In Into Is It Its Let Many More Most No Not Now Of On One Or Our She Since So Some Than That The Their Then There "
     "These They This Those To Two Under Until Was We Were What When Where Which While Who Why Will With Would You Your"
 )
-MARK = "\u0001"
-#: Before a word that may be a name.
-MAYBE = "\u0002"
+#: Before a name, and before a capitalised word that may be one; their code points tell them from other words.
+NAME, MAYBE = "\u0001", "\u0002"
+
+
+def template(text):
+    """The words of a text as an array, without case; names stand behind NAME, words that may be names behind MAYBE."""
+    t = F.regexp_replace(text, r"(\d)[.,](?=\d)", "$1")
+    t = F.regexp_replace(t, r"(\d)(?=\p{L})", "$1 ")
+    t = F.regexp_replace(t, r"\p{Lu}(?<=[\p{Ll},;] .)\p{Ll}+", f"{NAME}$0")
+    t = F.regexp_replace(t, r"\p{Lu}(?<![\p{L}\p{N}" + NAME + r"].)\p{Ll}+", f"{MAYBE}$0")
+    return F.array_remove(F.split(F.lower(t), rf"[^\p{{L}}\p{{N}}{NAME}{MAYBE}]+"), "")
+
+
+def _rest(x):
+    return F.substring(x, 2, (1 << 31) - 1)
+
+
+def _is_number(x):
+    return F.ascii(x).between(48, 57) | x.isin(*NUMBERS.split())
+
+
+def _is_unit(x, before):
+    return x.isin(*UNITS.split()) & _is_number(before)
+
+
+def _is_maybe(x):
+    return (F.ascii(x) == 2) & ~_rest(x).isin(*STARTERS.lower().split())
 
 
-def canonical(text):
-    """Template text: placeholders keep their value behind MARK and a letter for their type; words that
-    may be names stand behind MAYBE."""
-    units = "|".join(UNITS.split())
-    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}])\d[\d.,]*", f"{MARK}n$0")
-    t = F.regexp_replace(t, r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+", f"{MARK}p$0")
-    t = F.regexp_replace(t, rf"({MARK}n\S+ )((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1{MARK}u$2")
-    starters = "|".join(STARTERS.split())
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{starters})(?![\p{{L}}\p{{N}}]))\p{{Lu}}\p{{Ll}}+", f"{MAYBE}$0")
-    return F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{N}}{MARK}{MAYBE}\s]+", "")
+def _placeholder(kind):
+    return F.xxhash64(F.lit(NAME + kind))
+
+
+def _once(column, name):
+    """``explode(array(...))`` keeps the optimizer from writing an array's expression into what reads it twice."""
+    return F.explode(F.array(column)).alias(name)
+
+
+def _hashed(texts, key):
+    """(key columns, tie, words, plain, named) of texts with a window or more: hashes of template words, read
+    with words that may be names as words, and as names (null if there are none)."""
+    words = texts.select(*key, F.xxhash64("text").alias("tie"), _once(template(F.col("text")), "words")).filter(F.size("words") >= WINDOW)
+    plain = F.transform(
+        "words",
+        lambda x, i: F.when(F.ascii(x) == 1, _placeholder("p"))
+        .when(F.ascii(x) == 2, F.xxhash64(_rest(x)))
+        .when(_is_number(x), _placeholder("n"))
+        .when(_is_unit(x, F.get("words", i - 1)), _placeholder("u"))
+        .otherwise(F.xxhash64(x)),
+    )
+    named = F.zip_with("words", "plain", lambda x, h: F.when(_is_maybe(x), _placeholder("p")).otherwise(h))
+    hashed = words.select("*", _once(plain, "plain"))
+    return hashed.select("*", F.when(F.exists("words", _is_maybe), named).alias("named"))
+
+
+def _eights(df, column, *others):
+    """``df`` with the hashes of all windows of eight in place of hashes of words: of pairs, of pairs of pairs, of pairs of these."""
+    assert WINDOW == 8
+    for step in (1, 2, 4):
+        h = F.col(column)
+        longer = F.zip_with(F.slice(h, 1, F.size(h) - step), F.slice(h, step + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+        df = df.select(*others, _once(longer, column))
+    return df
 
 
 def windows(texts: DataFrame, key) -> DataFrame:
     """(key columns, tie, n, at, window, reading, slots) of every window; ``n`` is the number of windows of the text.
 
     A window with words that may be names has two rows: in reading 1 they are words, in reading 2
-    names.  Others have reading 0.  Slots have all placeholders and words that may be names.
-
-    ``explode(array(...))`` keeps the optimizer from writing an array's expression into the
-    function that reads it element by element.
+    names.  Others have reading 0.  Slots are the placeholders' types and values.
     """
-    once = lambda column, name: F.explode(F.array(column)).alias(name)
-    is_slot = lambda x: F.startswith(x, F.lit(MARK))
-    is_maybe = lambda x: F.startswith(x, F.lit(MAYBE))
-    words = texts.select(
-        *key,
-        F.xxhash64("text").alias("tie"),
-        once(F.filter(F.split(canonical(F.col("text")), r"\s+"), lambda x: F.replace(x, F.lit(MAYBE), F.lit("")) != ""), "words"),
-    ).filter(F.size("words") >= WINDOW)
-    hashed = words.select(
-        *key,
-        "tie",
-        "words",
-        F.exists("words", lambda x: is_slot(x) | is_maybe(x)).alias("slotted"),
-        once(
-            F.transform("words", lambda x: F.xxhash64(F.when(is_slot(x), F.substring(x, 1, 2)).otherwise(F.replace(x, F.lit(MAYBE), F.lit(""))))),
-            "hashes",
-        ),
-        F.exists("words", is_maybe).alias("unsure"),
-    )
-    hashed = hashed.select(
-        "*",
-        once(
-            F.when(
-                F.col("unsure"), F.zip_with("words", "hashes", lambda x, h: F.when(is_maybe(x), F.xxhash64(F.lit(f"{MARK}p"))).otherwise(h))
-            ),
-            "named",
-        ),
-    )
-    slots = lambda i: F.array_join(F.filter(F.slice("words", i, WINDOW), lambda x: is_slot(x) | is_maybe(x)), " ")
-    every = F.transform(
-        F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1)),
-        lambda i: F.struct(
-            i.alias("at"),
-            F.xxhash64(F.slice("hashes", i, WINDOW)).alias("plain"),
-            F.when(F.col("unsure"), F.xxhash64(F.slice("named", i, WINDOW))).alias("named"),
-            F.when(F.col("slotted"), slots(i)).otherwise("").alias("slots"),
-        ),
-    )
-    both = hashed.select(*key, "tie", (F.size("hashes") - (WINDOW - 1)).alias("n"), F.explode(every).alias("w")).select(*key, "tie", "n", "w.*")
-    reading = lambda k, column: F.struct(F.lit(k).alias("reading"), F.col(column).alias("window"))
-    readings = F.when(F.col("named") != F.col("plain"), F.array(reading(1, "plain"), reading(2, "named"))).otherwise(F.array(reading(0, "plain")))
-    return both.select(*key, "tie", "n", "at", "slots", F.explode(readings).alias("r")).select(*key, "tie", "n", "at", "r.window", "r.reading", "slots")
+    hashed = _hashed(texts, key).withColumn("named", F.coalesce("named", "plain"))
+    others = [*key, "tie", "words"]
+    both = _eights(_eights(hashed, "plain", *others, "named"), "named", *others, "plain")
+
+    def slots(names_too):
+        value = lambda x, i: (
+            F.when(F.ascii(x) == 1, F.concat(F.lit("p"), _rest(x)))
+            .when(_is_maybe(x), F.concat(F.lit("p"), _rest(x)) if names_too else F.lit(None).cast("string"))
+            .when(_is_number(x), F.concat(F.lit("n"), x))
+            .when(_is_unit(x, F.get("words", i - 1)), F.concat(F.lit("u"), x))
+        )
+        return F.transform("words", value)
+
+    found = both.select(*key, "tie", "plain", "named", "words", _once(slots(False), "as_words"))
+    found = found.select(*key, "tie", "plain", "named", "as_words", _once(slots(True), "as_names"))
+
+    def reading(k, i, hashes, values):
+        inside = F.array_compact(F.slice(values, i + 1, WINDOW))
+        return F.struct(k.alias("reading"), F.get(hashes, i).alias("window"), inside.alias("slots"))
+
+    def readings(i):
+        unsure = F.get("plain", i) != F.get("named", i)
+        one = reading(F.when(unsure, 1).otherwise(0), i, "plain", "as_words")
+        return F.struct((i + 1).alias("at"), F.when(unsure, F.array(one, reading(F.lit(2), i, "named", "as_names"))).otherwise(F.array(one)).alias("r"))
 
+    every = F.transform(F.sequence(F.lit(0), F.size("plain") - 1), readings)
+    each = found.select(*key, "tie", F.size("plain").alias("n"), F.explode(every).alias("w"))
+    return each.select(*key, "tie", "n", "w.at", F.explode("w.r").alias("r")).select(*key, "tie", "n", "at", "r.window", "r.reading", "r.slots")
 
-def values(slots, reading):
-    """The placeholders of a window's slots in its reading, as an array."""
-    listed = F.when(reading == 2, F.regexp_replace(slots, MAYBE, f"{MARK}p")).otherwise(slots)
-    return F.filter(F.split(listed, " "), lambda x: F.startswith(x, F.lit(MARK)))
+
+def _least(windows_of_item):
+    return F.least(F.lit(LEAST_WINDOWS), F.ceil(windows_of_item / 2))
+
+
+def suspects(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, tie) of documents that hold enough template windows of one of the ``items``, whatever their slots."""
+    hashed = _hashed(docs.select("doc_id", "text"), ["doc_id"])
+    read = hashed.select("doc_id", "tie", F.explode(F.array_compact(F.array("plain", "named"))).alias("h"))
+    met = _eights(read, "h", "doc_id", "tie").select("doc_id", "tie", F.explode(F.array_distinct("h")).alias("window"))
+    places = items.select("window", "item_id", "item_at", "item_windows").distinct()
+    held = met.join(places, "window").groupBy("doc_id", "tie", "item_id", "item_windows").agg(F.count_distinct("item_at").alias("n"))
+    return held.filter(F.col("n") >= _least(F.col("item_windows"))).select("doc_id", "tie").distinct()
+
+
+def _same_text(docs, found):
+    return docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_tie"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, tie, item_id, n_windows, item_windows, reworded) per document and item that has leaked into it.
 
-    ``tie`` is a hash of the document's text; ``reworded`` says that slot values differ.
+    ``tie`` is a hash of the document's text; ``reworded`` says that windows were found with other slot values alone.
     """
     items = cut(
         windows(benchmark.select("item_id", "text").distinct(), ["item_id"]).select(
             "item_id", F.col("n").alias("item_windows"), F.col("at").alias("item_at"), "window",
-            F.col("reading").alias("item_reading"), values(F.col("slots"), F.col("reading")).alias("item_slots"),
+            F.col("reading").alias("item_reading"), F.col("slots").alias("item_slots"),
         ),
         "items",
     )
-    found = windows(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", "tie", "at", "window", "reading", "slots")
+    held = cut(suspects(docs, items).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")), "suspects")
+    docs = docs.select("doc_id", "text")
+    found = windows(docs.join(held, _same_text(docs, held), "left_semi"), ["doc_id"]).drop("n")
     # Alignments are tried with and without the windows in which words that may be names are names.
     tried = F.when((F.col("reading") == 2) | (F.col("item_reading") == 2), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
-    hits = cut(
-        found.join(items, "window")
-        .select(
-            "doc_id", "tie", "item_id", "item_windows", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.explode(tried).alias("tried"),
-            values(F.col("slots"), F.col("reading")).alias("slots"), "item_slots",
-        )
-        .distinct(),
-        "hits",
-    )
-    place = ["doc_id", "tie", "item_id", "item_windows", "shift", "tried"]
-    # Slot pairs of an alignment: as many pairs as values of the item.
-    pairs = (
-        hits.select(*place, F.explode(F.arrays_zip(F.col("slots").alias("d"), F.col("item_slots").alias("b"))).alias("p"))
-        .groupBy(*place)
-        .agg(
-            F.count_distinct("p.d", "p.b").alias("pairs"),
-            F.count_distinct("p.b").alias("ours"),
-            F.max(F.col("p.d") != F.col("p.b")).alias("reworded"),
-        )
+    text = ["doc_id", "tie", "item_id", "item_windows"]
+    place = [*text, "shift", "tried"]
+    hits = found.join(items, "window").select(
+        *text, (F.col("at") - F.col("item_at")).alias("shift"), F.explode(tried).alias("tried"), "item_at",
+        F.explode_outer(F.arrays_zip(F.col("slots").alias("theirs"), F.col("item_slots").alias("ours"))).alias("p"),
     )
-    aligned = hits.groupBy(*place).agg(F.collect_set("item_at").alias("places"))
-    same = [aligned[c].eqNullSafe(pairs[c]) for c in place]
-    consistent = aligned.join(pairs, on=_all(same), how="left").filter(
-        F.col("pairs").isNull() | (F.col("pairs") == F.col("ours"))
+    pairs = cut(hits.select(*place, "item_at", F.col("p.ours").alias("ours"), F.col("p.theirs").alias("theirs")).distinct(), "hits")
+    times = F.count(F.lit(1)).over(Window.partitionBy(*place, "ours", "theirs"))
+    changed = ~F.col("ours").eqNullSafe(F.col("theirs"))
+    meant = F.min(F.struct(-F.col("times"), "changed", "theirs")).over(Window.partitionBy(*place, "ours"))
+    judged = pairs.withColumn("times", times).withColumn("changed", changed).withColumn("meant", meant)
+    counted = (
+        judged.groupBy(*place, "item_at")
+        .agg(F.max("changed").alias("changed"), F.bool_and(F.col("theirs").eqNullSafe(F.col("meant.theirs"))).alias("agrees"))
+        .filter("agrees OR NOT changed")
+        .groupBy(*text, "item_at")
+        .agg(F.min("changed").alias("changed"))
     )
-    least = F.least(F.lit(LEAST_WINDOWS), F.ceil(F.col("item_windows") / 2))
     return (
-        consistent.select(*[aligned[c] for c in place], F.explode("places").alias("item_at"), F.coalesce("reworded", F.lit(False)).alias("reworded"))
-        .groupBy("doc_id", "tie", "item_id", "item_windows")
-        .agg(F.count_distinct("item_at").alias("n_windows"), F.max("reworded").alias("reworded"))
-        .filter(F.col("n_windows") >= least)
+        counted.groupBy(*text)
+        .agg(F.count(F.lit(1)).alias("n_windows"), F.max("changed").alias("reworded"))
+        .filter(F.col("n_windows") >= _least(F.col("item_windows")))
         .select("doc_id", "tie", "item_id", "n_windows", "item_windows", "reworded")
     )
 
 
-def _all(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out & c
-    return out
-
-
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, with all their columns, into which no item has leaked."""
     dirty = cut(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct(), "leaks")
-    same = docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.xxhash64(docs["text"]) == dirty["_tie"])
-    return docs.join(dirty, same, "left_anti")
+    return docs.join(dirty, _same_text(docs, dirty), "left_anti")

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import regex
 import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -102,3 +103,74 @@ def removals(rows, k=13):
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
     return out
+
+
+def template(text):
+    """(word as read, whether it may be a name, placeholder type or None, value) of every word."""
+    from commitlens.llm.decontaminate import NUMBERS, STARTERS, UNITS
+
+    numbers, units, starters = set(NUMBERS.split()), set(UNITS.split()), set(STARTERS.lower().split())
+    t = regex.sub(r"(?<=\d)[.,](?=\d)", "", text or "")
+    t = regex.sub(r"(?<=[0-9])(?=\p{L})", " ", t)
+    out = []
+    for m in regex.finditer(r"[\p{L}\p{N}]+", t):
+        word, low = m[0], m[0].lower()
+        capital = regex.match(r"\p{Lu}\p{Ll}+", word)
+        before = out[-1] if out else None
+        number = "0" <= low[0] <= "9" or low in numbers
+        if capital and regex.search(r"[\p{Ll},;] $", t[: m.start()]):
+            out.append((low, False, "p", low))
+        elif capital:
+            out.append((low, low not in starters, None, low))
+        elif number:
+            out.append((low, False, "n", low))
+        elif low in units and before and before[2] == "n":
+            out.append((low, False, "u", low))
+        else:
+            out.append((low, False, None, low))
+    return out
+
+
+def leaked(docs, items, size=8, least=6):
+    """(doc, item, windows, windows of the item, reworded) of (id, text) rows, alignment by alignment."""
+
+    def keys(words, i, names):
+        return tuple("\1" + (w[2] or "p") if w[2] or (names and w[1]) else w[0] for w in words[i : i + size])
+
+    def slots(words, i, names):
+        return [(w[2] or "p", w[3]) for w in words[i : i + size] if w[2] or (names and w[1])]
+
+    out = set()
+    for doc, text in set(docs):
+        d = template(text)
+        for item, item_text in set(items):
+            b = template(item_text)
+            n = len(b) - size + 1
+            if n < 1 or len(d) < size:
+                continue
+            counted = {}
+            for names in (False, True):
+                for shift in range(-n, len(d)):
+                    met = {}
+                    for i in range(n):
+                        if not 0 <= i + shift <= len(d) - size:
+                            continue
+                        ways = [(x, y) for x in (False, True) for y in (False, True) if names or not (x or y)]
+                        # A window read with names has a name in it; else the plain reading stands for it.
+                        ways = [(x, y) for x, y in ways if (not x or any(w[1] for w in d[i + shift : i + shift + size])) and (not y or any(w[1] for w in b[i : i + size]))]
+                        pairs = [
+                            list(zip(slots(b, i, y), slots(d, i + shift, x))) for x, y in ways if keys(d, i + shift, x) == keys(b, i, y)
+                        ]
+                        if pairs:
+                            met[i] = {p for way in pairs for p in way}
+                    votes = collections.Counter(p for found in met.values() for p in found)
+                    meant = {}
+                    for (ours, theirs), c in votes.items():
+                        meant[ours] = min(meant.get(ours, (1,)), (-c, ours != theirs, theirs))
+                    for i, found in met.items():
+                        verbatim = all(x == y for x, y in found)
+                        if verbatim or all(meant[x][2] == y for x, y in found):
+                            counted[i] = min(counted.get(i, True), not verbatim)
+            if counted and len(counted) >= min(least, -(-n // 2)):
+                out.add((doc, item, len(counted), n, max(counted.values())))
+    return out

@@ -2,6 +2,7 @@
 
 import random
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -141,8 +142,10 @@ def test_leaks(spark, messy, empty):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.reworded for r in decontaminate.leaks(docs, benchmark).collect()}
-    assert got == {(1, 1): False, (2, 1): True, (5, 3): False, (6, 3): False, (None, 1): False}
-    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {3, 4, 7, 9, 10}
+    assert got == {(1, 1): False, (2, 1): True, (5, 3): False, (6, 3): False, (None, 1): False, (10, 1): False}
+    assert {r.doc_id for r in decontaminate.clean(docs, benchmark).collect()} == {3, 4, 7, 9}
+    clashing = docs.selectExpr("*", "1 AS tie", "2 AS _id", "3 AS _tie", "4 AS words", "5 AS window")
+    assert decontaminate.clean(clashing, benchmark).columns == clashing.columns and decontaminate.clean(clashing, benchmark).count() == 4
     assert decontaminate.clean(messy, benchmark).columns == messy.columns and decontaminate.clean(messy, benchmark).count() == messy.count()
     assert decontaminate.leaks(empty, benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
@@ -166,6 +169,42 @@ def test_leaks_of_names_that_begin_sentences(spark):
     assert {(r.doc_id, r.reworded) for r in found} == {(1, True), (2, True), (3, False), (4, False)}
 
 
+def test_leaks_of_numbers_in_words_and_units(spark):
+    item = "on the way to the old mill a boy finds five nuts and three stones of 5 kg each and gives two of them away"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("five", "six").replace("three", "four").replace("two", "ten")
+    digits = item.replace("five", "5").replace("three", "3").replace("5 kg", "7kg").replace("two", "2")
+    rows = [(1, other), (2, digits), (3, item.replace("5 kg", "5kg")), (4, item.replace("5 kg", "1,000 lbs")), (5, item)]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert {(r.doc_id, r.reworded) for r in found} == {(1, True), (2, True), (3, False), (4, True), (5, False)}
+
+
+def test_leaks_are_brute_force_s(spark):
+    r = random.Random(12)
+    names, units, plain = "Ann Ben Eva Tom The If".split(), "kg cm hours".split(), "has buys sells and the then gives apples pears".split()
+
+    def sentence():
+        out = [r.choice(names)]
+        for _ in range(r.randint(4, 9)):
+            k = r.random()
+            out += [str(r.randint(1, 4)), r.choice(units)] if k < 0.15 else [r.choice(("two", "three", "3", "5"))] if k < 0.3 else [r.choice(names)] if k < 0.4 else [r.choice(plain)]
+        return " ".join(out) + r.choice((".", ".\n", ", "))
+
+    items = [(k, "".join(sentence() for _ in range(r.randint(1, 5)))) for k in range(12)] + [(50, None), (51, "")]
+    rows = [(0, None), (1, ""), (None, items[3][1])]
+    for k in range(2, 90):
+        text = items[k % 12][1]
+        for _ in range(r.randint(0, 4)):
+            old, new = r.choice((names, units, ("1", "2", "3", "4"), ("two", "three"), plain)), r.choice((names, ("7", "8", "two")))
+            text = text.replace(r.choice(old), r.choice(new), r.choice((1, 1, -1)))
+        rows.append((k, sentence() * r.randint(0, 2) + text + sentence() + (text if k % 7 == 0 else "")))
+    docs = spark.createDataFrame(rows + rows[5:8], "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(docs, benchmark).select("doc_id", "item_id", "n_windows", "item_windows", "reworded").collect()
+    wanted = brute.leaked(rows, items)
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted)) and len(wanted) > 60
+
+
 def turns_of(k):
     r = random.Random(k)
     out = [("user" if i % 2 == 0 else "assistant", prose(k * 31 + i, r.randint(4, 9)) + "?" if i % 2 == 0 else prose(k * 31 + i, 60) + "\n" + prose(k * 37 + i, 30)) for i in range(r.randint(2, 8))]
