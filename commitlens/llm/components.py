@@ -2,14 +2,14 @@
 
 Each round links every vertex to the least vertex near it; chains halve, so the number
 of rounds grows with the logarithm of a component's size.  Rounds are written to the
-shared folder, which cuts lineage.  A hub is a key with many rows but a minimum is
+shared folder, which cuts lineage; the round before is deleted.  A hub is a key with many rows but a minimum is
 partially aggregated, and joins with it are equi-joins that Spark can split.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commitlens.session import cut
+from commitlens.session import Rounds
 
 
 def _large_star(edges):
@@ -34,11 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls and loops link nothing; no edges give no rows.
     """
-    edges = cut(_clean(edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull()).select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+    rounds = Rounds("edges")
+    edges = rounds.put(_clean(edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull()).select(
+        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
     before = None
     while True:
-        edges = cut(_clean(_small_star(_clean(_large_star(edges)))), "edges")
+        edges = rounds.put(_clean(_small_star(_clean(_large_star(edges)))))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

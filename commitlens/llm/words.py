@@ -177,3 +177,11 @@ def schema(ddl, before=None):
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     return StructType([*(before.fields if before else []), *_parse_datatype_string(ddl).fields])
+
+
+def unused(df, name):
+    """``name``, with underscores before it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -109,32 +109,3 @@ def test_run_on_empty_tables(spark, folder, tmp_path):
 def test_features_are_finite(spark):
     x = gam.features(pa.array([None, "", " ", "a", "\n\n", "!" * 1000, "%%% " * 50]))
     assert np.isfinite(x).all() and x.shape == (7, len(gam.FEATURES))
-
-
-def test_edited_copies_go(spark, folder):
-    """Near copies at 5-word Jaccard similarity 0.8 or more, by all pairs."""
-    r = random.Random(4)
-    texts = []
-    for k in range(60):
-        words = prose(5000 + k, r.randint(60, 300)).split()
-        texts.append(" ".join(words))
-        for _ in range(k % 4):
-            copy = list(words)
-            for _ in range(r.randint(1, 5)):
-                copy[r.randrange(len(copy))] = "edited"
-            texts.append(" ".join(copy).upper())
-    texts += ["a b", "A  B", "a b c", "", None]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-
-    def shingles(text):
-        w = brute.words((text or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)}
-
-    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
-                low, high = sorted((root[a], root[b]))
-                root = [low if x == high else x for x in root]
-    assert len(set(root)) < len(texts) - 30
-    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, folder).collect()) == sorted(set(root))

@@ -5,6 +5,7 @@ import collections
 import brute
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -112,6 +113,8 @@ def test_near_duplicates(messy, empty):
     kept = simhash.keep_one(messy)
     groups = set(brute.components([(f, f) for _, f in prints]))
     assert kept.columns == messy.columns and kept.count() == len(groups)
+    clashing = messy.withColumn("_row", F.lit(1)).withColumn("_kept_row", F.lit(2))
+    assert simhash.keep_one(clashing).agg(F.count("*"), F.min("_row"), F.max("_kept_row")).first() == (len(groups), 1, 2)
 
 
 def test_links_of_random_fingerprints(spark):
@@ -130,6 +133,19 @@ def test_links_of_random_fingerprints(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, wanted.values()))
 
 
+def test_other_radius_and_shingles(spark):
+    r = np.random.default_rng(6)
+    base = [int(b) for b in r.integers(0, 1 << 62, 6)]
+    prints = sorted({b ^ sum(1 << int(k) for k in r.choice(63, n, replace=False)) for b in base for n in (0, 3, 4, 5, 8, 9)})
+    roots = dict(rows_of(components(simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4)), "vertex", "root"))
+    names = brute.components([(p, p) for p in prints], 4)
+    assert [roots.get(p, p) for p in prints] == names
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A B C D E F G"), (3, "g f e d c b a")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs, 2, 0).collect()) == [1, 3]
+    with pytest.raises(ValueError):
+        simhash.links(docs.selectExpr("doc_id AS fp"), 3)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
     roots = dict(rows_of(components(edges), "vertex", "root"))
