@@ -7,7 +7,7 @@ folder and reads them back.
 
 from pyspark.sql import functions as F
 
-from commitlens.llm import decontaminate, gam, mixing, similar, substring
+from commitlens.llm import decontaminate, gam, mixing, simhash, substring
 from commitlens.llm.queries import held_out
 from commitlens.session import cut
 
@@ -20,8 +20,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group of near duplicates, 5-word Jaccard similarity at least 0.8: that of the least id."""
-    return similar.keep_one(docs)
+    """One document of each group of near duplicates, 3-word SimHash fingerprints linked at 2 or fewer bits: that of the least id."""
+    return simhash.keep_one(docs, shingle=3, radius=2)
 
 
 def repeated_passages(spark, docs, sf_dir):
