@@ -6,9 +6,11 @@ takes, so scores stay exact while the many developers who touched only one hot
 file, or the many files of one large commit, shrink to single vertices.  Pairs
 are formed between classes only, never between all members of a group.
 
-Column ``graph`` names the graph a row belongs to.  All graphs are solved together by
-joins, a row per (source, vertex), for one block of sources after the other: what is
-kept at a time stays within ``STATE_ROWS`` rows, and no source is left out.
+Column ``graph`` names the graph a row belongs to.  All graphs are solved together in tiles:
+a tile has some of a graph's sources and a block of its vertices with their links, as many as
+``TILE`` allows, and a graph has as many tiles as it needs.  Tiles tell each other what crosses from one
+block to another, in steps, until nothing does.  Sources take turns, so that what all tiles keep at a time
+stays within ``STATE_ROWS`` pairs (source, vertex), and no source is left out.
 """
 
 from functools import reduce
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commitlens.functions.paths import path_whitelist
-from commitlens.operators import dag, history
+from commitlens.operators import dag, history, tiles
 from commitlens.operators.change import for_requests
 from commitlens.schemas import AUTHOR
 from commitlens.session import Rounds, cut
@@ -25,8 +27,13 @@ from commitlens.session import Rounds, cut
 # Each unordered pair of vertices is met once from either end.
 PAIR_SHARE = 0.5
 
-# Rows (source, vertex) that one block of sources may keep at a time.
-STATE_ROWS = 100_000_000
+# Pairs (source, vertex) that all tiles may keep at a time.
+STATE_ROWS = 10_000_000_000
+
+# Links, and pairs (source, vertex), of one tile.
+TILE = (1 << 17, 1 << 20)
+
+TILE_ROWS = "g bigint, part bigint, block bigint, kind string, a bigint, b bigint, c bigint, d bigint, x double, state binary"
 
 
 def _fingerprint(*columns):
@@ -89,142 +96,88 @@ def numbered(vertices: DataFrame) -> DataFrame:
     return cut(cut(vertices).withColumn("id", F.monotonically_increasing_id()))
 
 
-def betweenness(vertices: DataFrame, edges: DataFrame, state_rows: int = STATE_ROWS):
+def betweenness(vertices: DataFrame, edges: DataFrame, state_rows: int = STATE_ROWS, tile=TILE, of_edges: bool = True):
     """Edge scores (u, v, score) and vertex scores (id, score) of all graphs.
 
     ``vertices`` has (graph, id, size) and ``edges`` each edge once as (graph, u, v, w),
-    w > 0.  Vertices without an edge have no score.
+    w > 0.  Vertices without an edge have no score.  Edge scores are None if not asked for.
     """
     one_way = edges.select("u", "v", "w")
     both = cut(one_way.unionByName(one_way.select(F.col("v").alias("u"), F.col("u").alias("v"), "w")))
-    linked = cut(
-        vertices.join(both.select(F.col("u").alias("id")).distinct(), "id", "left_semi").select("graph", "id", "size")
-    )
-    squares = linked.groupBy("graph").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-    blocks = -(-squares // state_rows) or 1
-    parts = []
-    for block in range(blocks):
-        sources = linked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        parts.append(cut(_scores(sources, linked, both)))
-    scores = reduce(DataFrame.unionByName, parts).groupBy("u", "v").agg((F.sum("score") * PAIR_SHARE).alias("score"))
-    scores = cut(scores)
-    of_vertices = scores.filter(F.col("u") == F.col("v")).select(F.col("u").alias("id"), "score")
-    return scores.filter(F.col("u") != F.col("v")).join(one_way.select("u", "v"), ["u", "v"]), of_vertices
-
-
-def _scores(sources: DataFrame, vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """What the paths from some sources add: (u, v, score) in both directions and (v, v, score)."""
-    links, nodes = path_counts(edges, vertices, sources)
-    # A link that leaves s itself belongs to one member of s, any other to all.
-    weight = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_s"))
-    of_links = (
-        links.join(nodes.select("s", F.col("v").alias("u"), F.col("sigma").alias("sigma_u")), ["s", "u"])
-        .join(nodes, ["s", "v"])
-        .groupBy("u", "v")
-        .agg(F.sum(weight * F.col("sigma_u") * (1 / F.col("sigma") + F.col("beyond"))).alias("score"))
-    )
-    of_vertices = (
-        nodes.filter(F.col("v") != F.col("s"))
-        .join(sources.select(F.col("id").alias("s"), F.col("size").alias("size_s")), "s")
-        .groupBy("v")
-        .agg(F.sum(F.col("size_s") * F.col("sigma") * F.col("beyond")).alias("score"))
-    )
-    return (
-        of_links.unionByName(of_links.select(F.col("v").alias("u"), F.col("u").alias("v"), "score"))
-        .unionByName(of_vertices.select(F.col("v").alias("u"), "v", "score"))
-    )
-
-
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(s, v, d): distances from every source to all it reaches.
-
-    ``edges`` holds both directions as (u, v, w) with w > 0.
-    """
-    rounds = Rounds("distances")
-    state = rounds.put(
-        sources.select(
-            F.col("id").alias("s"),
-            F.col("id").alias("v"),
-            F.lit(0).cast("bigint").alias("d"),
-            F.lit(True).alias("improved"),
+    degrees = both.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    linked = cut(vertices.select("graph", "id", "size").join(degrees, "id"))
+    graphs = linked.groupBy("graph").agg(F.min("id").alias("g"), F.count(F.lit(1)).alias("n"), F.sum("degree").alias("m"))
+    blocks = F.ceil(F.col("m") / tile[0])
+    graphs = graphs.select("graph", "g", "n", blocks.alias("blocks"), F.ceil(F.col("n") * F.col("n") / blocks / tile[1]).alias("parts"))
+    placed = cut(
+        linked.join(graphs, "graph").select(
+            "g", "id", "size", "blocks", "parts",
+            F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"),
+            F.pmod(F.xxhash64("id", F.lit("source")), F.col("parts")).alias("part"),
         )
     )
-    while not state.filter("improved").isEmpty():
-        steps = (
-            state.filter("improved")
-            .select("s", F.col("v").alias("u"), "d")
-            .join(edges, "u")
-            .groupBy("s", "v")
-            .agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        )
-        both = state.select("s", "v", "d", F.col("d").alias("old")).unionByName(
-            steps.withColumn("old", F.lit(None).cast("bigint"))
+    squares = graphs.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    turns = -(-squares // state_rows) or 1
+    every_part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    near = placed.select(F.col("id").alias("u"), "g", "block", "parts", (F.col("blocks") > 1).alias("many"))
+    far = placed.select(F.col("id").alias("v"), F.col("block").alias("to"))
+    fixed = cut(
+        _rows(placed, "vertex", "g", every_part, "block", a="id", d="size", many=F.col("blocks") > 1).unionByName(
+            _rows(both.join(near, "u").join(far, "v"), "edge", "g", every_part, "block", a="u", b="v", c="to", d="w", many="many")
         )
-        state = rounds.put(
-            both.groupBy("s", "v")
-            .agg(F.min("d").alias("d"), F.min("old").alias("old"))
-            .select("s", "v", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("improved"))
-        )
-    return state.drop("improved")
-
-
-def path_counts(edges: DataFrame, vertices: DataFrame, sources: DataFrame):
-    """Links (s, u, v, size_s) of all shortest-path DAGs, and nodes (s, v, sigma, beyond).
-
-    ``vertices`` has ``id`` and ``size``.  ``sigma`` is the number of shortest paths
-    from one member of s to one member of v, ``beyond`` the dependency of s on one
-    member of v divided by ``sigma``.
-    """
-    distances = shortest_paths(edges, sources)
-    sizes = vertices.select("id", "size")
-    links = cut(
-        distances.select("s", F.col("v").alias("u"), F.col("d").alias("d_u"))
-        .join(edges, "u")
-        .join(distances, ["s", "v"])
-        .filter(F.col("d") == F.col("d_u") + F.col("w"))
-        .join(sizes.select(F.col("id").alias("s"), F.col("size").alias("size_s")), "s")
-        .join(sizes.select(F.col("id").alias("u"), F.col("size").alias("size_u")), "u")
-        .join(sizes.select(F.col("id").alias("v"), F.col("size").alias("size_v")), "v")
-        .select("s", "u", "v", "size_s", "size_u", "size_v")
-    )
-    # Only s itself starts a path, not the other members of its class.
-    copies = F.when(F.col("u") == F.col("s"), F.lit(1)).otherwise(F.col("size_u"))
-    forward = _propagate(
-        sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("n")),
-        links.select("s", F.col("u").alias("v"), F.col("v").alias("next"), copies.alias("factor")),
-        keep_start=True,
     )
-    sigma = cut(forward)
-    backward = _propagate(
-        sigma.filter(F.col("v") != F.col("s")).select("s", "v", (1 / F.col("n")).alias("n")),
-        links.filter(F.col("u") != F.col("s")).select(
-            "s", "v", F.col("u").alias("next"), F.col("size_v").alias("factor")
-        ),
-        keep_start=False,
-    )
-    nodes = sigma.withColumnRenamed("n", "sigma").join(
-        backward.withColumnRenamed("n", "beyond"), ["s", "v"], "left"
-    )
-    return links, cut(nodes.select("s", "v", "sigma", F.coalesce("beyond", F.lit(0.0)).alias("beyond")))
-
-
-def _propagate(start: DataFrame, links: DataFrame, keep_start: bool) -> DataFrame:
-    """Push values (s, v, n) along links until none moves; sum what each v met.
-
-    ``keep_start`` tells whether the starting values count themselves.
+    found = []
+    for turn in range(turns):
+        mine = placed.filter(F.pmod(F.xxhash64("id", F.lit("turn")), F.lit(turns)) == turn)
+        every_block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block")
+        found.append(_solved(fixed.unionByName(_rows(mine, "source", "g", "part", every_block, a="id", d="size", many=F.col("blocks") > 1)), of_edges))
+    scores = cut(reduce(DataFrame.unionByName, found).groupBy("a", "b").agg((F.sum("x") * PAIR_SHARE).alias("score")))
+    of_vertices = scores.filter(F.col("a") == F.col("b")).select(F.col("a").alias("id"), "score")
+    if not of_edges:
+        return None, of_vertices
+    ends = one_way.select("u", "v", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    return scores.join(ends, ["a", "b"]).select("u", "v", "score"), of_vertices
+
+
+def _rows(df, kind, *place, many, **columns):
+    """Rows of one kind for the tiles (g, part, block): numbers a, b, c and d, a value x, a packed state."""
+    types = {"a": "bigint", "b": "bigint", "c": "bigint", "d": "bigint", "x": "double", "state": "binary"}
+    asked = [(F.col(columns[c]) if c in columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    return df.select(*place, F.lit(kind).alias("kind"), *asked, (F.col(many) if isinstance(many, str) else many).alias("many"))
+
+
+def _solved(rows: DataFrame, of_edges: bool) -> DataFrame:
+    """(a, b, x): what the paths from the sources in ``rows`` add to vertices (a = b) and edges.
+
+    A tile without links to others is finished in the first step.  The others work in steps: each carries
+    what has changed through its own links as far as it goes and tells other tiles what leaves it; a
+    phase ends when no tile has anything to tell.
     """
-    total = start if keep_start else start.filter(F.lit(False))
-    front = start
-    while True:
-        front = cut(
-            front.join(links, ["s", "v"])
-            .groupBy("s", "next")
-            .agg(F.sum(F.col("n") * F.col("factor")).alias("n"))
-            .select("s", F.col("next").alias("v"), "n")
-        )
-        if front.isEmpty():
-            return total.groupBy("s", "v").agg(F.sum("n").alias("n"))
-        total = total.unionByName(front)
+    rounds, scores = Rounds("tiles"), []
+    keys = ["g", "part", "block"]
+
+    def step(given, phase, start):
+        out = given.drop("many").groupBy(*keys).applyInArrow(lambda key, table: tiles.solve(key, table, phase, start, of_edges), TILE_ROWS)
+        out = rounds.put(out)
+        scores.append(cut(out.filter("kind = 'score'").select("a", "b", "x")))
+        return out
+
+    out = step(rows, "distance", True)
+    rows = rows.filter("many")
+    if out.filter("kind = 'state'").isEmpty():
+        return scores[0]
+    for phase in ("distance", "paths", "beyond", "score"):
+        start = phase != "distance"
+        while start or not out.filter("kind = 'message'").isEmpty():
+            told = out.filter("kind = 'message'")
+            if phase == "distance":
+                told = told.groupBy(*keys, "kind", "a", "b").agg(F.min("d").alias("d"))
+            elif phase != "score":
+                told = told.groupBy(*keys, "kind", "a", "b", "d").agg(F.sum("x").alias("x"))
+            given = rows.unionByName(out.filter("kind = 'state'"), allowMissingColumns=True)
+            out = step(given.unionByName(told, allowMissingColumns=True), phase, start)
+            start = False
+    return reduce(DataFrame.unionByName, scores)
 
 
 def developer_classes(touches: DataFrame) -> DataFrame:
@@ -280,7 +233,7 @@ def collab_edges(t, requests=None, whitelist=None, merges=None, **options) -> Da
 
 
 def collaboration(
-    t, requests=None, whitelist=None, merges=None, state_rows=STATE_ROWS, **options
+    t, requests=None, whitelist=None, merges=None, state_rows=STATE_ROWS, tile=TILE, **options
 ) -> DataFrame:
     """Per path the greatest edge betweenness among developers who share it.
 
@@ -300,7 +253,7 @@ def collaboration(
         .filter(F.col("u") < F.col("v"))
     )
     edges = cut(pairs.select("graph", "u", "v").distinct().withColumn("w", F.lit(1).cast("bigint")))
-    scored, _ = betweenness(vertices, edges, state_rows)
+    scored, _ = betweenness(vertices, edges, state_rows, tile)
     across = pairs.join(scored, ["u", "v"]).select("b", "score")
     # Two members of one class are linked directly and serve no other pair.
     within = inside.filter(F.col("size") > 1).select("b", F.lit(1.0).alias("score"))
@@ -329,7 +282,7 @@ def contrib_edges(t, requests=None, whitelist=None, merges=None, **options) -> D
 
 def contribution(
     t, requests=None, whitelist=None, merges=None, closeness=False,
-    state_rows=STATE_ROWS, **options
+    state_rows=STATE_ROWS, tile=TILE, **options
 ) -> DataFrame:
     """Weighted betweenness of every file in the developer-file graph.
 
@@ -367,7 +320,7 @@ def contribution(
         .select("graph", "u", "v", F.col("weight").alias("w"))
     )
     edges = cut(one_way)
-    _, through = betweenness(vertices, edges, state_rows)
+    _, through = betweenness(vertices, edges, state_rows, tile, of_edges=False)
     # Members of one class reach each other over their nearest neighbours.
     twins = vertices.filter(F.col("size") > 1).select(F.col("id").alias("u"), F.col("size").alias("twins"))
     ways = edges.select("u", "v", "w").unionByName(

@@ -87,12 +87,13 @@ def random_touches(seed):
     return touches
 
 
-@pytest.mark.parametrize("state_rows", [graph.STATE_ROWS, 300])
-def test_scores_match_enumeration(spark, tables, state_rows):
+@pytest.mark.parametrize("state_rows, tile", [(graph.STATE_ROWS, graph.TILE), (300, graph.TILE), (graph.STATE_ROWS, (5, 12))])
+def test_scores_match_enumeration(spark, tables, state_rows, tile):
+    """Whole, with sources that take turns, and with graphs cut into many tiles that exchange messages."""
     cases = {seed: random_touches(seed) for seed in range(14)}
     t = tables(**history_of([(seed, a, p) for seed, case in cases.items() for a, p in case]))
     got = {
-        name: {(r["project_id"], r["path"]): r[name] for r in getattr(graph, name)(t, state_rows=state_rows).collect()}
+        name: {(r["project_id"], r["path"]): r[name] for r in getattr(graph, name)(t, state_rows=state_rows, tile=tile).collect()}
         for name in ("collaboration", "contribution")
     }
     for seed, case in cases.items():
