@@ -296,8 +296,8 @@ def contribution(
             "graph", "path", "author", (F.col("most") + 1 - F.col("weight")).alias("weight")
         )
     touches = cut(touches)
-    authors = _classes(touches, "author", ["path", "weight"], "author_class")
-    files = _classes(touches, "path", ["author", "weight"], "path_class")
+    authors = cut(_classes(touches, "author", ["path", "weight"], "author_class"))
+    files = cut(_classes(touches, "path", ["author", "weight"], "path_class"))
     nobody = F.lit(None).cast(touches.schema["author"].dataType)
     nothing = F.lit(None).cast("string")
     vertices = numbered(
