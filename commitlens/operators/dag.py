@@ -4,8 +4,16 @@ History is cut into chains of first parents: each commit is followed by at most
 one child in its chain.  Whoever reaches a commit reaches everything below it in
 its chain, so what a commit reaches is one position per chain instead of a list
 of commits, and a search steps from chain to chain instead of commit to commit.
+
+An index keeps what is reached without a row per commit and chain.  Every chain but the first
+stands on a place in another; ``ladder`` has all the places below it, few because of the heaviest
+children.  Beyond those a chain reaches what its merges bring in: ``takes`` has a row for every piece of
+another chain that a merge adds to what was reached before.  The pieces along a ladder never
+overlap, so whatever is counted over them is a sum of as-of counts.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,76 +106,139 @@ def chains(commits: DataFrame, parents: DataFrame) -> DataFrame:
     return state.select(*COMMIT, F.col("target").alias("chain"), (F.col("steps") + 1).alias("pos"))
 
 
-def reach(placed: DataFrame, parents: DataFrame, requests: DataFrame) -> DataFrame:
-    """(project_id, till_sha, chain, till): highest position reached in every chain.
+def links(placed: DataFrame, parents: DataFrame) -> DataFrame:
+    """(project_id, chain, pos, other, at, stands): parents in other chains than their child's.
 
-    ``placed`` is the result of ``chains``; ``requests`` has (project_id, sha).
+    ``stands`` marks the link by which a chain's lowest commit follows its first parent.
     """
-    upper = placed.select(*COMMIT, F.col("chain").alias("from_chain"), F.col("pos").alias("from_pos"))
-    lower = placed.select("project_id", F.col("sha").alias("parent_sha"), "chain", "pos")
-    exits = cut(
+    upper = placed.select(*COMMIT, "chain", "pos")
+    lower = placed.select("project_id", F.col("sha").alias("parent_sha"), F.col("chain").alias("other"), F.col("pos").alias("at"))
+    return (
         parents.join(upper, COMMIT)
         .join(lower, ["project_id", "parent_sha"])
-        .filter(F.col("from_chain") != F.col("chain"))
-        .select("project_id", "from_chain", "from_pos", "chain", "pos")
+        .filter(F.col("chain") != F.col("other"))
+        .select("project_id", "chain", "pos", "other", "at", ((F.col("parent_no") == 1) & (F.col("pos") == 1)).alias("stands"))
     )
-    key = ["project_id", "till_sha", "chain"]
-    rounds = Rounds("reach")
-    state = rounds.put(
-        requests.select(*COMMIT)
-        .distinct()
-        .join(placed, COMMIT)
-        .select(
-            "project_id", F.col("sha").alias("till_sha"), "chain", F.col("pos").alias("till"),
-            F.lit(0).cast("bigint").alias("was"),
-        )
+
+
+def ladder(exits: DataFrame) -> DataFrame:
+    """(project_id, chain, other, at): all places that a chain stands on, one below the other."""
+    below = cut(
+        exits.filter("stands").groupBy("project_id", "chain").agg(F.max(F.struct("other", "at")).alias("b")).select("project_id", "chain", "b.*")
     )
+    further = below.select("project_id", F.col("chain").alias("other"), F.col("other").alias("next"), F.col("at").alias("next_at"))
+    rungs = [below]
+    while not rungs[-1].isEmpty():
+        step = rungs[-1].drop("at").join(further, ["project_id", "other"])
+        rungs.append(cut(step.select("project_id", "chain", F.col("next").alias("other"), F.col("next_at").alias("at"))))
+    return reduce(DataFrame.unionByName, rungs)
+
+
+def takes(exits: DataFrame, rungs: DataFrame) -> DataFrame:
+    """(project_id, chain, pos, other, old, new): what the merges of a chain add to what it reached before:
+    the places behind ``old`` up to ``new`` of another chain, reached from ``pos`` on.
+
+    Rounds go from chain to chain: what a merge adds is followed through the links that lie in
+    the added piece only.
+    """
+    key = ["project_id", "chain", "other"]
+    standing = rungs.groupBy(*key).agg(F.max("at").alias("base"))
+    rounds = Rounds("takes")
+    found = exits.filter("NOT stands").groupBy(*key, "pos").agg(F.max("at").alias("new")).withColumn("fresh", F.lit(True))
     while True:
-        grown = state.filter(F.col("till") > F.col("was"))
-        if grown.isEmpty():
-            return state.drop("was")
-        steps = (
-            grown.withColumnRenamed("chain", "from_chain")
-            .join(exits, ["project_id", "from_chain"])
-            .filter((F.col("from_pos") <= F.col("till")) & (F.col("from_pos") > F.col("was")))
-            .groupBy(*key)
-            .agg(F.max("pos").alias("till"))
+        placed = history.greatest_before(found, key, ["pos"], "new", "old").join(standing, key, "left")
+        old = F.greatest("old", F.coalesce("base", F.lit(0)))
+        known = rounds.put(placed.withColumn("old", old).filter("new > old").select(*key, "pos", "old", "new", "fresh"))
+        if known.filter("fresh").isEmpty():
+            break
+        pieces = known.filter("fresh").select(
+            "project_id", F.col("chain").alias("mine"), F.col("pos").alias("from"), F.col("other").alias("chain"), "old", "new"
         )
-        both = state.select(*key, "till", F.col("till").alias("was")).unionByName(
-            steps.withColumn("was", F.lit(0).cast("bigint"))
+        onward = exits.select("project_id", "chain", "pos", F.col("other").alias("next"), "at")
+        met = (
+            history.within_ranges(pieces, onward, ["project_id", "chain"], "old", "new", "pos")
+            .filter(F.col("mine") != F.col("next"))
+            .select("project_id", F.col("mine").alias("chain"), F.col("next").alias("other"), F.col("from").alias("pos"), F.col("at").alias("new"), F.lit(True).alias("fresh"))
         )
-        state = rounds.put(both.groupBy(*key).agg(F.max("till").alias("till"), F.max("was").alias("was")))
+        both = known.select(*key, "pos", "new", F.lit(False).alias("fresh")).unionByName(met)
+        # A place known before is not fresh again.
+        found = both.groupBy(*key, "pos").agg(F.max(F.struct("new", (~F.col("fresh")).alias("seen"))).alias("m")).select(
+            *key, "pos", "m.new", (~F.col("m.seen")).alias("fresh")
+        )
+    # What the chains below have taken in already is no addition.
+    asked = known.select(*key).distinct().join(rungs.withColumnsRenamed({"other": "below", "at": "pos"}), ["project_id", "chain"])
+    asked = asked.select("project_id", F.col("below").alias("chain"), "other", "pos", F.lit(None).cast("bigint").alias("new"), F.col("chain").alias("asks"))
+    both = known.select(*key, "pos", "new", F.lit(None).cast("string").alias("asks")).unionByName(asked)
+    there = history.greatest_before(both.withColumn("late", F.col("asks").isNotNull()), key, ["pos", "late"], "new", "covered")
+    covered = there.filter("late").groupBy("project_id", F.col("asks").alias("chain"), "other").agg(F.max("covered").alias("covered"))
+    return (
+        known.join(covered, key, "left")
+        .withColumn("old", F.greatest("old", F.coalesce("covered", F.lit(0))))
+        .filter("new > old")
+        .select("project_id", "chain", "pos", "other", "old", "new")
+    )
+
+
+def index(placed: DataFrame, parents: DataFrame):
+    """The ladder and the takes of all chains."""
+    exits = cut(links(placed, parents))
+    rungs = cut(ladder(exits))
+    return rungs, cut(takes(exits, rungs))
 
 
 class Reached:
     """What a set of requested commits reaches, ready to be joined with facts.
 
-    ``t`` holds ``commits``, ``commit_parents`` and, where the chains were stored
-    with them, ``commit_chains``.
+    ``t`` holds ``commits``, ``commit_parents`` and, where they were stored with them,
+    ``commit_chains``, ``commit_ladder`` and ``commit_takes``.  ``till`` has a requested commit's
+    place in its chain and all places below: what it reaches is what has entered those chains up to there.
     """
 
     def __init__(self, t, requests: DataFrame):
         stored = getattr(t, "commit_chains", None)
         self.placed = cut(chains(t.commits, t.commit_parents)) if stored is None else stored
-        self.till = reach(self.placed, t.commit_parents, requests)
+        if getattr(t, "commit_takes", None) is None:
+            self.rungs, self.taken = index(self.placed, t.commit_parents)
+        else:
+            self.rungs, self.taken = t.commit_ladder, t.commit_takes
+        own = requests.select(*COMMIT).distinct().join(self.placed, COMMIT).select(
+            "project_id", F.col("sha").alias("till_sha"), "chain", F.col("pos").alias("till")
+        )
+        below = own.drop("till").join(self.rungs, ["project_id", "chain"]).select(
+            "project_id", "till_sha", F.col("other").alias("chain"), F.col("at").alias("till")
+        )
+        self.till = own.unionByName(below)
 
     def with_position(self, facts: DataFrame) -> DataFrame:
         """Facts of commits with their chain; ``seq`` becomes the place in it."""
         columns = [c for c in facts.columns if c != "seq"]
         return facts.select(*columns).join(self.placed, COMMIT).withColumnRenamed("pos", "seq")
 
+    def entered(self, facts: DataFrame) -> DataFrame:
+        """Facts of commits with every chain they belong to or are taken into, and the place there."""
+        own = self.with_position(facts)
+        pieces = self.taken.select("project_id", F.col("other").alias("chain"), F.col("chain").alias("into"), "pos", "old", "new")
+        taken = history.within_ranges(pieces, own, ["project_id", "chain"], "old", "new", "seq")
+        return own.unionByName(
+            taken.drop("chain", "seq", "old", "new").withColumnsRenamed({"into": "chain", "pos": "seq"})
+        )
+
     def join(self, facts: DataFrame, points: DataFrame | None = None, keys=()) -> DataFrame:
         """Facts with all requested commits (``till_sha``) that reach theirs.
 
         ``points`` restricts the pairs to requested values of ``keys``.
         """
         till = self.till if points is None else self.till.join(points, ["project_id", "till_sha"])
-        found = history.join_until(till, self.with_position(facts), ["project_id", "chain", *keys])
+        found = history.join_until(till, self.entered(facts), ["project_id", "chain", *keys])
         return found.drop("chain", "seq", "till")
 
     def count(self, events: DataFrame, points: DataFrame, keys, name) -> DataFrame:
-        """Number of reached events per point (project_id, till_sha, keys)."""
-        placed = self.with_position(events).select("project_id", "chain", "seq", *keys)
+        """Number of reached events of commits per point (project_id, till_sha, keys)."""
+        return self.count_entered(self.entered(events), points, keys, name)
+
+    def count_entered(self, entered: DataFrame, points: DataFrame, keys, name) -> DataFrame:
+        """The same for events with their chains and places."""
+        placed = entered.select("project_id", "chain", "seq", *keys)
         by_chain = ["project_id", "chain", *keys]
         asked = (
             self.till.join(points, ["project_id", "till_sha"])
@@ -183,3 +254,12 @@ class Reached:
         return points.join(summed, ["project_id", "till_sha", *keys], "left").withColumn(
             name, F.coalesce(name, F.lit(0).cast("bigint"))
         )
+
+    def sizes(self, name: str) -> DataFrame:
+        """(project_id, till_sha, name): how many commits each requested commit reaches, itself included."""
+        chain = ["project_id", "chain"]
+        added = self.taken.select(*chain, F.col("pos").alias("seq"), (F.col("new") - F.col("old")).alias("n"))
+        places = self.till.select(*chain, F.col("till").alias("seq")).distinct()
+        sums = history.count_as_of(added, places, chain, "_n", weight="n")
+        asked = self.till.withColumnRenamed("till", "seq").join(sums, [*chain, "seq"])
+        return asked.groupBy("project_id", "till_sha").agg(F.sum(F.col("seq") + F.col("_n")).alias(name))

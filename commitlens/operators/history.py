@@ -87,19 +87,54 @@ def running(df: DataFrame, keys, sums: dict[str, Column], order=("seq",)) -> Dat
     return result.drop(bucket, *values, *[f"{v}_before" for v in values])
 
 
-def count_as_of(events: DataFrame, points: DataFrame, keys, name) -> DataFrame:
-    """Number of ``events`` with the same keys and ``seq`` not after the point's.
+def count_as_of(events: DataFrame, points: DataFrame, keys, name, weight=None) -> DataFrame:
+    """Number of ``events`` (or sum of their ``weight``) with the same keys and ``seq`` not after the point's.
 
     ``points`` holds distinct (keys, seq) rows; the result adds ``name`` to them.
     """
     columns = [*keys, "seq"]
-    both = events.select(*columns, F.lit(0).alias("_point")).unionByName(
-        points.select(*columns, F.lit(1).alias("_point"))
+    worth = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    both = events.select(*columns, F.lit(0).alias("_point"), worth.alias("_weight")).unionByName(
+        points.select(*columns, F.lit(1).alias("_point"), F.lit(0).cast("bigint").alias("_weight"))
     )
-    counted = running(both, keys, {name: (1 - F.col("_point")).cast("bigint")}, ("seq", "_point"))
+    counted = running(both, keys, {name: F.col("_weight")}, ("seq", "_point"))
     return counted.filter(F.col("_point") == 1).select(*columns, name)
 
 
+def greatest_before(df: DataFrame, keys, order, value: str, name: str) -> DataFrame:
+    """Add the greatest ``value`` of the rows with the same keys that come earlier; 0 if there are none.
+
+    ``order`` starts with a position, whose buckets bound what one task sorts.
+    """
+    bucket = "_bucket"
+    tagged = df.withColumn(bucket, F.floor(F.col(order[0]) / SEQ_BUCKET))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(*_before())
+    carried = (
+        tagged.groupBy(*keys, bucket)
+        .agg(F.max(value).alias("_most"))
+        .select(*keys, bucket, F.coalesce(F.max("_most").over(earlier), F.lit(0)).alias("_carried"))
+    )
+    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(*_before())
+    return (
+        tagged.join(carried, [*keys, bucket])
+        .withColumn(name, F.greatest("_carried", F.coalesce(F.max(value).over(within), F.lit(0))))
+        .drop(bucket, "_carried")
+    )
+
+
+def within_ranges(ranges: DataFrame, rows: DataFrame, keys, low: str, high: str, position: str) -> DataFrame:
+    """Each range with all rows of the same keys whose position lies behind ``low`` and not behind ``high``.
+
+    Ranges are spread over the buckets they touch, so that the rows of a hot key meet in many tasks.
+    """
+    bucket = "_bucket"
+    touched = F.sequence(F.floor((F.col(low) + 1) / SEQ_BUCKET), F.floor(F.col(high) / SEQ_BUCKET))
+    spread = ranges.withColumn(bucket, F.explode(touched))
+    placed = rows.withColumn(bucket, F.floor(F.col(position) / SEQ_BUCKET))
+    inside = (F.col(position) > F.col(low)) & (F.col(position) <= F.col(high))
+    return spread.join(placed, [*keys, bucket]).filter(inside).drop(bucket)
+
+
 def join_until(points: DataFrame, events: DataFrame, keys) -> DataFrame:
     """Each point with all events of the same keys and ``seq`` not after its ``till``.
 

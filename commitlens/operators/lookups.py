@@ -39,8 +39,8 @@ def get_commits_till(t, requests, to_path=False, merges=None) -> DataFrame:
     """Commits at or before each requested (project, sha).
 
     That means reachable where parents are known; with ``merges=False`` not later in linear history.
-    The result has a row per request and commit: ``dag.Reached(t, requests).till`` is the compact
-    form, a position per chain.
+    The result has a row per request and commit: ``dag.Reached(t, requests)`` is the compact
+    form, places in chains and what their merges take in.
     With ``to_path`` the requests carry a path and only commits touching it are
     kept.  The request's sha is returned as ``till_sha``.
     """

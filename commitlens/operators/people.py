@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from commitlens.operators import dag, history, ranges
 from commitlens.operators.change import asked_only, for_requests
 from commitlens.schemas import AUTHOR, CHANGE_KEY
+from commitlens.session import cut
 
 PATH = ["project_id", "path"]
 COMMIT = ["project_id", "sha"]
@@ -62,21 +63,29 @@ def pastauthors(t, requests=None, merges=None, **options) -> DataFrame:
     if dag.by_reach(t, merges):
         asked = _own_changes(t, requests).select(*CHANGE_KEY).distinct()
         reached = dag.Reached(t, asked)
-        touches = reached.with_position(history.touches(t.changes, t.commits).select(*CHANGE_KEY, *AUTHOR))
-        firsts = touches.groupBy(*PATH, *AUTHOR, "chain").agg(F.min("seq").alias("first"))
-        authors = (
-            reached.till.join(_till(asked), ["project_id", "till_sha"])
-            .join(firsts, [*PATH, "chain"])
-            .filter(F.col("first") <= F.col("till"))
-            .select("project_id", F.col("till_sha").alias("sha"), "path", F.struct(*AUTHOR).alias("author"))
+        author = [*PATH, *AUTHOR]
+        touches = reached.entered(history.touches(t.changes, t.commits).select(*CHANGE_KEY, *AUTHOR))
+        firsts = cut(touches.groupBy(*author, "chain").agg(F.min("seq").alias("seq")))
+        # An author whom the chains below a chain have met already adds nothing in it.
+        below = firsts.select(*author, F.col("chain").alias("other"), "seq")
+        met = (
+            firsts.select(*author, "chain")
+            .join(reached.rungs, ["project_id", "chain"])
+            .join(below, [*author, "other"])
+            .filter(F.col("seq") <= F.col("at"))
+            .select(*author, "chain")
+        )
+        counts = reached.count_entered(firsts.join(met, [*author, "chain"], "left_anti"), _till(asked), ["path"], "n")
+        own = (
+            asked.join(t.commits.select(*COMMIT, *AUTHOR), COMMIT)
+            .join(reached.till.withColumnRenamed("till_sha", "sha"), COMMIT)
+            .join(firsts, [*author, "chain"])
+            .filter(F.col("seq") <= F.col("till"))
+            .select(*CHANGE_KEY, F.lit(1).alias("own"))
             .distinct()
         )
-        own = t.commits.select(*COMMIT, F.struct(*AUTHOR).alias("own"))
-        others = (
-            authors.join(own, COMMIT)
-            .filter(F.col("author") != F.col("own"))
-            .groupBy(*CHANGE_KEY)
-            .agg(F.count(F.lit(1)).alias("n"))
+        others = counts.withColumnRenamed("till_sha", "sha").join(own, CHANGE_KEY, "left").select(
+            *CHANGE_KEY, (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")
         )
         measures = asked.join(t.commits.select(*COMMIT), COMMIT, "left_semi").join(others, CHANGE_KEY, "left")
         return for_requests(
@@ -119,7 +128,7 @@ def ownership(t, requests=None, merges=None, **options) -> DataFrame:
         ).select(*COMMIT, *AUTHOR).distinct()
         reached = dag.Reached(t, asked)
         counts = reached.count(t.commits.select(*COMMIT, *AUTHOR), _till(asked), AUTHOR, "n")
-        totals = reached.till.groupBy("project_id", "till_sha").agg(F.sum("till").alias("total"))
+        totals = reached.sizes("total")
         labels = ["name", "email"] if named else AUTHOR
         measures = counts.join(totals, ["project_id", "till_sha"]).select(
             "project_id", F.col("till_sha").alias("sha"),

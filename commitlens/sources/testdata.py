@@ -201,7 +201,7 @@ def duckdb_ctes(*names: str) -> str:
 
 # Tables that an ingest job would have written, made once per session and folder.
 STORED = set(
-    "commits commit_parents commit_chains changes path_history linechanges blame "
+    "commits commit_parents commit_chains commit_ladder commit_takes changes path_history linechanges blame "
     "blobs blob_sizes functions comments messages patches requests".split()
 )
 _PATHS: dict[tuple, str] = {}
@@ -243,6 +243,9 @@ class Tables:
             return self._sql(name, documents=texts.repartition(tasks, "doc_id"))
         if name == "commit_chains":
             return dag.chains(self.table("commits"), self.table("commit_parents"))
+        if name in ("commit_ladder", "commit_takes"):
+            exits = dag.links(self.table("commit_chains"), self.table("commit_parents"))
+            return dag.ladder(exits) if name == "commit_ladder" else dag.takes(exits, self.table("commit_ladder"))
         if name == "path_history":
             return history.running(
                 history.touches(self.table("changes"), self.table("commits")),

@@ -62,7 +62,7 @@ def reached_by(parents):
     return walk
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0, 1, 2, 3])
 def test_merges_match_walking_parents(spark, tables, monkeypatch, seed):
     monkeypatch.setattr(history, "SEQ_BUCKET", 5)
     commits, parents, changes = random_repository(seed)
@@ -92,6 +92,19 @@ def test_merges_match_walking_parents(spark, tables, monkeypatch, seed):
         assert share == pytest.approx(sum(author[c] == author[sha] for c in reach) / len(reach))
 
 
+def test_the_index_grows_with_merges(spark, tables):
+    """A main line that merges one side branch after the other, all begun at its start."""
+    n = 40
+    commits = [(1, f"m{i}", i, "A", "a", i + 1) for i in range(n)] + [(1, f"s{i}", i, "B", "b", n + i + 1) for i in range(1, n)]
+    parents = [(1, f"m{i}", f"m{i - 1}", 1) for i in range(1, n)] + [(1, f"m{i}", f"s{i}", 2) for i in range(2, n)]
+    parents += [(1, f"s{i}", "m0" if i < n // 2 else f"m{i - 2}", 1) for i in range(1, n)]
+    t = tables(commits=(commits, COMMITS), commit_parents=(parents, "project_id bigint, sha string, parent_sha string, parent_no int"))
+    rungs, taken = dag.index(dag.chains(t.commits, t.commit_parents), t.commit_parents)
+    assert rungs.count() == n - 1 and taken.count() == n - 2
+    reached = dag.Reached(t, t.commits.filter("sha IN ('m39', 's39', 'm5')"))
+    assert {r.till_sha: r.n for r in reached.sizes("n").collect()} == {"m39": 2 * n - 2, "s39": 75, "m5": 10}
+
+
 def test_linear_history_agrees_with_its_parents(spark, tables):
     commits = [(1, f"c{i}", i, "AB"[i % 3 // 2], "m", i + 1) for i in range(20)]
     parents = [(1, f"c{i}", f"c{i - 1}", 1) for i in range(1, 20)]
