@@ -1,8 +1,14 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
 A page is read as a sequence of tags and text blocks.  A tag costs; a word of a block gains
-or costs by the elements around it.  One linear scan finds the contiguous region with the
-largest sum, and the blocks of the region whose words gain are the main text.
+or costs by the elements around it, a block at most ``MOST_COST``, so that a long insert doesn't cut an article
+in two.  One linear scan finds the contiguous region with the largest sum (of equal ones the first), and the
+blocks of the region whose words gain are the main text.
+
+Names in class, id and role weigh what they say of an element's own part of the page.  An element that holds most
+words of the page and its main heading or content is a wrapper: names such as ``sidebar`` on it say what
+the page has, not what the element is, and count for nothing.  So do names of states (``has-sidebar``, ``comments-open``).
+A block that is mostly links is no text, unless it is in the article or a paragraph that is more than links.
 
 Weights of elements and of words in their class and id start from a table of priors and are
 fitted on labelled pages: those that mark their content with one ``article`` or ``main``
@@ -11,7 +17,8 @@ documented bound); every whole page is extracted.
 
 A null or empty page has an empty text.  Broken markup is read as far as it goes: unknown
 end tags are ignored, unclosed elements end with their parent, and an unclosed script,
-style or comment reaches to the end.  Repeated rows give repeated results.
+style or comment reaches to the end.  Repeated rows give repeated results, an empty table an empty one.  Only
+page_id, url and html are read, so other columns' names can't clash.
 """
 
 import html
@@ -27,12 +34,14 @@ from commitlens.llm import words as W
 
 SAMPLE = 400
 TAG_COST = 0.3
+#: The most that the words of one block cost.
+MOST_COST = 3.0
 
 #: Elements whose content is never text.
-RAW = "script style noscript template svg math iframe object video audio canvas textarea select title"
+RAW = "script style noscript template svg iframe object video audio canvas textarea select title"
 INLINE = (
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
-    "time tt u var wbr"
+    "time tt u var wbr math semantics mrow mi mo mn ms mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mspace mtable mtr mtd"
 )
 VOID = "area base br col embed hr img input link meta param source track wbr"
 #: Prior weights of elements and of words in class and id.
@@ -59,38 +68,59 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORDS = re.compile(r"[a-z]+")
+#: A name that says what state something is in.
+_STATE = re.compile(r"(?:has|no|with|without|is|not)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|on|off)$", re.I)
+
+
+class Element:
+    """An open element: the names it carries and how many words it holds."""
+
+    __slots__ = ("held", "name", "names")
+
+    def __init__(self, name, rest=""):
+        self.name, self.names, self.held = name, set(), 0
+        for value in _NAMES.findall(rest):
+            for token in "".join(value).split():
+                if not _STATE.match(token):
+                    self.names.update(_WORDS.findall(token.lower()))
+        if _HIDDEN.search(rest):
+            self.names.add("@hidden")
 
 
 class Block:
-    """A run of text between block tags: ``text``, its words, how many are links, and the names around it."""
+    """A run of text between block tags: ``text``, its words, how many are links, the elements and names around it."""
 
-    __slots__ = ("inside", "links", "names", "tags", "text", "words")
+    __slots__ = ("around", "inside", "links", "names", "tags", "text", "words")
 
 
 def blocks(page):
     """The blocks of a page in order; ``tags`` are the block tags since the block before."""
     inline, void = set(INLINE.split()), set(VOID.split())
     stack, out, parts, tags = [], [], [], []
-    state = {"linked": 0}
+    anchors, linked = {}, 0
 
     def close():
+        nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
-        linked, state["linked"] = state["linked"], 0
         if text:
             b = Block()
             b.text, b.words, b.links = text, len(text.split()), linked
-            b.inside = any(name in ("article", "main") for name, _ in stack)
-            b.names = {x for name, names in stack if name not in inline for x in (name, *names)}
+            b.around = [x for x in stack if x.name not in inline]
+            b.inside = any(x.name in ("article", "main") for x in b.around)
             b.tags, tags[:] = list(tags), []
+            for x in b.around:
+                x.held += b.words
             out.append(b)
+        linked = 0
 
     def write(text):
+        nonlocal linked
         if text:
             text = html.unescape(text)
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
-                state["linked"] += len(text.split())
+            if any(x.name == "a" for x in stack):
+                linked += len(text.split())
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -105,7 +135,7 @@ def blocks(page):
             if m["end"]:
                 _pop(stack, name)
             elif not m["rest"].endswith("/") and name not in void:
-                stack.append((name, ()))
+                stack.append(Element(name))
             continue
         if name == "br":
             parts.append(" ")
@@ -114,33 +144,41 @@ def blocks(page):
         tags.append(name)
         if name == "body":
             stack.clear()
-        elif stack and stack[-1][0] == "head" and name not in void:
+        elif stack and stack[-1].name == "head" and name not in void:
             _pop(stack, "head")
         if m["end"]:
             _pop(stack, name)
         elif name not in void and not m["rest"].endswith("/"):
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 _pop_sibling(stack, name)
-            elif "p" in [x for x, _ in stack[-6:]]:
+            elif "p" in [x.name for x in stack[-6:]]:
                 _pop(stack, "p")
-            rest = m["rest"]
-            names = set()
-            for value in _NAMES.findall(rest):
-                names.update(_WORDS.findall("".join(value).lower()))
-            if _HIDDEN.search(rest):
-                names.add("@hidden")
-            stack.append((name, tuple(names)))
+            stack.append(Element(name, m["rest"]))
+            if name in ("main", "article", "h1") and name not in anchors:
+                if name != "h1" or not any(x.name in ("header", "nav") for x in stack):
+                    anchors[name] = set(map(id, stack))
     write(page[at:])
     close()
+    anchor = anchors.get("main") or anchors.get("h1") or anchors.get("article")
+    most = sum(b.words for b in out) / 2
     for b in out:
-        if 2 * b.links > b.words:
+        b.names = set()
+        for x in b.around:
+            good = {n for n in x.names if PRIOR.get(n, 0.0) > 0}
+            wraps = x.name == "body" or (x.held > most and (good or not anchor or id(x) in anchor))
+            b.names |= good if wraps else x.names
+            # Some pages are one form from top to bottom.
+            if x.name != "form" or x.held <= most or id(x) not in (anchor or ()):
+                b.names.add(x.name)
+        text_of_its_own = b.inside or (b.around and b.around[-1].name == "p" and b.links < b.words)
+        if 2 * b.links > b.words and not text_of_its_own:
             b.names.add("@link")
     return out
 
 
 def _pop(stack, name):
     for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
+        if stack[k].name == name:
             del stack[k:]
             return
 
@@ -148,10 +186,10 @@ def _pop(stack, name):
 def _pop_sibling(stack, name):
     """A new item ends the one before it, unless a list, table or section lies between."""
     for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
+        if stack[k].name == name:
             del stack[k:]
             return
-        if stack[k][0] in ("ul", "ol", "table", "div", "section", "article", "main", "dl", "nav", "body"):
+        if stack[k].name in ("ul", "ol", "table", "div", "section", "article", "main", "dl", "nav", "body"):
             return
 
 
@@ -160,24 +198,29 @@ def value(names, weights):
     return np.tanh(0.3 + sum(weights.get(x, 0.0) for x in names))
 
 
+def worth(block, weights):
+    """What a block adds to a region that holds it."""
+    return max(value(block.names, weights) * block.words, -MOST_COST)
+
+
 def extract(page, weights):
     """Blocks of the best region that are worth something, joined by one space."""
     found = blocks(page or "")
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    worth = []
+    gains = []
     for i, b in enumerate(found):
-        v = value(b.names, weights)
-        worth.append(v)
+        gain = worth(b, weights)
+        gains.append(gain)
         if total <= 0:
             total, start = 0.0, i
         else:
             total -= TAG_COST * len(b.tags)
             if total <= 0:
                 total, start = 0.0, i
-        total += v * b.words
+        total += gain
         if total > best:
             best, best_from, best_to = total, start, i + 1
-    return " ".join(found[i].text for i in range(best_from, best_to) if worth[i] > 0)
+    return " ".join(found[i].text for i in range(best_from, best_to) if gains[i] > 0)
 
 
 def fit(pages):

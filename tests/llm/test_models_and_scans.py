@@ -261,13 +261,67 @@ def test_pages(spark):
     assert pages.main_text(web.limit(0), {}).count() == 0
 
 
+def article(n, seed=0):
+    return [prose(1000 * seed + k, 25) for k in range(n)]
+
+
+def page_of(paragraphs, between=(), around="{}", before="", after=""):
+    inner = "".join(f"<p>{p}</p>" + (between[k] if k < len(between) else "") for k, p in enumerate(paragraphs))
+    return f"<html><head><title>t</title></head><body>{before}{around.format(inner)}{after}</body></html>"
+
+
+NAV = "<nav><a href=1>Home</a> <a href=2>News</a></nav>"
+COMMENTS = "<div class=comments><p>I like this</p><p>me too</p></div>"
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<article>{}</article>", '<div class="post comments-open">{}</div>', '<div class="page no-sidebar"><div id=sidebar-left-layout><h1>Head</h1>{}</div></div>',
+        '<div class="ad-free promo"><main>{}</main></div>', '<form action=x><div class="entry"><h1>Head</h1>{}</div></form>',
+    ],
+)
+def test_names_of_wrappers_say_nothing(around):
+    text = article(4)
+    for body in ("<body>", '<body class="has-sidebar comments newsletter">'):
+        page = page_of(text, around=around, before=NAV, after=COMMENTS + "<footer>copyright</footer>").replace("<body>", body)
+        wanted = ("Head " if "Head" in around else "") + " ".join(text)
+        assert pages.extract(page, pages.PRIOR) == wanted
+
+
+def test_long_inserts_cut_no_article():
+    """A newsletter box longer than the lead, an advert and an aside of 90 words between short paragraphs."""
+    lead, rest = [prose(1, 8)], article(3, 2)
+    inserts = [f"<div class=newsletter><p>{prose(5, 120)}</p></div>", f"<aside>{prose(6, 90)}</aside>", f"<div class=advert>{prose(7, 60)}</div>"]
+    for around in ("<article>{}</article>", "<div class=post>{}</div>"):
+        assert pages.extract(page_of(lead + rest, inserts, around, NAV, COMMENTS), pages.PRIOR) == " ".join(lead + rest)
+
+
+def test_links_and_formulas_of_an_article():
+    text = article(3, 3)
+    link = "<p>See <a href=x>the full annual report of 2020</a></p>"
+    math = "<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>"
+    got = pages.extract(page_of(text, [link, math], "<article>{}</article>", NAV, COMMENTS), pages.PRIOR)
+    assert got == " ".join([text[0], "See the full annual report of 2020", text[1], "where x=1 holds", text[2]])
+    menu = "<div><ul><li><a href=1>one thing</a><li><a href=2>another thing</a></ul></div>"
+    assert pages.extract(page_of(text, [link], "<div class=post>{}</div>", menu, menu), pages.PRIOR) == " ".join(
+        [text[0], "See the full annual report of 2020", *text[1:]]
+    )
+
+
+def test_long_comments_are_no_wrapper():
+    text, said = article(2, 4), "".join(f"<article class=comment><p>{p}</p></article>" for p in article(9, 5))
+    page = page_of(text, around="<div class=post><h1>Head</h1>{}</div>", before=NAV, after=f"<section class=comments>{said}</section>")
+    assert pages.extract(page, pages.PRIOR) == "Head " + " ".join(text)
+
+
 def test_region_has_the_largest_sum():
     """The scan's region against all pairs of ends."""
     r = random.Random(2)
     for _ in range(50):
         page = "".join(r.choice(("<p>%s</p>", "<div class=sidebar>%s</div>", "<ul><li>%s</li></ul>", "<a href=1>%s</a><br>")) % prose(r.randrange(99), r.randint(1, 9)) for _ in range(8))
         found = pages.blocks(page)
-        worth = [pages.value(b.names, pages.PRIOR) * b.words for b in found]
+        worth = [pages.worth(b, pages.PRIOR) for b in found]
         cost = [pages.TAG_COST * len(b.tags) for b in found]
         score = lambda i, j: sum(worth[i:j]) - sum(cost[i + 1 : j])
         best = max([(score(i, j), -i) for i in range(len(found)) for j in range(i + 1, len(found) + 1)] or [(0, 0)])
