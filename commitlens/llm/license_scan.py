@@ -2,20 +2,23 @@
 
 Texts and templates are cut into shingles of ``SHINGLE`` words, without case and surrounding
 punctuation.  For a template of n words, windows are as long as twice the next power of two
-and overlap by half, so one window holds any whole occurrence.  ``BANDS`` bands of one MinHash
-row each find a window with containment ``CONTAINMENT`` or more with probability above 0.9999
-if that implies a similarity of at least 0.175, as it does for templates of 11 words and more.
-Some shorter templates are few shingles in a wide window: they are looked up by so many of
-their shingles that a window with the containment has one of these, so none is missed.  Windows without any
-shingle of a template cannot share a MinHash with one, so only the others get signatures.
-Retrieved pairs count if at least CONTAINMENT of the template's shingles are in the window.
+and overlap by half, so one window holds any whole occurrence.  Bands have one MinHash row each; a
+window length has as many as its templates need, so that a window with containment ``CONTAINMENT`` or more is
+retrieved with probability 1 - ``MISSED`` at least: 48 where that implies a similarity of 0.175, about a
+hundred for notices of five words.  Windows without any shingle of a template cannot share a MinHash
+with one, so only the others get signatures.  Retrieved pairs count if at least CONTAINMENT of the
+template's shingles are in the window.
 
 A document is scanned whole and in one task, and nothing is shuffled.  Templates go to the
 tasks in blocks of at most ``BLOCK``, one pass each.  Templates of fewer than SHINGLE words
 match nothing.  Null and empty texts have no
-notices.  Repeated rows give repeated results.
+notices, an empty table or no template gives an empty result.  Repeated rows give repeated results, null ids stay
+null.  Of equally full occurrences (ties) the first is reported.  Only ids and texts are read, so other
+columns' names can't clash.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,6 @@ from commitlens.llm.toxicity import tokens
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BANDS = 48
 MISSED = 1e-4
 BLOCK = 5_000
 
@@ -75,25 +77,27 @@ def needed(shingles: int) -> int:
     return next(k for k in range(shingles + 1) if k / shingles >= CONTAINMENT)
 
 
-def bands_reach(shingles: int, length: int) -> bool:
-    """Whether BANDS find a full window of ``length`` words with the least containment, but for MISSED."""
+def bands_needed(shingles: int, length: int) -> int:
+    """Bands that find a full window of ``length`` words with the least containment, but for MISSED."""
     k = needed(shingles)
-    return (1 - k / (length - SHINGLE + 1 + shingles - k)) ** BANDS <= MISSED
+    similarity = k / (length - SHINGLE + 1 + shingles - k)
+    return math.ceil(math.log(MISSED) / math.log1p(-similarity)) if similarity < 1 else 1
 
 
-def signature(shingles):
-    """BANDS MinHash values of a set of shingle hashes."""
-    seeds = W.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
+def signature(shingles, bands):
+    """MinHash values of a set of shingle hashes, one for each band."""
+    seeds = W.mix(np.arange(1, bands + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019))
     return np.array([W.mix(shingles ^ s).min() for s in seeds])
 
 
 class Templates:
-    """Shingle sets, signatures or looked-up shingles, and window lengths of a block of templates."""
+    """Shingle sets, signatures and window lengths of a block of templates."""
 
     def __init__(self, names, texts):
         w, units, _ = tokens(pa.array(texts, pa.string()))
         word = units[:, 0] if len(units) else np.zeros(0, np.uint64)
-        self.names, self.sets, self.bands, self.exact, self.lengths = [], [], {}, {}, {}
+        self.names, self.sets, self.bands, self.lengths = [], [], {}, {}
+        sized = []
         for i, name in enumerate(names):
             own = word[w.first[i] : w.first[i + 1]]
             if len(own) < SHINGLE:
@@ -104,13 +108,11 @@ class Templates:
             self.names.append(name)
             self.sets.append(shingles)
             length = window_length(len(own))
-            if bands_reach(len(shingles), length):
-                for band, value in enumerate(signature(shingles)):
-                    self.bands.setdefault((length, band, int(value)), []).append(k)
-            else:
-                for value in shingles[: len(shingles) - needed(len(shingles)) + 1].tolist():
-                    self.exact.setdefault((length, value), []).append(k)
-            self.lengths.setdefault(length, []).append(k)
+            self.lengths[length] = max(self.lengths.get(length, 0), bands_needed(len(shingles), length))
+            sized.append((k, length))
+        for k, length in sized:
+            for band, value in enumerate(signature(self.sets[k], self.lengths[length])):
+                self.bands.setdefault((length, band, int(value)), []).append(k)
         self.all = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
 
     def scan(self, texts):
@@ -124,8 +126,7 @@ class Templates:
         hits = self.all[spot] == g
         hit_at = at[hits]
         doc = w.doc[hit_at]
-        banded = {length for length, _, _ in self.bands}
-        for length in self.lengths:
+        for length, bands in self.lengths.items():
             half = length // 2
             # Windows begin at multiples of half a length within their document.
             nth = (hit_at - w.first[doc]) // half
@@ -135,13 +136,11 @@ class Templates:
                 begin = w.first[d] + k * half
                 end = min(begin + length, w.first[d + 1])
                 a, b = np.searchsorted(at, [begin, end - SHINGLE + 1])
-                if a >= b:
+                if not hits[a:b].any():
                     continue
                 inside = g[a:b]
                 found = set()
-                for value in inside[hits[a:b]].tolist():
-                    found.update(self.exact.get((length, value), ()))
-                for band, value in enumerate(signature(inside)) if length in banded else ():
+                for band, value in enumerate(signature(inside, bands)):
                     found.update(self.bands.get((length, band, int(value)), ()))
                 for t in found:
                     mine = np.isin(inside, self.sets[t])

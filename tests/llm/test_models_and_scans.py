@@ -1,6 +1,7 @@
 """Classifiers on held-out rows; license notices, leaks, chats and pages on small cases."""
 
 import random
+import re
 
 import brute
 import numpy as np
@@ -117,6 +118,30 @@ def test_license_retrieval_is_exact(spark):
     assert sorted(tuple(r) for r in found.select("doc_id", "license", "first_word").collect()) == [(k, "gpl-header", k) for k in range(120)]
 
 
+def test_containment_by_all_windows(spark):
+    """Notices with words left out or changed: what is reported is what all windows hold, and nothing else."""
+    r = random.Random(21)
+    notices = sorted(license_scan.NOTICES.items())
+    rows = []
+    for k in range(160):
+        words = notices[k % len(notices)][1].split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = "changed"
+        rows.append((k, prose(k, r.randint(0, 60)) + " " + " ".join(words) + " " + prose(k + 700, r.randint(0, 60))))
+    clean = lambda text: [x for x in (re.sub(r"^\W+|\W+$", "", w).lower() for w in text.split()) if x]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    wanted = {}
+    for k, text in rows:
+        w = clean(text)
+        for name, notice in notices:
+            own, length = shingles(clean(notice)), license_scan.window_length(len(clean(notice)))
+            shares = [len(shingles(w[i : i + length]) & own) / len(own) for i in range(0, max(len(w), 1), length // 2)]
+            if max(shares) >= license_scan.CONTAINMENT:
+                wanted[k, name] = max(shares)
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), dict(notices)).collect()
+    assert {(x.doc_id, x.license): pytest.approx(x.containment) for x in found} == wanted and len(wanted) > 60
+
+
 def test_every_notice_is_found_in_mid_text():
     """Each notice, whole and with as few words as count, at many places of a text."""
     found = license_scan.Templates(*zip(*sorted(license_scan.NOTICES.items())))
