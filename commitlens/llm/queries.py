@@ -46,7 +46,7 @@ def op4_decontamination(spark, folder):
 
 def op5_chat(spark, folder):
     known = cut(chat.transcripts(_read(spark, folder, "conversations")), "transcripts")
-    parsed = chat.parse(known, chat.fit(known), ["piece", "roles_known"])
+    parsed = chat.parse(known, chat.fit(known), ["piece", "roles_known"], "piece")
     return parsed.select(
         F.col("id").alias("conv_id"), "piece", F.size("roles").cast("bigint").alias("n_turns"), F.array_join("roles", ",").alias("roles"),
         (F.col("roles") == F.col("roles_known")).alias("as_labelled"), F.sha2("rendered", 256).alias("rendered_sha256"),

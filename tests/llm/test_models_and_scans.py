@@ -243,7 +243,7 @@ def test_chats(spark, messy, empty):
     talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     known = chat.transcripts(talks).cache()
     assert known.count() == 300 + -(-500 // chat.PIECE) + 3
-    parsed = chat.parse(known, chat.fit(known), ["piece", "roles_known"]).collect()
+    parsed = chat.parse(known, chat.fit(known), ["piece", "roles_known"], "piece").collect()
     right = sum(r.roles == r.roles_known for r in parsed)
     assert right > 0.85 * len(parsed)
     whole = {(r.id, r.piece): r for r in parsed}
@@ -253,6 +253,41 @@ def test_chats(spark, messy, empty):
     assert chat.transcripts(talks.limit(0)).count() == 0
 
 
+def test_cuts_change_no_state(spark, monkeypatch):
+    """Pieces of a few turns, in groups of three pieces, against Viterbi over the whole text."""
+    rows = [(k, i, role, text.split("\n")[0]) for k in range(9) for i, (role, text) in enumerate(t for j in range(1 + 9 * (k % 3)) for t in turns_of(40 * k + j))]
+    rows += [(None, None, "user", f"and {k}?") for k in range(60)] + [(99, 7, "assistant", f"tie {k} " * 9) for k in range(50)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chat.transcripts(talks.filter("conv_id < 50")).collect()
+    model = chat.Model([list(zip(r.roles_known, r.lines)) for r in whole[::2]])
+    monkeypatch.setattr(chat, "PIECE", 4)
+    monkeypatch.setattr(chat, "FAN", 3)
+    known = chat.transcripts(talks).cache()
+    assert known.select(F.max(F.size("lines"))).first()[0] == 4
+    assert known.filter("id IS NULL").count() == 15 and known.filter("id = 99").count() == 13
+    lines, marks = {}, {}
+    for r in sorted(known.collect(), key=lambda r: r.piece):
+        lines.setdefault(r.id, []).append(r.text)
+    around = {(r.id, r.place): r for r in chat.surroundings(known, model, "piece").collect()}
+    for i, pieces in lines.items():
+        seen = [[chat.look(x) for x in p.split("\n")] for p in pieces]
+        got = []
+        for k, s in enumerate(seen):
+            r = around.get((i, k))
+            got += model.states(s, r and r.before, r and r.after)
+        assert got == model.states([x for s in seen for x in s]), i
+    assert chat.parse(known, model, ["piece"], "piece").count() == known.count()
+    assert len(around) == sum(len(p) for p in lines.values() if len(p) > 1)
+
+
+def test_chats_on_held_out_transcripts(spark):
+    talks = spark.createDataFrame([(k, i, role, text) for k in range(400) for i, (role, text) in enumerate(turns_of(k))], "conv_id long, turn long, role string, text string")
+    known = chat.transcripts(talks).cache()
+    unseen = known.filter("id % 2 = 0")
+    parsed = chat.parse(unseen, chat.fit(known.filter("id % 2 = 1")), ["piece", "roles_known"], "piece").collect()
+    assert sum(r.roles == r.roles_known for r in parsed) > 0.85 * len(parsed)
+
+
 def test_viterbi_by_enumeration():
     import itertools
 
