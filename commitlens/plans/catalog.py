@@ -5,6 +5,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from commitlens.operators import change, graph, people, source
 from commitlens.schemas import METRICS
@@ -84,10 +85,17 @@ def metrics_get(metrics: DataFrame, project_metrics: DataFrame, granularity=None
     return on.join(wanted, "id")
 
 
+def _ordered(result: DataFrame, column: str):
+    """A column; a map with its entries in the order of their keys."""
+    if not isinstance(result.schema[column].dataType, MapType):
+        return F.col(column)
+    return F.map_from_entries(F.array_sort(F.map_entries(column))).alias(column)
+
+
 def as_measures(name: str, granularity: str, result: DataFrame, also=()) -> DataFrame:
     """Any metric's result in the layout of the measure sink, behind the columns ``also``.
 
-    ``measure`` is the JSON of the metric's own columns; null if all are null.
+    ``measure`` is the JSON of the metric's own columns, maps in the order of their keys; null if all are null.
     """
     echoed = {*KEY_COLUMNS, "request_id", "metric", "granularity"}
     own = [c for c in result.columns if c not in echoed]
@@ -107,7 +115,7 @@ def as_measures(name: str, granularity: str, result: DataFrame, also=()) -> Data
         key("email", "author_email").alias("email"),
         F.when(
             reduce(or_, [F.col(c).isNotNull() for c in own]),
-            F.to_json(F.struct(*own), {"ignoreNullFields": "false"}),
+            F.to_json(F.struct(*[_ordered(result, c) for c in own]), {"ignoreNullFields": "false"}),
         ).alias("measure"),
     )
 

@@ -2,7 +2,7 @@
 
 from commitlens.functions import paths, text
 from commitlens.plans.catalog import SEED
-from commitlens.plans.queries import MIN_SIMILARITY, PAIRED, SOME_OWNER, WHITELIST_EXTENSIONS, WHITELIST_NAMES
+from commitlens.plans.queries import MIN_SIMILARITY, PAIRED, SOME_OWNER, STREAMED, WHITELIST_EXTENSIONS, WHITELIST_NAMES
 from commitlens.sources.testdata import VIEWS, duckdb_ctes, used_tables
 
 ORACLE: dict[str, str] = {}
@@ -431,18 +431,96 @@ SELECT 'offender' AS metric, 'file' AS granularity, project_id, sha, path,
 FROM ({ORACLE["offender"]}) o""")
 add("stream_collect", f"""SELECT x.request_id, 'churn' AS metric, x.project_id, x.sha, x.path, x.name, x.email,
   y.insertions, y.deletions, y.insertions + y.deletions AS aggregate FROM requests x LEFT JOIN changes y ON {SAME_KEY}""")
-def _json(*columns):
-    return "concat('{', " + ", ',', ".join(f"""'"{c}":', coalesce(CAST({e} AS STRING), 'null')""" for c, e in columns) + ", '}')"
 
 
-STREAMED = (
-    ("churn", "churn", [("insertions", "insertions"), ("deletions", "deletions"), ("aggregate", "aggregate")], "aggregate"),
-    ("hunk", "hunk", [("hunks", "hunks")], "hunks"),
-    ("functionchurn", "functionchurn", [(c, c) for c in ("supported", "insertions", "deletions", "modifications", "aggregate")], "supported"),
-    ("loc", "loc_file", [(c, f'"{c}"') for c in ("blank", "comment", "source", "aggregate")], "aggregate"),
-)
-add("stream_collect_mixed", "\nUNION ALL\n".join(f"""SELECT r.request_id, '{name}' AS metric, r.project_id, r.sha, r.path,
-  CASE WHEN m.{known} IS NOT NULL THEN {_json(*columns)} END AS measure
-FROM requests r LEFT JOIN ({ORACLE[query]}) m ON m.project_id = r.project_id AND m.sha = r.sha AND m.path = r.path
-WHERE r.request_id % {len(STREAMED)} = {k}""" for k, (name, query, columns, known) in enumerate(STREAMED)))
+def fields(metric, keys, rows, numbers=(), texts=()):
+    """A row for every field of a metric's measures; one row without field where all are null."""
+    columns = [(c, "CAST(NULL AS VARCHAR)", f"round(CAST({e} AS DOUBLE), 6)") for c, e in numbers]
+    columns += [(c, f"CAST({e} AS VARCHAR)", "CAST(NULL AS DOUBLE)") for c, e in texts]
+    known = " OR ".join(f"({e}) IS NOT NULL" for _, e in (*numbers, *texts))
+    each = ", ".join(f"{{'field': '{c}', 'value': {v}, 'number': {n}}}" for c, v, n in columns)
+    none = "{'field': CAST(NULL AS VARCHAR), 'value': CAST(NULL AS VARCHAR), 'number': CAST(NULL AS DOUBLE)}"
+    kept = ", ".join(keys)
+    return f"""SELECT '{metric}' AS metric, {kept}, f.field AS field, f.value AS value, f.number AS number
+FROM (SELECT {kept}, unnest(CASE WHEN {known} THEN [{each}] ELSE [{none}] END) AS f FROM ({rows}) q) u"""
+
+
+def plain(*names):
+    return [(n, f'"{n}"') for n in names]
+
+
+def by_signature(entry):
+    """(key, column) of the JSON of a map by signature."""
+    return f"concat('{{', string_agg(concat(CAST(to_json(signature) AS VARCHAR), ':', {entry}), ',' ORDER BY signature), '}}')"
+
+
+TOKEN_LIST = """CASE WHEN tokens IS NULL THEN NULL WHEN tokens = '' THEN '[]' ELSE concat('["', replace(tokens, ' ', '","'), '"]') END"""
+LOC_ENTRY = """concat('{"blank":', blank, ',"comment":', "comment", ',"source":', source, ',"aggregate":', aggregate, '}')"""
+KEYWORDS_OF = f"""SELECT p.project_id, p.sha, p.path, CASE WHEN l.language IS NULL THEN 'LanguageNotSupported' END AS error,
+  CASE WHEN l.language IS NOT NULL THEN concat('{{', coalesce(k.words, ''), '}}') END AS keywords
+FROM patches p JOIN projects j ON j.id = p.project_id
+LEFT JOIN (SELECT DISTINCT language FROM (VALUES {KEYWORD_ROWS}) AS d(language, word)) l ON l.language = lower(j.language)
+LEFT JOIN (SELECT {KEY}, string_agg(concat('"', word, '":', n), ',' ORDER BY word) AS words FROM ({ORACLE["keyword"]}) w GROUP BY ALL) k
+  ON k.project_id = p.project_id AND k.sha = p.sha AND k.path = p.path"""
+
+
+def of_functions(name, entry, column):
+    """Maps by signature of every change."""
+    return f"""SELECT h.project_id, h.sha, h.path, m.{column} FROM changes h
+LEFT JOIN (SELECT {KEY}, {by_signature(entry)} AS {column} FROM ({ORACLE[name]}) f GROUP BY ALL) m
+  ON m.project_id = h.project_id AND m.sha = h.sha AND m.path = h.path"""
+
+
+CHURNED = ("insertions", "deletions", "aggregate")
+# Metric: granularity, keys that are joined, rows, numbers and texts.
+MEASURED = {
+    "churn": ("change", ORACLE["churn"], plain(*CHURNED), ()),
+    "functionchurn": ("change", ORACLE["functionchurn"], plain("insertions", "deletions", "modifications", "aggregate"), plain("supported")),
+    "hunk": ("change", ORACLE["hunk"], plain("hunks"), ()),
+    "interactivechurn": ("change", ORACLE["interactivechurn"], plain("interactivechurn"), ()),
+    "keyword": ("change", KEYWORDS_OF, (), plain("keywords", "error")),
+    "pastauthors": ("change", ORACLE["pastauthors"], plain("pastauthors"), ()),
+    "pastchanges": ("change", ORACLE["pastchanges"], plain("pastchanges"), ()),
+    "patchtokens": ("change", ORACLE["patchtokens"], (), [("tokens", TOKEN_LIST)]),
+    "relativechurn": ("change", ORACLE["relativechurn"], plain(*CHURNED), ()),
+    "messagetokens": ("commit", ORACLE["messagetokens"], (), [("tokens", TOKEN_LIST)]),
+    "complexity": ("function", of_functions("complexity", "n", "complexity"), (), plain("complexity")),
+    "nesting": ("function", of_functions("nesting", "n", "nesting"), (), plain("nesting")),
+    "loc": ("function", f"""SELECT m.project_id, m.sha, m.path, CASE WHEN l.aggregate IS NOT NULL THEN coalesce(m.loc, '{{}}') END AS loc
+FROM ({of_functions("loc_function", LOC_ENTRY, "loc")}) m
+JOIN ({ORACLE["loc_file"]}) l ON l.project_id = m.project_id AND l.sha = m.sha AND l.path = m.path""", (), plain("loc")),
+    "ownership": ("developer", ORACLE["ownership_of_authors"], plain("ownership"), ()),
+}
+NOBODY = "CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS email"
+NOWHERE = "CAST(NULL AS VARCHAR) AS path"
+AS_KEYS = {
+    "change": f"m.*, {NOBODY}", "function": f"m.*, {NOBODY}", "commit": f"m.*, {NOWHERE}, {NOBODY}",
+    "developer": f"m.*, {NOWHERE}, m.author_name AS name, m.author_email AS email",
+}
+for _granularity, _columns in AS_KEYS.items():
+    add(f"collect_enabled_{_granularity}", "\nUNION ALL\n".join(
+        fields(metric, ("project_id", "sha", "path", "name", "email"), f"SELECT {_columns} FROM ({rows}) m", numbers, texts)
+        for metric, (granularity, rows, numbers, texts) in MEASURED.items() if granularity == _granularity
+    ))
+
+OFFENDED = f"""SELECT DISTINCT x.project_id, x.sha, x.path, {OFFENDS} AS offender
+FROM (SELECT r.project_id, r.sha, r.path, c.ts FROM requests r JOIN commits c ON c.project_id = r.project_id AND c.sha = r.sha) x"""
+ASKED_FOR = {
+    **MEASURED,
+    "loc": ("file", ORACLE["loc_file"], plain("blank", "comment", "source", "aggregate"), ()),
+    "offender": ("file", OFFENDED, (), plain("offender")),
+}
+
+
+def answers(k, metric):
+    """Requests for one metric, each with its measure's fields."""
+    granularity, rows, numbers, texts = ASKED_FOR[metric]
+    on = "m.project_id = r.project_id AND m.sha = r.sha" + ("" if granularity == "commit" else " AND m.path = r.path")
+    asked = f"""SELECT r.request_id, r.project_id, r.sha, r.path, m.* EXCLUDE ({"project_id, sha" if granularity == "commit" else KEY})
+FROM requests r LEFT JOIN ({rows}) m ON {on} WHERE r.request_id % {len(STREAMED)} = {k}"""
+    return fields(metric, ("request_id", "project_id", "sha", "path"), asked, numbers, texts)
+
+
+add("stream_collect_mixed", "\nUNION ALL\n".join(answers(k, metric) for k, metric in enumerate(STREAMED)))
 ORACLE["stream_project_created"] = ORACLE["metrics_seed"]
+add("stream_repository_cloned", "SELECT 'repository_cloned' AS event, id AS project_id FROM projects")

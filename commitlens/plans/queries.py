@@ -673,53 +673,65 @@ def collect_enabled(t):
     return catalog.collect_enabled(bundle, "file").drop("name", "email")
 
 
-def enabled_counts(t, granularity):
-    """Rows and measures of every metric that is on for a granularity, by project."""
+def measured_fields(rows, *keys):
+    """A row for every field of every measure: its JSON as ``value`` or, if it is a number, rounded as ``number``."""
+    fields = F.from_json("measure", "map<string,string>", {"mode": "PERMISSIVE"})
+    number = F.expr("round(try_cast(value AS DOUBLE), 6)")
+    return rows.select(*keys, F.explode_outer(fields).alias("field", "value")).select(
+        *keys, "field", F.when(number.isNull(), F.col("value")).alias("value"), number.alias("number")
+    )
+
+
+def enabled_measures(t, granularity):
+    """The measures of every metric that is on for a granularity, field by field."""
     s = seeded(t)
     bundle = SimpleNamespace(
-        metrics=s.metrics, project_metrics=s.project_metrics, changes=t.changes, commits=t.commits, commit_parents=t.commit_parents,
-        commit_chains=t.commit_chains, blobs=t.blobs, comments=t.comments, functions=t.functions, offenders=t.offenders, patches=t.patches,
-        messages=t.messages, linechanges=t.linechanges, blame=t.blame, projects=t.projects,
-    )
-    rows = catalog.collect_enabled(bundle, granularity)
-    return rows.groupBy("metric", "granularity", "project_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("measure").alias("n_measures")
+        metrics=s.metrics, project_metrics=s.project_metrics, changes=t.changes, commits=t.commits, blobs=t.blobs, comments=t.comments,
+        functions=t.functions, offenders=t.offenders, patches=t.patches, messages=t.messages, linechanges=t.linechanges, blame=t.blame,
+        projects=t.projects,
     )
+    rows = catalog.collect_enabled(bundle, granularity, merges=False)
+    return measured_fields(rows, "metric", "project_id", "sha", "path", "name", "email")
 
 
 @query
 def collect_enabled_change(t):
-    return enabled_counts(t, "change")
+    return enabled_measures(t, "change")
 
 
 @query
 def collect_enabled_commit(t):
-    return enabled_counts(t, "commit")
+    return enabled_measures(t, "commit")
 
 
 @query
 def collect_enabled_function(t):
-    return enabled_counts(t, "function")
+    return enabled_measures(t, "function")
 
 
 @query
 def collect_enabled_developer(t):
-    return enabled_counts(t, "developer")
+    return enabled_measures(t, "developer")
 
 
-STREAMED = ("churn", "hunk", "functionchurn", "loc")
+STREAMED = (
+    "churn", "hunk", "functionchurn", "loc", "relativechurn", "interactivechurn", "keyword", "patchtokens", "messagetokens", "offender",
+    "complexity", "nesting",
+)
 
 
 @query
 def stream_collect_mixed(t):
-    """Requests for several metrics in one stream."""
+    """Requests for many metrics in one stream that stops once and goes on; some requests come again."""
     folder = scratch(t.spark, "stream")
     names = F.array(*[F.lit(n) for n in STREAMED])
     metric = F.element_at(names, (F.col("request_id") % len(STREAMED) + 1).cast("int"))
-    t.requests.select("request_id", metric.alias("metric"), *CHANGE_KEY, "name", "email").write.parquet(f"{folder}/requests")
-    arriving = streams.read_requests(t.spark, f"{folder}/requests")
-    streams.sink_collected(arriving, t, f"{folder}/measures", f"{folder}/progress").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/measures").select("request_id", "metric", *CHANGE_KEY, "measure")
+    asked = t.requests.select("request_id", metric.alias("metric"), *CHANGE_KEY, "name", "email")
+    for part in (F.col("request_id") % 2 == 0, (F.col("request_id") % 2 == 1) | (F.col("request_id") % 6 == 0)):
+        asked.filter(part).write.mode("append").parquet(f"{folder}/requests")
+        arriving = streams.read_requests(t.spark, f"{folder}/requests")
+        streams.sink_collected(arriving, t, f"{folder}/measures", f"{folder}/progress").awaitTermination()
+    return measured_fields(t.spark.read.parquet(f"{folder}/measures"), "request_id", "metric", *CHANGE_KEY)
 
 
 @query
@@ -735,12 +747,22 @@ def stream_collect(t):
     return t.spark.read.parquet(f"{folder}/measures")
 
 
-@query
-def stream_project_created(t):
+def onboarded(t):
+    """The folder of a catalog and of events after all projects have come, and come again."""
     folder = scratch(t.spark, "onboarding")
     t.projects.write.parquet(f"{folder}/projects")
     for _ in range(2):  # The second start finds nothing new.
         streams.onboard_projects(
-            t.spark, f"{folder}/projects", f"{folder}/catalog", f"{folder}/progress"
+            t.spark, f"{folder}/projects", f"{folder}/catalog", f"{folder}/progress", f"{folder}/events"
         ).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/catalog")
+    return folder
+
+
+@query
+def stream_project_created(t):
+    return t.spark.read.parquet(f"{onboarded(t)}/catalog").drop("batch")
+
+
+@query
+def stream_repository_cloned(t):
+    return t.spark.read.parquet(f"{onboarded(t)}/events").drop("batch")

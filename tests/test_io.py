@@ -110,12 +110,48 @@ def test_stream_answers_requests_as_they_come(spark, tmp_path):
     assert send((3, "hunk", 1, "s", "other", "m", "e")) == [(1, 9, "n"), (3, None, "m")]
 
 
-def test_onboarding_twice_seeds_once(spark, tmp_path):
-    source, table = str(tmp_path / "projects"), str(tmp_path / "catalog")
+def test_a_request_is_measured_once(spark, tables, tmp_path):
+    """All metrics in one stream; requests that come again, in one batch and in a later one, are left out."""
+    commits = [(1, f"c{i}", i, "AB"[i % 2], "m", i + 1) for i in range(4)]
+    changes = [(1, f"c{i}", p, 3, i, 1, "0" * 40, f"o{i}") for i in range(4) for p in ("f.c", "g.c")]
+    nothing = {
+        "blobs": "oid string, is_binary boolean, content string", "functions": "oid string, ord int, signature string, begin_line bigint, end_line bigint",
+        "comments": "oid string, type int, begin_line bigint, begin_col bigint, end_line bigint, end_col bigint", "blob_sizes": "oid string, nlines bigint",
+        "linechanges": "project_id bigint, sha string, path string, kind string, begin bigint, end bigint",
+        "blame": "project_id bigint, sha string, path string, line bigint, last_sha string", "patches": "project_id bigint, sha string, path string, patch string",
+        "messages": "project_id bigint, sha string, message string", "offenders": "project_id bigint, ts bigint, path string, aliases string, reference string",
+        "entity_metrics": "project_id bigint, entity struct<uid:string,type:string,name:string,path:string>, metrics map<string,double>",
+    }
+    t = tables(
+        commits=(commits, "project_id bigint, sha string, ts bigint, author_name string, author_email string, seq bigint"),
+        commit_parents=([(1, f"c{i}", f"c{i - 1}", 1) for i in range(1, 4)], "project_id bigint, sha string, parent_sha string, parent_no int"),
+        changes=(changes, "project_id bigint, sha string, path string, type int, insertions bigint, deletions bigint, oid_before string, oid_after string"),
+        projects=([(1, "o", "r", "C", "u")], PROJECTS), **{k: ([], v) for k, v in nothing.items()},
+    )
+    schema = "request_id bigint, metric string, project_id bigint, sha string, path string, name string, email string"
+    rows = [(k, name, 1, "c3", "f.c", "A", "m") for k, name in enumerate(sorted(catalog.METRIC_JOBS))]
+    requests, measures, progress = (str(tmp_path / d) for d in ("requests", "measures", "progress"))
+    for sent in (rows + rows[:5], rows[3:9] + [(99, "churn", 1, "c2", "f.c", "A", "m"), (100, "unknown", 1, "c2", "f.c", "A", "m")]):
+        spark.createDataFrame(sent, schema).coalesce(1).write.mode("append").parquet(requests)
+        streams.sink_collected(streams.read_requests(spark, requests), t, measures, progress).awaitTermination()
+    got = spark.read.parquet(measures)
+    found = got.groupBy("request_id", "metric").count().collect()
+    assert {(r.request_id, r.metric) for r in found} == {(r[0], r[1]) for r in rows if r[1] != "flow"} | {(99, "churn")} | {
+        (r[0], r[1]) for r in rows if r[1] == "flow" and (r[0], "flow") in {(x.request_id, x.metric) for x in found}
+    }
+    assert all(r["count"] == 1 for r in found)
+    assert got.filter("metric = 'pastchanges'").first().measure == '{"pastchanges":3}'
+
+
+def test_onboarding_twice_seeds_and_tells_once(spark, tmp_path):
+    source, table, events = (str(tmp_path / d) for d in ("projects", "catalog", "events"))
     spark.createDataFrame([(1, "o", "r", "C", "u")], PROJECTS).write.parquet(source)
-    for progress in ("p1", "p1", "p2"):  # p2 has lost what was done and repeats the batch.
-        streams.onboard_projects(spark, source, table, str(tmp_path / progress)).awaitTermination()
-    assert spark.read.parquet(table).count() == 19
+    for k, progress in enumerate(("p1", "p1", "p2")):  # p2 has lost what was done and repeats the batches.
+        streams.onboard_projects(spark, source, table, str(tmp_path / progress), events).awaitTermination()
+        assert spark.read.parquet(table).count() == 19 * (1 + (k > 0))
+        assert sorted(r.project_id for r in spark.read.parquet(events).filter("event = 'repository_cloned'").collect()) == [1, 2][: 1 + (k > 0)]
+        if k == 0:
+            spark.createDataFrame([(2, "o", "s", "C", "u"), (1, "o", "r", "C", "u")], PROJECTS).write.mode("append").parquet(source)
 
 
 def test_nothing_enabled_measures_nothing(spark):
