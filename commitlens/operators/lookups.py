@@ -89,13 +89,23 @@ def get_developers(commits: DataFrame) -> DataFrame:
     return commits.select("project_id", *AUTHOR).distinct()
 
 
-def get_files(changes: DataFrame, commits: DataFrame) -> DataFrame:
-    """Every path ever changed; active unless its latest change deleted it."""
-    dated = changes.select(*CHANGE_KEY, "type").join(commits.select(*COMMIT_KEY, "seq"), COMMIT_KEY)
+def get_files(t, merges=None) -> DataFrame:
+    """Every path ever changed; active if the project's newest commit has it.
+
+    That is so if, among the changes that the newest commit reaches (or all, with linear history), the latest
+    didn't delete the path.  A path whose changes it doesn't reach is not active.
+    """
+    dated = t.changes.select(*CHANGE_KEY, "type").join(t.commits.select(*COMMIT_KEY, "seq"), COMMIT_KEY)
+    if dag.by_reach(t, merges):
+        heads = t.commits.groupBy("project_id").agg(F.max_by("sha", "seq").alias("sha"))
+        order = dated.withColumn("order", F.col("seq"))
+        latest = dag.Reached(t, heads).join(order).groupBy("project_id", "path").agg(F.max_by("type", "order").alias("type"))
+    else:
+        latest = dated.groupBy("project_id", "path").agg(F.max_by("type", "seq").alias("type"))
     return (
-        dated.groupBy("project_id", "path")
-        .agg((F.max_by("type", "seq") != DELETED).alias("is_active"))
-        .withColumn("module", module_of_path(F.col("path")))
+        t.changes.select("project_id", "path").distinct()
+        .join(latest, ["project_id", "path"], "left")
+        .select("project_id", "path", F.coalesce(F.col("type") != DELETED, F.lit(False)).alias("is_active"), module_of_path(F.col("path")).alias("module"))
     )
 
 

@@ -32,33 +32,44 @@ def merge_ranges(ranges: DataFrame, keys) -> DataFrame:
 
 
 # Lines end at \n only, here as where the kinds of lines are cut.
-_HEADER = r"(?md)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))?"
+_HEADER = r"(?md)^@@+ -(\d+)(?:,(\d+))?(?: -\d+(?:,\d+)?)* \+(\d+)(?:,(\d+))? @@"
+# The patch of a merge: one more @ for every further parent.
+_COMBINED = r"(?md)^@@(@+) -\d"
 
 
-def _line_kinds(patch: Column) -> Column:
-    """One character per patch line; an empty line counts as context."""
-    first = F.transform(
-        F.split(patch, "\n", -1),
-        lambda text: F.when(text == "", F.lit(" ")).otherwise(F.substring(text, 1, 1)),
-    )
-    return F.array_join(first, "")
+def _line_kinds(patch: Column, parents: Column) -> Column:
+    """One character per patch line, an empty line counts as context; none for lines that
+    neither the first parent nor the new version has.
+
+    With several parents a line has a column for each.  A line with a minus is in the parents that show it,
+    any other is in the new version and in the parents that show no plus.
+    """
+
+    def kind(line):
+        columns = F.substring(line, F.lit(1), parents)
+        first = F.substring(line, 1, 1)
+        return F.when(first == "@", first).when((first == "") | (first == " ") & ~columns.contains("-"), F.lit(" ")).when(
+            columns.contains("-"), F.when(first == "-", first).otherwise("")
+        ).otherwise(first)
+
+    return F.array_join(F.transform(F.split(patch, "\n", -1), kind), "")
 
 
 def patch_linechanges(patches: DataFrame) -> DataFrame:
     """Inserted (new numbering) and deleted (old numbering) ranges of every patch.
 
     Patches are read inside their row: only runs of equal lines leave it, so no
-    patch text is shuffled.  A combined patch of a merge (``@@@``) numbers lines of several
-    parents and gives no ranges.
+    patch text is shuffled.  A combined patch of a merge (``@@@``) gives the ranges that
+    differ from its first parent.
     """
-    plain = F.col("patch").isNotNull() & ~F.col("patch").rlike(r"(?md)^@@@+ -")
-    hunks = patches.filter(plain).select(
+    parents = F.length(F.regexp_extract("patch", _COMBINED, 1)) + 1
+    hunks = patches.filter(F.col("patch").isNotNull()).select(
         *CHANGE_KEY,
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(1)).alias("olds"),
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(3)).alias("news"),
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(2)).alias("old_counts"),
         F.regexp_extract_all("patch", F.lit(_HEADER), F.lit(4)).alias("new_counts"),
-        F.split(_line_kinds(F.col("patch")), "@", -1).alias("kinds"),
+        F.split(_line_kinds(F.col("patch"), parents), "@", -1).alias("kinds"),
     )
     # The part before the first header is no hunk.  An old side of zero lines
     # names the line before the hunk, hence the step by one.

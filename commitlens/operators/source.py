@@ -86,46 +86,33 @@ def blob_loc(blobs, comments) -> DataFrame:
 
 
 def blob_function_loc(blobs, comments, functions) -> DataFrame:
-    """Line counts per function span; of equal signatures the last one counts."""
-    flags = line_flags(blobs, comments)
-    spans = functions.select("oid", "ord", "signature", "begin_line", "end_line").join(flags.select("oid"), "oid")
-    counted = spans.join(_lines_inside(flags, spans), ["oid", "ord"]).select(
-        "oid", "ord", "signature", *_loc(F.col("blank"), F.col("comment"), F.col("end_line") - F.col("begin_line") + 1)
-    )
-    return last_wins(counted, ["blank", "comment", "source", "aggregate"])
-
+    """Line counts per function span; of equal signatures the last one counts.
 
-def _lines_inside(flags: DataFrame, spans: DataFrame) -> DataFrame:
-    """(oid, ord, blank, comment): flagged lines within each span, by running counts over a file.
-
-    Spans ask before their first line and after their last, so a file of n lines and m
-    spans is one sorted pass over n + 2m rows.
+    Spans ask before their first line and after their last for running counts over the flagged lines of
+    their file, so a file of n lines and m spans is one sorted pass over n + 2m rows at most.
     """
-    nobody = F.lit(None).cast(spans.schema["ord"].dataType)
-
-    def lines(column, comment):
-        return flags.select("oid", F.explode(column).alias("line")).select(
-            "oid", F.col("line").cast("bigint").alias("line"), nobody.alias("ord"), F.lit(0).alias("side"),
-            F.lit(1 - comment).alias("blank"), F.lit(comment).alias("comment"),
-        )
-
-    def asks(line, side):
-        return spans.select(
-            "oid", line.cast("bigint").alias("line"), "ord", F.lit(side).alias("side"), F.lit(0).alias("blank"), F.lit(0).alias("comment")
-        )
-
-    rows = (
-        lines("commented", 1)
-        .unionByName(lines("blanks", 0))
-        .unionByName(asks(F.col("begin_line") - 1, -1))
-        .unionByName(asks(F.col("end_line"), 1))
+    length = F.col("end_line") - F.col("begin_line") + 1
+    spans = functions.select("oid", "begin_line", "end_line", F.struct("ord", "signature", length.alias("lines")).alias("span"))
+    nobody = F.lit(None).cast(spans.schema["span"].dataType)
+
+    def row(line, side, known=0, blank=0, comment=0):
+        values = {"side": side, "known": known, "blank": blank, "comment": comment}
+        return F.struct(line.cast("bigint").alias("line"), *[F.lit(v).alias(k) for k, v in values.items()])
+
+    flagged = F.concat(
+        F.array(row(F.lit(-1), 0, known=1)),
+        F.transform("commented", lambda n: row(n, 0, comment=1)),
+        F.transform("blanks", lambda n: row(n, 0, blank=1)),
     )
+    lines = line_flags(blobs, comments).select("oid", nobody.alias("span"), F.inline(flagged))
+    asks = spans.select("oid", "span", F.inline(F.array(row(F.col("begin_line") - 1, -1), row(F.col("end_line"), 1))))
     # At equal lines a flagged line comes first, so that both asks are answered after it.
     upto = Window.partitionBy("oid").orderBy("line", F.abs("side")).rowsBetween(Window.unboundedPreceding, 0)
-    running = rows.select("oid", "ord", "side", F.sum("blank").over(upto).alias("blank"), F.sum("comment").over(upto).alias("comment"))
-    return running.filter("ord IS NOT NULL").groupBy("oid", "ord").agg(
-        F.sum(F.col("side") * F.col("blank")).alias("blank"), F.sum(F.col("side") * F.col("comment")).alias("comment")
-    )
+    sums = [F.sum(c).over(upto).alias(c) for c in ("known", "blank", "comment")]
+    answered = lines.unionByName(asks).select("oid", "span", "side", *sums).filter("span IS NOT NULL AND known > 0")
+    inside = answered.groupBy("oid", "span").agg(*[F.sum(F.col("side") * F.col(c)).alias(c) for c in ("blank", "comment")])
+    counted = inside.select("oid", "span.ord", "span.signature", *_loc(F.col("blank"), F.col("comment"), F.col("span.lines")))
+    return last_wins(counted, ["blank", "comment", "source", "aggregate"])
 
 
 def last_wins(rows: DataFrame, columns) -> DataFrame:
@@ -229,24 +216,31 @@ def functionchurn(t, requests=None, **options) -> DataFrame:
     return for_requests(measures, requests)
 
 
-def _modified(versions, kept, functions, linechanges) -> DataFrame:
-    """(change, modified): functions of the new version that the old one had, and that a changed range meets.
+def _met(spans: DataFrame, linechanges: DataFrame) -> DataFrame:
+    """The spans (change, begin_line, end_line, ...) that a changed range of their change meets.
 
-    A function is met if the furthest end of the ranges that begin before its end lies
-    behind its begin: one sorted pass over the ranges and functions of a change.
+    A span is met if the furthest end of the ranges that begin before its end lies
+    behind its begin: one sorted pass over the ranges and spans of a change.
     """
-    spans = kept.join(functions.withColumnRenamed("oid", "oid_after"), ["oid_after", "signature"])
-    changed = versions.filter(F.col("type") == MODIFIED).select(*CHANGE_KEY, "oid_before", "oid_after")
-    asks = changed.join(spans, ["oid_before", "oid_after"]).select(
-        *CHANGE_KEY, F.col("end_line").cast("bigint").alias("at"), F.col("begin_line").cast("bigint").alias("begin"), F.lit(None).cast("bigint").alias("end")
-    )
+    kept = F.struct(*[c for c in spans.columns if c not in CHANGE_KEY])
+    asks = spans.select(*CHANGE_KEY, kept.alias("span"), F.col("end_line").cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("end"))
     ranged = linechanges.select(
-        *CHANGE_KEY, F.col("begin").cast("bigint").alias("at"), F.lit(None).cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end")
-    ).join(asks.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi")
+        *CHANGE_KEY, F.lit(None).cast(asks.schema["span"].dataType).alias("span"),
+        F.col("begin").cast("bigint").alias("at"), F.col("end").cast("bigint").alias("end"),
+    )
     # At equal places ranges come first.
-    upto = Window.partitionBy(*CHANGE_KEY).orderBy("at", F.col("begin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    met = asks.unionByName(ranged).select(*CHANGE_KEY, "begin", F.max("end").over(upto).alias("furthest"))
-    return met.filter(F.col("furthest") >= F.col("begin")).groupBy(*CHANGE_KEY).agg(F.count(F.lit(1)).alias("modified"))
+    upto = Window.partitionBy(*CHANGE_KEY).orderBy("at", F.col("span").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = asks.unionByName(ranged).select(*CHANGE_KEY, "span", F.max("end").over(upto).alias("furthest"))
+    return both.filter(F.col("furthest") >= F.col("span.begin_line")).select(*CHANGE_KEY, "span.*")
+
+
+def _modified(versions, kept, functions, linechanges) -> DataFrame:
+    """(change, modified): functions of the new version that the old one had, and that a changed range meets."""
+    spans = kept.join(functions.withColumnRenamed("oid", "oid_after"), ["oid_after", "signature"])
+    changed = versions.filter(F.col("type") == MODIFIED).select(*CHANGE_KEY, "oid_before", "oid_after")
+    asks = changed.join(spans, ["oid_before", "oid_after"]).select(*CHANGE_KEY, "begin_line", "end_line")
+    ranged = linechanges.join(asks.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi")
+    return _met(asks, ranged).groupBy(*CHANGE_KEY).agg(F.count(F.lit(1)).alias("modified"))
 
 
 def signature_sides(t) -> DataFrame:
@@ -270,11 +264,8 @@ def signature_sides(t) -> DataFrame:
 def function_line_overlap(t) -> DataFrame:
     """Functions of the new version whose span meets a changed range."""
     there = t.changes.filter(F.col("oid_after") != NO_OID)
-    spans = there.select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(t.functions, "oid")
-    hit = t.linechanges.select(*[F.col(k).alias(f"r_{k}") for k in CHANGE_KEY], "begin", "end")
-    same = history.all_equal(CHANGE_KEY, "r_")
-    meets = (F.col("begin") <= F.col("end_line")) & (F.col("end") >= F.col("begin_line"))
-    return spans.join(hit, same & meets, "left_semi").drop("oid")
+    spans = there.select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(t.functions, "oid").drop("oid")
+    return _met(spans, t.linechanges.join(spans.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi"))
 
 
 def line_in_function(t) -> DataFrame:

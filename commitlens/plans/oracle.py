@@ -148,18 +148,22 @@ add("get_message", """SELECT request_id, r.project_id, r.sha, message
 FROM requests r LEFT JOIN messages m ON m.project_id = r.project_id AND m.sha = r.sha""")
 add("get_patch", f"SELECT request_id, x.project_id, x.sha, x.path, patch FROM requests x LEFT JOIN patches y ON {SAME_KEY}")
 add("get_linechanges", f"""SELECT {KEY}, kind, CAST(min(line) AS BIGINT) AS "begin", CAST(max(line) AS BIGINT) AS "end" FROM (
-  SELECT *, line - row_number() OVER (PARTITION BY {KEY}, kind ORDER BY line) AS island FROM changed) c
+  SELECT *, line - row_number() OVER (PARTITION BY {KEY}, kind ORDER BY line) AS island FROM changed WHERE kind IN ('+', '-')) c
 GROUP BY {KEY}, kind, island""", rf"""patch_lines AS (
-  SELECT {KEY}, pos, ls[pos] AS txt, CASE WHEN ls[pos] LIKE '@@ -%' THEN pos END AS head
+  SELECT {KEY}, pos, ls[pos] AS txt, CASE WHEN ls[pos] LIKE '@@ -%' OR ls[pos] LIKE '@@@ -%' THEN pos END AS head
   FROM (SELECT {KEY}, string_split(patch, chr(10)) AS ls FROM patches), LATERAL (SELECT unnest(generate_series(1, len(ls))) AS pos) t),
 in_hunk AS (SELECT {KEY}, pos, txt, max(head) OVER (PARTITION BY {KEY} ORDER BY pos) AS hunk FROM patch_lines),
-heads AS (SELECT {KEY}, pos AS hunk, CAST(regexp_extract(txt, '^@@ -(\d+)', 1) AS BIGINT) AS old,
-  CAST(regexp_extract(txt, '\+(\d+)', 1) AS BIGINT) AS new FROM patch_lines WHERE head IS NOT NULL),
-changed AS (SELECT x.project_id, x.sha, x.path, left(txt, 1) AS kind,
-    CASE WHEN left(txt, 1) = '+' THEN new + sum(CASE WHEN left(txt, 1) <> '-' THEN 1 ELSE 0 END) OVER w
-      ELSE old + sum(CASE WHEN left(txt, 1) <> '+' THEN 1 ELSE 0 END) OVER w END - 1 AS line
-  FROM in_hunk x JOIN heads y ON {SAME_KEY} AND x.hunk = y.hunk WHERE x.pos > x.hunk
-  WINDOW w AS (PARTITION BY x.project_id, x.sha, x.path, x.hunk ORDER BY x.pos))""")
+heads AS (SELECT {KEY}, pos AS hunk, CASE WHEN txt LIKE '@@@%' THEN 2 ELSE 1 END AS parents,
+  CAST(regexp_extract(txt, '^@@@? -(\d+)', 1) AS BIGINT) AS old,
+  CAST(regexp_extract(txt, '[+](\d+)', 1) AS BIGINT) AS new FROM patch_lines WHERE head IS NOT NULL),
+kinds AS (SELECT x.project_id, x.sha, x.path, x.hunk, x.pos, y.old, y.new,
+    CASE WHEN contains(left(txt, parents), '-') AND left(txt, 1) <> '-' THEN 'none' ELSE left(txt, 1) END AS kind
+  FROM in_hunk x JOIN heads y ON {SAME_KEY} AND x.hunk = y.hunk WHERE x.pos > x.hunk),
+changed AS (SELECT project_id, sha, path, kind,
+    CASE WHEN kind = '+' THEN new + sum(CASE WHEN kind <> '-' THEN 1 ELSE 0 END) OVER w
+      ELSE old + sum(CASE WHEN kind <> '+' THEN 1 ELSE 0 END) OVER w END - 1 AS line
+  FROM kinds WHERE kind <> 'none'
+  WINDOW w AS (PARTITION BY project_id, sha, path, hunk ORDER BY pos))""")
 BY_LAST = f"""by_last AS (SELECT {KEY}, last_sha, min(line) AS "begin", max(line) AS "end" FROM (
   SELECT *, line - row_number() OVER (PARTITION BY {KEY}, last_sha ORDER BY line) AS island FROM blame) b
 GROUP BY {KEY}, last_sha, island)"""
@@ -174,7 +178,7 @@ add("project_get", f"SELECT * FROM projects WHERE owner = '{SOME_OWNER}'")
 
 # Distinct sets.
 add("get_developers", "SELECT DISTINCT project_id, author_name, author_email FROM commits")
-add("get_files", """SELECT project_id, path, is_active, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '(root)' END AS module
+add("get_files_linear", """SELECT project_id, path, is_active, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '(root)' END AS module
 FROM (SELECT project_id, path, type <> 2 AS is_active, row_number() OVER (PARTITION BY project_id, path ORDER BY seq DESC) AS n FROM touches) t
 WHERE n = 1""", TOUCHES)
 add("get_modules", r"""SELECT DISTINCT project_id, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '(root)' END AS module
@@ -414,6 +418,13 @@ JOIN heads h ON h.project_id = r.project_id LEFT JOIN ({measured}) m ON m.projec
 add_at_heads("collaboration_at_commit", COLLABORATION, "collaboration", f"{SHARING},\n{betweenness(8)},\n{EDGE_SCORES}")
 add_at_heads("contribution_at_commit", CONTRIBUTION, "contribution", f"{BIPARTITE},\n{betweenness(24)}")
 
+add("get_files", """SELECT a.project_id, a.path, coalesce(t.is_active, false) AS is_active,
+  CASE WHEN contains(a.path, '/') THEN regexp_replace(a.path, '/[^/]*$', '') ELSE '(root)' END AS module
+FROM (SELECT DISTINCT project_id, path FROM changes) a
+LEFT JOIN (SELECT project_id, path, type <> 2 AS is_active, row_number() OVER (PARTITION BY project_id, path ORDER BY seq DESC) AS n FROM touches) t
+  ON t.project_id = a.project_id AND t.path = a.path AND t.n = 1""", HEADS)
+ORACLE["get_files"] = ORACLE["get_files"].replace("WITH ", "WITH RECURSIVE ", 1)
+
 # Metrics of requested changes only.
 for _name, _how in (
     ("relativechurn", "LEFT"), ("interactivechurn", "LEFT"), ("functionchurn", "LEFT"), ("loc_file", "LEFT"), ("complexity", ""), ("nesting", "")

@@ -287,7 +287,12 @@ def get_developers(t):
 
 @query
 def get_files(t):
-    return lookups.get_files(t.changes, t.commits)
+    return lookups.get_files(t)
+
+
+@query
+def get_files_linear(t):
+    return lookups.get_files(t, merges=False)
 
 
 @query

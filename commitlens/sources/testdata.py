@@ -25,6 +25,16 @@ def _sha(x):
     return f"concat(md5({text}), substring(md5(concat('s', {text})), 1, 8))"
 
 
+def _combined(x, mode, ref, newline, how=""):
+    """A patch as that of a merge with two parents: some lines are new to the second parent only, some of its lines go."""
+    for pattern, by in (
+        ("^@@ -([0-9]+) [+](.*) @@$", f"'@@@ -{ref}1 -{ref}1 +{ref}2 @@@'"), ("^-old$", f"concat('--old', {newline}, ' -other')"),
+        ("^[+]([a-z])", f"' +{ref}1'"), ("^[+]", "'++'"),
+    ):
+        x = f"regexp_replace({x}, '{mode}{pattern}', {by}{how})"
+    return x
+
+
 _SPARK = {
     "DAY": lambda x: f"CAST(datediff(CAST({x} AS DATE), DATE'1970-01-01') AS BIGINT)",
     "SHA": _sha,
@@ -34,6 +44,7 @@ _SPARK = {
         "concat('@@ -', CAST(1 + 2 * (i div 3) AS STRING), ' +', CAST(1 + 4 * (i div 3) AS STRING), ',', "
         f"CAST(least(3, size(split({x}, '\\n', -1)) - i) AS STRING), ' @@\\n-old\\n') ELSE '' END, '+', x)), '\\n')"
     ),
+    "COMBINED": lambda x: _combined(x, "(?md)", "$", "'\\n'"),
     "NL": lambda x: "'\\n'",
     "TAB": lambda x: "'\\t'",
 }
@@ -46,6 +57,7 @@ _DUCKDB = {
         "concat('@@ -', CAST(1 + 2 * ((j - 1) // 3) AS STRING), ' +', CAST(1 + 4 * ((j - 1) // 3) AS STRING), ',', "
         f"CAST(least(3, len(string_split({x}, chr(10))) - j + 1) AS STRING), ' @@', chr(10), '-old', chr(10)) ELSE '' END, '+', x)), chr(10))"
     ),
+    "COMBINED": lambda x: _combined(x, "(?m)", "\\", "chr(10)", ", 'g'"),
     "NL": lambda x: "chr(10)",
     "TAB": lambda x: "chr(9)",
 }
@@ -113,8 +125,9 @@ FROM (SELECT o_orderkey % (SELECT count(*) FROM supplier) AS project_id, {SHA:o_
     o_orderkey % (SELECT count(*) FROM documents) AS doc_id FROM orders) c JOIN documents d ON d.doc_id = c.doc_id""",
     "patches": """
 SELECT h.project_id, h.sha, h.path, concat('diff --git a/', h.path, ' b/', h.path, {NL:}, '--- a/', h.path, {NL:},
-  '+++ b/', h.path, {NL:}, b.body) AS patch
-FROM changes h JOIN (SELECT oid, {BODY:content} AS body FROM blobs WHERE content IS NOT NULL) b ON b.oid = h.oid_after""",
+  '+++ b/', h.path, {NL:}, CASE WHEN m.sha IS NULL THEN b.body ELSE {COMBINED:b.body} END) AS patch
+FROM changes h LEFT JOIN (SELECT DISTINCT project_id, sha FROM commit_parents WHERE parent_no = 2) m ON m.project_id = h.project_id AND m.sha = h.sha
+JOIN (SELECT oid, {BODY:content} AS body FROM blobs WHERE content IS NOT NULL) b ON b.oid = h.oid_after""",
     "linechanges": """
 SELECT project_id, sha, path, '+' AS kind, 4 * l - 3 AS "begin", least(4 * l - 1, insertions) AS "end"
 FROM changes, {SERIES:CAST(floor((insertions + 3) / 4) AS BIGINT)} WHERE type = 3 AND insertions IS NOT NULL

@@ -2,6 +2,7 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,7 +217,7 @@ def test_files_are_active_until_deleted(spark):
     changes = spark.createDataFrame([(1, "a", "x/f", 1), (1, "b", "x/f", 2), (1, "a", "g", 1), (1, "c", "h", 2), (1, "d", "h", 1)],
                                     "project_id bigint, sha string, path string, type int")
     commits = spark.createDataFrame([(1, s, n) for n, s in enumerate("abcd", 1)], "project_id bigint, sha string, seq bigint")
-    got = {r["path"]: (r["is_active"], r["module"]) for r in lookups.get_files(changes, commits).collect()}
+    got = {r["path"]: (r["is_active"], r["module"]) for r in lookups.get_files(SimpleNamespace(changes=changes, commits=commits)).collect()}
     assert got == {"x/f": (False, "x"), "g": (True, "(root)"), "h": (True, "(root)")}
 
 
@@ -225,8 +226,25 @@ def patch_ranges(spark, patch):
     return sorted((r["kind"], r["begin"], r["end"]) for r in rows)
 
 
-def test_combined_patches_give_no_ranges(spark):
-    assert patch_ranges(spark, "@@@ -1,2 -1,2 +1,3 @@@\n--a\n++b\n @@ x") == []
+def test_combined_patches_give_the_first_parent_s_ranges(spark):
+    assert patch_ranges(spark, "@@@ -1,2 -1,2 +1,3 @@@\n--a\n++b\n @@ x") == [("+", 1, 1), ("-", 1, 1)]
+    patch = "diff --cc f\n--- a/f\n+++ b/f\n@@@ -10,4 -20,5 +30,5 @@@ int f()\n  both\n- first\n -second\n +of first\n+ of second\n++new\n  both\n\n@@@ -90,0 -91 +95 @@@\n++end"
+    assert patch_ranges(spark, patch) == [("+", 32, 33), ("+", 95, 95), ("-", 11, 11)]
+    assert patch_ranges(spark, "@@@@ -5,2 -6,2 -7,2 +8,2 @@@@\n -- x\n---gone\n+++new\n") == [("+", 8, 8), ("-", 5, 5)]
+
+
+def test_files_on_unmerged_branches(spark, tables):
+    """A path deleted on a branch that nothing merges stays active; one that only such a branch has is not."""
+    commits = [(1, s, n, "A", "a", n) for n, s in enumerate("abcd", 1)]
+    parents = [(1, "b", "a", 1), (1, "c", "a", 1), (1, "d", "b", 1)]
+    changes = [(1, "a", "f", 1), (1, "c", "f", 2), (1, "c", "only", 1), (1, "b", "g", 1), (1, "d", "g", 2)]
+    t = tables(
+        commits=(commits, "project_id bigint, sha string, ts bigint, author_name string, author_email string, seq bigint"),
+        commit_parents=(parents, "project_id bigint, sha string, parent_sha string, parent_no int"),
+        changes=(changes, "project_id bigint, sha string, path string, type int"),
+    )
+    assert {r.path: r.is_active for r in lookups.get_files(t).collect()} == {"f": True, "g": False, "only": False}
+    assert {r.path: r.is_active for r in lookups.get_files(t, merges=False).collect()} == {"f": False, "g": False, "only": True}
 
 
 def test_bare_carriage_returns_end_no_line(spark):
