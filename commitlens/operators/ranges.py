@@ -111,13 +111,41 @@ def patch_linechanges(patches: DataFrame) -> DataFrame:
     return merge_ranges(ranges, [*CHANGE_KEY, "kind"])
 
 
+def blame_ranges(blame: DataFrame) -> DataFrame:
+    """Blame (change, line, last_sha) as (change, begin, end, last_sha): what a project should keep of it."""
+    return collapse_ranges(blame, [*CHANGE_KEY, "last_sha"])
+
+
 def last_modifiers(linechanges: DataFrame, blame: DataFrame) -> DataFrame:
-    """For the deleted ranges of each change: ranges grouped by last modifying commit."""
-    deleted = linechanges.filter(F.col("kind") == "-").select(
-        *CHANGE_KEY, F.explode(F.sequence("begin", "end")).alias("line")
+    """For the deleted ranges of each change: ranges grouped by last modifying commit.
+
+    ``blame`` has ranges (begin, end, last_sha) or lines (line, last_sha) of the old version.  Both sets of
+    ranges are cut at each other's ends in one sorted pass, so work grows with the ranges and not with
+    the lines in them.  A line has one last commit; of several the greatest name counts.
+    """
+    if "line" in blame.columns:
+        blame = blame.select(*CHANGE_KEY, F.col("line").alias("begin"), F.col("line").alias("end"), "last_sha")
+    place = lambda c, step=0: (F.col(c) + step).cast("bigint").alias("at")
+    who = F.struct(F.col("end").cast("bigint").alias("end"), "last_sha")
+    nobody = F.lit(None).cast("struct<end:bigint,last_sha:string>").alias("who")
+    deleted = linechanges.filter(F.col("kind") == "-")
+    blame = blame.join(deleted.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi")
+    points = (
+        deleted.select(*CHANGE_KEY, place("begin"), F.lit(1).alias("depth"), nobody)
+        .unionByName(deleted.select(*CHANGE_KEY, place("end", 1), F.lit(-1).alias("depth"), nobody))
+        .unionByName(blame.select(*CHANGE_KEY, place("begin"), F.lit(0).alias("depth"), who.alias("who")))
+        .unionByName(blame.select(*CHANGE_KEY, place("end", 1), F.lit(0).alias("depth"), nobody))
+        .groupBy(*CHANGE_KEY, "at")
+        .agg(F.sum("depth").alias("depth"), F.max("who").alias("who"))
+    )
+    ordered = Window.partitionBy(*CHANGE_KEY).orderBy("at")
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = points.select(
+        *CHANGE_KEY, F.col("at").alias("begin"), (F.lead("at").over(ordered) - 1).alias("end"),
+        F.sum("depth").over(so_far).alias("depth"), F.last("who", ignorenulls=True).over(so_far).alias("who"),
     )
-    asked = blame.join(deleted.distinct(), [*CHANGE_KEY, "line"]).select(*CHANGE_KEY, "last_sha", "line")
-    return collapse_ranges(asked, [*CHANGE_KEY, "last_sha"])
+    asked = pieces.filter((F.col("depth") > 0) & (F.col("who.end") >= F.col("begin")))
+    return merge_ranges(asked.select(*CHANGE_KEY, "who.last_sha", "begin", "end"), [*CHANGE_KEY, "last_sha"])
 
 
 def function_lines(blobs: DataFrame, functions: DataFrame) -> DataFrame:

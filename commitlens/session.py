@@ -1,7 +1,7 @@
 """Where intermediate results go when a job must cut its lineage.
 
 The cluster names a shared folder in ``spark.checkpoint.dir``.  Without it the tables
-go beside the warehouse, which every executor reaches as well.
+go beside the warehouse, if every executor reaches that as well.
 """
 
 import uuid
@@ -11,7 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share: the warehouse is a local one")
+    return f"{warehouse}/_intermediate"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -260,6 +260,44 @@ def test_scattered_lines_of_one_change(spark):
     assert ranges.last_modifiers(deleted, blame).count() == n
 
 
+def test_blame_by_ranges(spark):
+    """Random ranges against line by line; and a deletion of ten million lines in three ranges."""
+    r = random.Random(5)
+    deleted, blame, wanted = [], [], {}
+    for k in range(40):
+        lines, who, at = set(), {}, 1
+        for _ in range(r.randint(0, 5)):
+            a = r.randint(1, 60)
+            b = a + r.randint(0, 9)
+            lines.update(range(a, b + 1))
+            deleted.append((1, f"s{k}", "p", "-", a, b))
+        while at < 70:
+            end, sha = at + r.randint(0, 12), r.choice("xyz")
+            if r.random() < 0.8:
+                blame.append((1, f"s{k}", "p", at, end, sha))
+                who.update(dict.fromkeys(range(at, end + 1), sha))
+            at = end + 1
+        for n in sorted(lines):
+            if n in who:
+                wanted.setdefault((f"s{k}", who[n]), []).append(n)
+    n = 10_000_000
+    deleted += [(1, "big", "p", "-", 1, n // 2), (1, "big", "p", "-", n // 2 + 1, n - 5), (1, "big", "p", "-", n, n)]
+    blame += [(1, "big", "p", 1, n - 3, "x"), (1, "big", "p", n - 2, n, "y")]
+    key = "project_id bigint, sha string, path string"
+    by_range = spark.createDataFrame(blame, f"{key}, begin bigint, end bigint, last_sha string")
+    found = ranges.last_modifiers(spark.createDataFrame(deleted, RANGES), by_range).collect()
+    assert sorted((x.last_sha, x.begin, x.end) for x in found if x.sha == "big") == [("x", 1, n - 5), ("y", n, n)]
+    got = {}
+    for x in found:
+        if x.sha != "big":
+            got.setdefault((x.sha, x.last_sha), []).extend(range(x.begin, x.end + 1))
+    assert {k: sorted(v) for k, v in got.items()} == wanted
+    by_line = [(1, sha, "p", n, who) for (sha, who), ns in wanted.items() for n in ns]
+    lines = spark.createDataFrame(by_line, f"{key}, line bigint, last_sha string")
+    again = ranges.last_modifiers(spark.createDataFrame(deleted, RANGES), ranges.blame_ranges(lines)).collect()
+    assert sorted(map(tuple, again)) == sorted(tuple(x) for x in found if x.sha != "big")
+
+
 def test_one_file_of_many_lines_and_functions(spark, tables):
     n = 20_000
     content = "\n".join("" if i % 4 == 0 else f"line {i}" for i in range(1, n + 1))
