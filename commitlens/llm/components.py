@@ -32,7 +32,7 @@ def _clean(edges):
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, root) of every vertex of ``edges(u, v)``; the root is the least vertex.
 
-    Nulls and loops link nothing; no edges give no rows.
+    Nulls and loops link nothing; repeated edges count once; no edges give no rows.  Other columns are left behind.
     """
     rounds = Rounds("edges")
     edges = rounds.put(_clean(edges.filter(F.col("u").isNotNull() & F.col("v").isNotNull()).select(

@@ -9,8 +9,9 @@ scoring is one addition per feature and pair over whole batches.
 The model is fitted on at most ``SAMPLE`` labelled rows (a documented bound: a uniform
 sample by hash where there are more); features, bins and scores are computed for every
 document.  Null and empty texts have features of zero and get a score like any other.
-Repeated rows get equal scores; rows without a label are scored, not learned from.  With no
-labelled rows, or labels of one kind, the model is the mean label (0.5 without any).
+Repeated rows get equal scores; rows without a label are scored, not learned from; of ties in id the least
+text is learned from.  An empty table gives an empty one; only ids and texts are read, and ``accepted`` returns
+all columns as they are, so other columns' names can't clash.  With no labelled rows, or labels of one kind, the model is the mean label (0.5 without any).
 """
 
 from dataclasses import dataclass, field
@@ -234,15 +235,19 @@ def quality_model(docs: DataFrame, labels: DataFrame, held_out, sample: int = SA
     return fit(x, rows.y.to_numpy(float))
 
 
-def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """(doc_id, score) of every document; with ``carry`` all its columns and ``_score_of_quality``."""
-
+def _scored(docs: DataFrame, model: Model, name: str) -> DataFrame:
     def measure(part):
         return {**part, name: model.score(features(part["text"]))}
 
-    name = "_score_of_quality" if carry else "score"
-    if not carry:
-        docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    scored = W.map_texts(docs, docs.columns, "text", schema, measure)
-    return scored if carry else scored.drop("text")
+    return W.map_texts(docs, docs.columns, "text", StructType([*docs.schema.fields, StructField(name, DoubleType())]), measure)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of every document."""
+    return _scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model, "score").drop("text")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score ``least`` or more."""
+    name = W.unused(docs, "_score")
+    return _scored(docs, model, name).filter(F.col(name) >= least).drop(name)

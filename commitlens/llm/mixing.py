@@ -8,13 +8,15 @@ of their keys up to the budget.  The sums run over blocks of a range partitionin
 
 A null or empty text has size 0 and is never taken; a null source is a source of its own,
 last in order; a null id draws the key of null; a missing, null or non-positive weight
-counts as ``LEAST_WEIGHT``; repeated rows are separate documents with equal keys.  Sources
+counts as ``LEAST_WEIGHT``; repeated rows are separate documents with equal keys (ties go by id and text).  An
+empty table gives an empty mix.  Only ids, sources and texts are read, so other columns' names can't clash.  Sources
 are a design parameter of a mix: steps on one row per source use one task.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commitlens.llm import words as W
 from commitlens.session import cut
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
@@ -134,12 +136,13 @@ def mix(docs: DataFrame, weight=None, seed: int = 7, weights=WEIGHTS, most=MOST_
 def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The texts of a mix with ``copies`` and ``taken``; equal (id, source, text) rows are merged and their
     copies added.  Columns of the documents with these two names are replaced."""
+    columns = [c for c in docs.columns if c.lower() not in ("copies", "taken")]
+    names = {n: W.unused(docs, f"_{n}") for n in ("id", "source", "tie", "text", "copies", "taken")}
     taken = (
         mixed.filter(F.col("copies") > 0)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"))
-        .agg(F.sum("copies").alias("_copies"), F.sum("taken").alias("_taken"))
+        .groupBy(*[F.col(c).alias(names[n]) for c, n in (("doc_id", "id"), ("source", "source"), ("tie", "tie"))])
+        .agg(*[F.sum(n).alias(names[n]) for n in ("copies", "taken")])
     )
-    columns = [c for c in docs.columns if c not in ("copies", "taken")]
-    once = docs.select(*columns, F.xxhash64("text").alias("_text")).dropDuplicates(["doc_id", "source", "_text"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_text") == F.col("_tie"))
-    return once.join(taken, same).select(*columns, F.col("_copies").alias("copies"), F.col("_taken").alias("taken"))
+    once = docs.select(*columns, F.xxhash64("text").alias(names["text"])).dropDuplicates(["doc_id", "source", names["text"]])
+    same = F.col("doc_id").eqNullSafe(F.col(names["id"])) & F.col("source").eqNullSafe(F.col(names["source"])) & (F.col(names["text"]) == F.col(names["tie"]))
+    return once.join(taken, same).select(*columns, *[F.col(names[n]).alias(n) for n in ("copies", "taken")])

@@ -6,7 +6,8 @@ policy, or asking what a policy would do without one of its rules, reads integer
 no text.
 
 Null and empty texts measure zero everywhere; a null id stays null; repeated rows give
-repeated ledger rows; other columns are not carried.
+repeated ledger rows and ties in id stay apart; other columns are not carried, so their names can't clash.  An
+empty table gives an empty ledger.
 """
 
 from dataclasses import dataclass

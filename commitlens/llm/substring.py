@@ -21,7 +21,8 @@ not once per document: a shard names their earliest document, and all others los
 The sample decides how text is dealt, never what is found.
 
 A null or empty text has no words.  A document with a null id keeps all its words and is no
-document's predecessor.  Rows with the same id never remove words from one another.  Text is
+document's predecessor.  Rows with the same id (ties, repeated rows) never remove words from one another.  An empty
+table gives an empty one.  Only ids and texts are read, and ``cleaned`` returns all columns, so other columns' names can't clash.  Text is
 compared by 64-bit hashes of words.  Tasks are bounded by the number of shards
 (``SHARDS`` per shuffle partition) and by one document.
 """

@@ -11,7 +11,9 @@ The model is fitted on about ``SAMPLE`` toxic and ``CLEAN_SAMPLE`` other labelle
 at most (documented bounds: samples by hash where there are more); two thirds of them name
 the toxic words, ``FIELD_SAMPLE`` of each label train the field, and the last third fits the
 document score.  Every whole text is scored.  Null and empty
-texts have no words and get the score of no evidence.  Repeated rows get equal scores.
+texts have no words and get the score of no evidence.  Repeated rows get equal scores; of ties in id the
+least text is learned from; a null id stays null.  An empty table gives an empty one.  Only ids and texts are
+read, so other columns' names can't clash.
 Without labels of both kinds the score is the share of toxic labels, 0 without any.
 """
 

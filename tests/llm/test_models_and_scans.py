@@ -38,8 +38,9 @@ def test_quality_on_held_out_rows(labelled, messy, empty):
     scored = gam.score(docs, model).filter(out("doc_id")).join(labels, "doc_id").collect()
     right = sum((r.score >= gam.THRESHOLD) == bool(r.quality) for r in scored)
     assert len(scored) > 100 and right > 0.97 * len(scored)
-    carried = gam.score(messy, model, carry=True)
-    assert carried.columns[:-1] == messy.columns and carried.filter("_score_of_quality between 0 and 1").count() == messy.count()
+    carried = gam.accepted(messy.withColumn("_score", F.lit(7)), model, 0.0)
+    assert carried.columns == [*messy.columns, "_score"] and carried.filter("_score = 7").count() == messy.count()
+    assert gam.accepted(messy, model, 1.1).count() == 0
     assert gam.score(empty, model).count() == 0
 
 

@@ -109,3 +109,15 @@ def test_run_on_empty_tables(spark, folder, tmp_path):
 def test_features_are_finite(spark):
     x = gam.features(pa.array([None, "", " ", "a", "\n\n", "!" * 1000, "%%% " * 50]))
     assert np.isfinite(x).all() and x.shape == (7, len(gam.FEATURES))
+
+
+def test_clashing_names(spark, folder):
+    """Columns that are called what the stages call their own come through unchanged."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    own = ["_score", "_row", "_kept_row", "_text", "_id", "_tie", "_source", "_copies", "_rest", "kept", "words"]
+    wide = docs.selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(own)])
+    plain = docs
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = stage(spark, plain, folder), stage(spark, wide, folder)
+        assert sorted(map(str, wide.select(*plain.columns).collect())) == sorted(map(str, plain.collect())), name
+        assert wide.select(*own).distinct().collect() == [tuple(range(len(own)))], name
