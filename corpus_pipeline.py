@@ -5,8 +5,6 @@ the last return the columns of documents.  ``run`` writes each stage's rows to t
 folder and reads them back.
 """
 
-from pyspark.sql import functions as F
-
 from commitlens.llm import decontaminate, gam, mixing, simhash, substring
 from commitlens.llm.queries import held_out
 from commitlens.session import cut
@@ -15,8 +13,7 @@ from commitlens.session import cut
 def quality(spark, docs, sf_dir):
     """Documents that the quality classifier, fitted on the labelled ones, doesn't reject."""
     model = gam.quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out(5, 0))
-    scored = gam.score(docs, model, carry=True)
-    return scored.filter(F.col("_score_of_quality") >= gam.THRESHOLD).select(*docs.columns)
+    return gam.accepted(docs, model)
 
 
 def near_duplicates(spark, docs, sf_dir):
