@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from commitlens.functions import text
 from commitlens.schemas import ADDED, CHANGE_KEY, DELETED, NO_OID
+from commitlens.session import cut
 
 
 def for_requests(measures: DataFrame, requests: DataFrame | None, keys=CHANGE_KEY) -> DataFrame:
@@ -82,6 +83,17 @@ def _wanted_patches(t, requests):
     return t.patches.join(requests.select(*CHANGE_KEY).distinct(), CHANGE_KEY, "left_semi")
 
 
+def _keyword_columns():
+    return [
+        F.map_from_entries(text.keyword_counts(F.col("patch"), F.col("language"))).alias("keywords"),
+        F.when(~text.keyword_supported(F.col("language")), F.lit("LanguageNotSupported")).alias("error"),
+    ]
+
+
+def _languages(t):
+    return t.projects.select(F.col("id").alias("project_id"), "language")
+
+
 def hunk(t, requests=None, **options) -> DataFrame:
     measures = _wanted_patches(t, requests).select(
         *CHANGE_KEY, text.count_hunks(F.col("patch")).alias("hunks")
@@ -94,18 +106,24 @@ def keyword(t, requests=None, **options) -> DataFrame:
 
     ``error`` is set where the language has no dictionary.
     """
-    languages = t.projects.select(F.col("id").alias("project_id"), "language")
-    counts = text.keyword_counts(F.col("patch"), F.col("language"))
-    measures = (
-        _wanted_patches(t, requests)
-        .join(languages, "project_id")
-        .select(
-            *CHANGE_KEY,
-            F.map_from_entries(counts).alias("keywords"),
-            F.when(~text.keyword_supported(F.col("language")), F.lit("LanguageNotSupported")).alias("error"),
-        )
-    )
-    return for_requests(measures, requests)
+    patches = _wanted_patches(t, requests).join(_languages(t), "project_id")
+    return for_requests(patches.select(*CHANGE_KEY, *_keyword_columns()), requests)
+
+
+def patch_measures(t, requests=None, names=("hunk", "keyword", "patchtokens"), **options) -> dict[str, DataFrame]:
+    """The metrics of patches from one reading of their texts."""
+    known = _languages(t).withColumn("known", F.lit(True))
+    patches = _wanted_patches(t, requests).join(known, "project_id", "left")
+    columns = {
+        "hunk": [text.count_hunks(F.col("patch")).alias("hunks")],
+        "keyword": ["known", *_keyword_columns()],
+        "patchtokens": [text.tokenize(F.col("patch")).alias("tokens")],
+    }
+    read = cut(patches.select(*CHANGE_KEY, *[c for n in names for c in columns[n]]), "patches")
+    out = {"hunk": ["hunks"], "keyword": ["keywords", "error"], "patchtokens": ["tokens"]}
+    return {
+        n: for_requests((read.filter("known") if n == "keyword" else read).select(*CHANGE_KEY, *out[n]), requests) for n in names
+    }
 
 
 def messagetokens(t, requests=None, **options) -> DataFrame:

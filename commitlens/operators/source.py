@@ -11,6 +11,7 @@ from commitlens.functions import paths, text
 from commitlens.operators import history, ranges
 from commitlens.operators.change import asked_only, for_requests
 from commitlens.schemas import CHANGE_KEY, MODIFIED, NO_OID
+from commitlens.session import cut
 
 
 def _only_comment(line: Column, covered: Column) -> Column:
@@ -38,35 +39,48 @@ def _comment_lines(lines: Column, comment: Column) -> Column:
     return F.when(begin == end, single).otherwise(F.concat(opening, inside, closing))
 
 
-def line_flags(blobs: DataFrame, comments: DataFrame) -> DataFrame:
-    """Per text: its lines, and the numbers of its comment lines and of its blank lines.
+# Measures of a function's body, by metric.
+BODY_MEASURES = {"complexity": text.decision_count, "nesting": text.brace_depth}
 
-    An empty line inside a comment is a comment line only; a line of blanks is neither.
+
+def line_flags(blobs: DataFrame, comments: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """Per text: the number of its lines, and the numbers of its comment lines and of its blank lines.
+
+    An empty line inside a comment is a comment line only; a line of blanks is neither.  With ``functions``
+    also ``measured``: its spans with BODY_MEASURES of their bodies, from the same reading of the text.
     """
     spans = comments.groupBy("oid").agg(
         F.collect_list(
             F.struct(*[F.col(c).cast("int").alias(c) for c in ("begin_line", "begin_col", "end_line", "end_col")])
         ).alias("spans")
     )
-    lined = (
-        blobs.filter(F.col("content").isNotNull())
-        .join(spans, "oid", "left")
-        .select("oid", text.split_lines(F.col("content")).alias("lines"), "spans")
-    )
+    there = blobs.filter(F.col("content").isNotNull()).join(spans, "oid", "left")
+    measured = []
+    if functions is not None:
+        bodies = functions.groupBy("oid").agg(F.collect_list(F.struct("ord", "signature", "begin_line", "end_line")).alias("bodies"))
+        there, measured = there.join(bodies, "oid", "left"), ["bodies"]
+    lined = there.select("oid", text.split_lines(F.col("content")).alias("lines"), "spans", *measured)
     commented = F.coalesce(
         F.array_distinct(F.flatten(F.transform("spans", lambda c: _comment_lines(F.col("lines"), c)))),
         F.array().cast("array<int>"),
     )
     numbers = F.transform("lines", lambda line, i: F.when(line == "", i + 1))
+    if measured:
+        body = lambda s: F.array_join(F.slice("lines", s["begin_line"], s["end_line"] - s["begin_line"] + 1), "\n")
+        of_body = lambda s, b: F.struct(s.alias("span"), *[m(b).alias(n) for n, m in BODY_MEASURES.items()])
+        # The one-element array names the body, so that it is cut out once.
+        measured = [F.flatten(F.transform("bodies", lambda s: F.transform(F.array(body(s)), lambda b: of_body(s, b)))).alias("measured")]
     return lined.select(
         "oid",
         "lines",
         commented.alias("commented"),
+        *measured,
     ).select(
         "oid",
         F.size("lines").alias("aggregate"),
         "commented",
         F.array_except(F.filter(numbers, lambda n: n.isNotNull()), F.col("commented")).alias("blanks"),
+        *["measured" for _ in measured],
     )
 
 
@@ -86,7 +100,12 @@ def blob_loc(blobs, comments) -> DataFrame:
 
 
 def blob_function_loc(blobs, comments, functions) -> DataFrame:
-    """Line counts per function span; of equal signatures the last one counts.
+    """Line counts per function span; of equal signatures the last one counts."""
+    return _function_loc(line_flags(blobs, comments), functions)
+
+
+def _function_loc(flags: DataFrame, functions: DataFrame) -> DataFrame:
+    """Line counts of function spans, from ``line_flags``.
 
     Spans ask before their first line and after their last for running counts over the flagged lines of
     their file, so a file of n lines and m spans is one sorted pass over n + 2m rows at most.
@@ -104,7 +123,7 @@ def blob_function_loc(blobs, comments, functions) -> DataFrame:
         F.transform("commented", lambda n: row(n, 0, comment=1)),
         F.transform("blanks", lambda n: row(n, 0, blank=1)),
     )
-    lines = line_flags(blobs, comments).select("oid", nobody.alias("span"), F.inline(flagged))
+    lines = flags.select("oid", nobody.alias("span"), F.inline(flagged))
     asks = spans.select("oid", "span", F.inline(F.array(row(F.col("begin_line") - 1, -1), row(F.col("end_line"), 1))))
     # At equal lines a flagged line comes first, so that both asks are answered after it.
     upto = Window.partitionBy("oid").orderBy("line", F.abs("side")).rowsBetween(Window.unboundedPreceding, 0)
@@ -150,7 +169,11 @@ def loc(t, requests=None, granularity="file", **options) -> DataFrame:
     t = asked_only(t, requests)
     if granularity != "function":
         return _of_changes(t, requests, blob_loc(t.blobs, t.comments), True)
-    functions = blob_function_loc(t.blobs, t.comments, t.functions)
+    there = t.blobs.filter(F.col("content").isNotNull()).select("oid")
+    return _loc_of_functions(t, requests, blob_function_loc(t.blobs, t.comments, t.functions), there)
+
+
+def _loc_of_functions(t, requests, functions: DataFrame, there: DataFrame) -> DataFrame:
     per_blob = functions.groupBy("oid").agg(
         F.map_from_entries(
             F.array_sort(
@@ -160,10 +183,10 @@ def loc(t, requests=None, granularity="file", **options) -> DataFrame:
             )
         ).alias("loc")
     )
-    measured = t.blobs.filter(F.col("content").isNotNull()).select("oid").join(per_blob, "oid", "left")
     empty = F.from_json(
         F.lit("{}"), "map<string,struct<blank:bigint,comment:bigint,source:bigint,aggregate:bigint>>"
     )
+    measured = there.join(per_blob, "oid", "left")
     return _of_changes(t, requests, measured.select("oid", F.coalesce("loc", empty).alias("loc")), True)
 
 
@@ -289,15 +312,16 @@ def comment_on_line(t) -> DataFrame:
     return line_flags(t.blobs, t.comments).select("oid", F.explode("commented").alias("line"))
 
 
-def _per_function(t, requests, name, measure, **options) -> DataFrame:
+def _per_function(t, requests, name) -> DataFrame:
     t = asked_only(t, requests)
     bodies = ranges.function_lines(t.blobs, t.functions).select(
         "oid", "ord", "signature", F.array_join("lines", "\n").alias("body")
     )
-    measured = last_wins(
-        bodies.select("oid", "ord", "signature", measure(F.col("body")).alias(name)), [name]
-    )
-    per_blob = measured.groupBy("oid").agg(
+    return _map_of_functions(t, requests, name, bodies.select("oid", "ord", "signature", BODY_MEASURES[name](F.col("body")).alias(name)))
+
+
+def _map_of_functions(t, requests, name, measured: DataFrame) -> DataFrame:
+    per_blob = last_wins(measured, [name]).groupBy("oid").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("signature", name)))).alias(name)
     )
     return _of_changes(t, requests, per_blob, False)
@@ -305,12 +329,25 @@ def _per_function(t, requests, name, measure, **options) -> DataFrame:
 
 def complexity(t, requests=None, **options) -> DataFrame:
     """``map<signature, 1 + decision points>`` of the new version; null without functions."""
-    return _per_function(t, requests, "complexity", text.decision_count)
+    return _per_function(t, requests, "complexity")
 
 
 def nesting(t, requests=None, **options) -> DataFrame:
     """``map<signature, deepest block nesting>`` of the new version; null without functions."""
-    return _per_function(t, requests, "nesting", text.brace_depth)
+    return _per_function(t, requests, "nesting")
+
+
+def function_measures(t, requests=None, names=("loc", *BODY_MEASURES), **options) -> dict[str, DataFrame]:
+    """``loc`` by function, ``complexity`` and ``nesting`` from one reading of the texts.
+
+    What is kept in between are numbers of lines and spans, no text.
+    """
+    t = asked_only(t, requests)
+    flags = cut(line_flags(t.blobs, t.comments, t.functions), "flags")
+    spans = flags.select("oid", F.explode("measured").alias("m")).select("oid", "m.span.ord", "m.span.signature", *[f"m.{n}" for n in BODY_MEASURES])
+    out = {n: _map_of_functions(t, requests, n, spans.select("oid", "ord", "signature", n)) for n in BODY_MEASURES}
+    out["loc"] = _loc_of_functions(t, requests, _function_loc(flags, t.functions), flags.select("oid"))
+    return {n: out[n] for n in names}
 
 
 # Analyser metrics that make up the flow of an entity.

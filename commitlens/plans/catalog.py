@@ -56,6 +56,12 @@ METRIC_JOBS = {
     "relativechurn": change.relativechurn,
 }
 
+# Metrics that read the same texts, by granularity: where several are asked for, one function measures them in one pass.
+TOGETHER = {
+    "change": (("hunk", "keyword", "patchtokens"), change.patch_measures),
+    "function": (("loc", "complexity", "nesting"), source.function_measures),
+}
+
 MEASURES = "metric string, granularity string, project_id bigint, sha string, path string, name string, email string, measure string"
 KEY_COLUMNS = ("project_id", "sha", "path", "name", "email", "author_name", "author_email", "entity")
 
@@ -123,8 +129,8 @@ def as_measures(name: str, granularity: str, result: DataFrame, also=()) -> Data
 def collect_enabled(t, granularity: str, requests=None, **options) -> DataFrame:
     """Run every metric that some project has switched on for the granularity.
 
-    One job per metric covers all projects; rows of projects that have the metric
-    off are dropped by a join with the catalog before the results are united.
+    One job per metric covers all projects, and one all metrics that read the same texts; rows of projects that
+    have the metric off are dropped by a join with the catalog before the results are united.
     """
     on = t.project_metrics.filter("enabled").join(
         t.metrics.filter(F.col("granularity") == granularity).select(F.col("id").alias("metric_id"), "name"),
@@ -132,10 +138,13 @@ def collect_enabled(t, granularity: str, requests=None, **options) -> DataFrame:
     )
     # At most one name per catalog row comes to the driver.
     names = sorted(row["name"] for row in on.select("name").distinct().collect())
-    results = []
+    results, shared = [], {}
+    together, measure = TOGETHER.get(granularity, ((), None))
+    if len(set(together) & set(names)) > 1:
+        shared = measure(t, requests, [n for n in together if n in names], **options)
     for name in names:
         projects = on.filter(F.col("name") == name).select("project_id").distinct()
-        result = METRIC_JOBS[name](t, requests, granularity=granularity, **options)
+        result = shared[name] if name in shared else METRIC_JOBS[name](t, requests, granularity=granularity, **options)
         results.append(
             as_measures(name, granularity, result.join(projects, "project_id", "left_semi"))
         )
