@@ -34,6 +34,8 @@ from commitlens.llm import words as W
 
 #: White-space separated chunks, and pieces, whose tokens a task keeps.
 CACHE = 1 << 18
+#: New pieces that are indexed at a time.
+PIECES = 1 << 12
 #: Symbols are joined to pairs as left * PAIR + right.
 PAIR = 1 << 32
 
@@ -209,11 +211,12 @@ class Encoder:
         cut = {c: self.pieces(c) if isinstance(c, str) else [] for c in chunks}
         of_piece = self.of_piece
         new = list(set(chain.from_iterable(cut.values())).difference(of_piece))
-        if new:
-            ids, ends = self.merger.tokens([p.encode() for p in new])
+        for start in range(0, len(new), PIECES):
+            part = new[start : start + PIECES]
+            ids, ends = self.merger.tokens([p.encode() for p in part])
             ids = ids.astype("<u4").tobytes()
             ends = (4 * ends).tolist()
-            of_piece.update(zip(new, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+            of_piece.update(zip(part, [ids[a:b] for a, b in zip([0, *ends], ends)]))
         for c, pieces in cut.items():
             if len(pieces) == 1:
                 self.packed[c] = of_piece[pieces[0]]
