@@ -164,3 +164,14 @@ def test_nothing_enabled_measures_nothing(spark):
 def test_request_columns_are_no_measure(spark):
     row = spark.createDataFrame([(1, "churn", "s", "p", None)], "project_id bigint, metric string, sha string, path string, n bigint")
     assert catalog.as_measures("churn", "change", row).first()["measure"] is None
+
+
+def test_log_records_stay_where_they_are_read(spark, tmp_path):
+    """Texts within a block are neither shuffled nor written again."""
+    records = spark.range(500).select(F.sha1(F.col("id").cast("string")).alias("sha"), F.concat(F.repeat(F.lit("line\n*\n"), 50), F.col("id")).alias("body"))
+    dumps.write_log_records(records.coalesce(2), str(tmp_path / "dump"), compression="gzip")
+    read = dumps.read_log_records(spark, str(tmp_path / "dump"))
+    pairs = read.select("sha", F.array_join("lines", "\n").alias("body"))
+    assert pairs.exceptAll(records).isEmpty() and records.exceptAll(pairs).isEmpty()
+    kept = max((tmp_path.parent.glob("shared*/edges-*")), key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(str(kept)).count() == 4
