@@ -1,6 +1,6 @@
 """Requests read no more than they ask for."""
 
-from commitlens.operators import change
+from commitlens.operators import change, ranges
 from commitlens.plans import queries
 
 COMMITS = "project_id bigint, sha string, ts bigint, author_name string, author_email string, seq bigint"
@@ -38,3 +38,14 @@ def test_developers_measures_read_commits_only(spark, tables):
     rows = queries.enabled_measures(t, "developer").collect()
     assert sorted((r.sha, r.number) for r in rows if r.field == "ownership") == [("a", 1.0), ("b", 0.5)]
     assert t.read == {"commits", "projects"}
+
+
+def test_hunks_take_along_their_own_numbers_only(spark):
+    """Work grows with a patch's hunks, not with their square; kinds of lines are as before."""
+    body = "".join(f"@@ -{2 * i + 1} +{3 * i + 1},2 @@\n-old\n+new\n\n" for i in range(300))
+    rows = spark.createDataFrame([(1, "s", "p", f"diff\n--- a\n+++ b\n{body}@ no header")], "project_id bigint, sha string, path string, patch string")
+    found = ranges.patch_linechanges(rows)
+    generate = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate posexplode" in line][-1]
+    assert "arrays_zip" in generate or "old_counts" not in generate
+    got = sorted((r.kind, r.begin, r.end) for r in found.collect())
+    assert got == sorted([("-", 2 * i + 1, 2 * i + 1) for i in range(300)] + [("+", 3 * i + 1, 3 * i + 1) for i in range(300)])
