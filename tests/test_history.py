@@ -159,3 +159,24 @@ def test_offender_by_path_or_alias_and_time(spark, tables):
     )
     got = {(r["sha"], r["path"]): r["offender"] for r in people.offender(t).collect()}
     assert got == {("c1", "f"): False, ("c2", "f"): True, ("c2", "g"): True, ("c2", "h"): False}
+
+
+def test_predecessors_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(history, "SEQ_BUCKET", 3)
+    rows = spark.range(1, 41).select(F.explode(F.array(F.lit("p"), F.lit("q"))).alias("path"), F.concat(F.lit("s"), "id").alias("sha"), F.col("id").alias("nth"))
+    got = sorted(tuple(r) for r in history.before_last(rows, ["path"], "nth", "sha").collect())
+    assert got == sorted((p, f"s{n}", n, f"s{n - 1}", f"s{n - 2}" if n > 2 else None) for p in "pq" for n in range(2, 41))
+
+
+def test_chains_move_numbers(spark, tables):
+    """Names of chains are numbers; commits above an unknown parent or without a name have no chain."""
+    names = [c * 40 for c in "abcdef"]
+    commits = [(1, n, i, "A", "a", i + 1) for i, n in enumerate(names)] + [(1, None, 9, "A", "a", 9), (2, names[0], 1, "B", "b", 1)]
+    parents = [(1, names[1], names[0], 1), (1, names[2], names[0], 1), (1, names[3], names[2], 1), (1, names[4], "0" * 40, 1), (1, names[5], None, 1)]
+    t = tables(commits=(commits, COMMITS), commit_parents=(parents, "project_id bigint, sha string, parent_sha string, parent_no int"))
+    placed = dag.chains(t.commits, t.commit_parents)
+    assert dict(placed.dtypes)["chain"] == "bigint"
+    got = {(r.project_id, r.sha[0]): (r.chain, r.pos) for r in placed.collect()}
+    assert set(got) == {(1, "a"), (1, "b"), (1, "c"), (1, "d"), (1, "f"), (2, "a")}
+    assert got[1, "c"] == (got[1, "a"][0], 2) and got[1, "d"] == (got[1, "a"][0], 3) and got[1, "b"][1] == 1
+    assert len({c for c, _ in got.values()}) == 4
