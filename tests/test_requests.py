@@ -2,6 +2,7 @@
 
 from commitlens.operators import change, ranges
 from commitlens.plans import queries
+from commitlens.sources import testdata
 
 COMMITS = "project_id bigint, sha string, ts bigint, author_name string, author_email string, seq bigint"
 CHANGES = "project_id bigint, sha string, path string, type int, insertions bigint, deletions bigint, oid_before string, oid_after string"
@@ -49,3 +50,28 @@ def test_hunks_take_along_their_own_numbers_only(spark):
     assert "arrays_zip" in generate or "old_counts" not in generate
     got = sorted((r.kind, r.begin, r.end) for r in found.collect())
     assert got == sorted([("-", 2 * i + 1, 2 * i + 1) for i in range(300)] + [("+", 3 * i + 1, 3 * i + 1) for i in range(300)])
+
+
+def small_folder(spark, folder):
+    """Orders with merges among them, and changes that lead to blobs, to none and to binary ones."""
+    day = "TIMESTAMP'2020-01-01'"
+    views = {
+        "supplier": "SELECT 0L AS s_suppkey, 'S#0' AS s_name, 1 AS s_nationkey",
+        "part": "SELECT id AS p_partkey, concat('n', id) AS p_name, 'Brand#1' AS p_brand, 'BIG TIN' AS p_type, CAST(id AS INT) AS p_size FROM range(4)",
+        "orders": f"SELECT id AS o_orderkey, id % 3 AS o_custkey, {day} + make_dt_interval(CAST(id AS INT)) AS o_orderdate FROM range(30)",
+        "lineitem": f"""SELECT id DIV 2 AS l_orderkey, id % 4 AS l_partkey, CAST(id % 2 AS INT) AS l_linenumber, CAST(id % 7 AS DOUBLE) AS l_quantity,
+          0.01D * (id % 9) AS l_tax, 0.01D AS l_discount, substr('ARN', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag, {day} AS l_shipdate FROM range(60)""",
+        "documents": "SELECT id AS doc_id, CASE WHEN id < 50 THEN concat('one, two\\nthree. ', id, '\\n\\nfour\\nfive') END AS text FROM range(60)",
+        "pages": "SELECT id AS page_id, concat('<p>', id, '</p>\\nx') AS html FROM range(5)",
+    }
+    for name, sql in views.items():
+        spark.sql(sql).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_patches_are_put_together_where_they_are_read(spark, tmp_path):
+    t = testdata.Tables(spark, small_folder(spark, str(tmp_path)))
+    rows = sorted(t.patches.collect())
+    assert any("@@@ -" in r.patch for r in rows) and any("@@ -" in r.patch and "@@@" not in r.patch for r in rows)
+    assert rows == sorted(t._sql("patches").collect())
+    assert not any(key[1:] == (str(tmp_path), "patches") for key in testdata._PATHS)
