@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitlens.operators import dag, history, lookups, people
+from commitlens.plans import queries
 
 COMMITS = "project_id bigint, sha string, ts bigint, author_name string, author_email string, seq bigint"
 
@@ -62,6 +63,22 @@ def reached_by(parents):
     return walk
 
 
+def test_lines_so_far_read_changes_once(spark, tables):
+    """Also if a change has several rows, which count as often as there are of them."""
+    changes = [(1, "a", "x", 1), (1, "b", "x", 2), (1, "b", "x", 4), (1, "c", "x", None), (1, "c", None, 9), (None, "a", "x", 9)]
+    t = tables(
+        commits=([(1, s, i, "A", "m", i) for i, s in enumerate("abc", 1)], COMMITS),
+        changes=(changes, "project_id bigint, sha string, path string, insertions bigint"),
+    )
+    df = queries.cumulative_history(t)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    rows = df.collect()
+    got = {}
+    for r in rows:
+        got.setdefault((r.sha, r.path), []).append(r.so_far)
+    assert {k: (len(v), max(v)) for k, v in got.items()} == {("a", "x"): (1, 1), ("b", "x"): (4, 13), ("c", "x"): (1, 13)}
+
+
 @pytest.mark.parametrize("seed", [0, 3])
 def test_merges_match_walking_parents(spark, tables, monkeypatch, seed):
     monkeypatch.setattr(history, "SEQ_BUCKET", 5)
