@@ -152,12 +152,13 @@ def version_key(oid: str, wanted: Column) -> Column:
     return F.when(wanted & (F.col(oid) != NO_OID), F.col(oid)).otherwise(none)
 
 
-def _of_changes(t, requests, measures: DataFrame, parsed_only: bool, how="left") -> DataFrame:
-    """Join measures of versions to the changes that lead to them."""
+def _of_changes(t, requests, measures: DataFrame, parsed_only: bool) -> DataFrame:
+    """Join measures of versions to the changes that lead to them; changes without a version to read stay out of the join."""
     wanted = paths.is_parsable(F.col("path")) if parsed_only else F.lit(True)
-    changes = t.changes.select(*CHANGE_KEY, version_key("oid_after", wanted).alias("oid"))
-    joined = changes.join(measures, "oid", how).drop("oid")
-    return for_requests(joined, requests)
+    readable = F.coalesce(wanted & (F.col("oid_after") != NO_OID), F.lit(False))
+    measured = t.changes.filter(readable).select(*CHANGE_KEY, F.col("oid_after").alias("oid")).join(measures, "oid", "left").drop("oid")
+    nothing = [F.lit(None).cast(measures.schema[c].dataType).alias(c) for c in measures.columns if c != "oid"]
+    return for_requests(measured.unionByName(t.changes.filter(~readable).select(*CHANGE_KEY, *nothing)), requests)
 
 
 def loc(t, requests=None, granularity="file", **options) -> DataFrame:
