@@ -1,6 +1,6 @@
 """Requests read no more than they ask for."""
 
-from commitlens.operators import change, ranges
+from commitlens.operators import change, ranges, source
 from commitlens.plans import queries
 from commitlens.sources import testdata
 
@@ -75,3 +75,27 @@ def test_patches_are_put_together_where_they_are_read(spark, tmp_path):
     assert any("@@@ -" in r.patch for r in rows) and any("@@ -" in r.patch and "@@@" not in r.patch for r in rows)
     assert rows == sorted(t._sql("patches").collect())
     assert not any(key[1:] == (str(tmp_path), "patches") for key in testdata._PATHS)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_versions_nobody_reads_stay_out_of_the_joins(spark, tables):
+    paths = ["a.c", "b.py", "c.c", None]
+    t = tables(
+        changes=([(p, "s", x, 3, 1, 1, "o1", "0" * 40 if x == "c.c" else "o2") for p in (1, 2) for x in paths], CHANGES),
+        blobs=([("o1", "x\n\ny\n"), ("o2", "x\ny\n")], "oid string, content string"),
+        comments=([], "oid string, type int, begin_line int, begin_col int, end_line int, end_col int"),
+        functions=([("o1", 1, "f()", 1, 3), ("o2", 1, "f()", 1, 1), ("o2", 2, "g()", 2, 2)], "oid string, ord int, signature string, begin_line int, end_line int"),
+        linechanges=([(1, "s", "a.c", "+", 1, 1)], "project_id bigint, sha string, path string, kind string, begin bigint, end bigint"),
+        projects=([(1, "C"), (2, "Go")], "id bigint, language string"),
+    )
+    lines = source.loc(t)
+    assert "none-" not in optimized(lines)
+    assert {(r.project_id, r.path): r.aggregate for r in lines.collect()} == {(p, x): 2 if x == "a.c" else None for p in (1, 2) for x in paths}
+    churned = source.functionchurn(t)
+    assert optimized(churned).startswith("Union")
+    got = {(r.project_id, r.path): (r.supported, r.insertions, r.deletions, r.modifications, r.aggregate) for r in churned.collect()}
+    assert got == {(p, x): (p == 1, None, None, None, None) for p in (1, 2) for x in paths} | {
+        (1, "a.c"): (True, 1, 0, 1, 2), (1, "c.c"): (True, 0, 1, 0, 1)}
