@@ -163,3 +163,12 @@ def test_edges_count_each_developer_pair_once(spark, tables):
     assert {r["path"]: r["n"] for r in rows} == {
         p: len(a) * (len(a) - 1) / 2 for p, a in authors.items() if len(a) > 1
     }
+
+
+def test_groups_of_files_are_formed_once(spark):
+    rows = [((1, None), p, (a, a), 1) for p, a in [("x", "A"), ("x", "B"), ("y", "A"), ("y", "B"), ("z", "B")]]
+    touches = spark.createDataFrame(rows, "graph struct<project_id:bigint,sha:string>, path string, author struct<author_name:string,author_email:string>, weight bigint")
+    _, files, members = graph.collaboration_classes(touches)
+    assert files._jdf.queryExecution().optimizedPlan().toString().startswith("Relation")
+    assert {r.path: r.bundle for r in files.collect()} == {"x": "x", "y": "x", "z": "z"}
+    assert members.count() == 3
