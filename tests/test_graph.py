@@ -104,6 +104,28 @@ def test_scores_match_enumeration(spark, tables, state_rows, tile):
                 assert actual[path] == (value if value is None else pytest.approx(value)), (seed, name, path)
 
 
+def test_small_graphs_are_solved_from_their_touches(spark, tables, monkeypatch):
+    cases = {seed: random_touches(seed) for seed in range(20, 24)}
+    t = tables(**history_of([(seed, a, p) for seed, case in cases.items() for a, p in case]))
+    monkeypatch.setattr(graph, "betweenness", None)
+    got = {(r["project_id"], r["path"]): r["contribution"] for r in graph.contribution(t).collect()}
+    expected = {(seed, p): v for seed, case in cases.items() for p, v in brute(case)[1].items()}
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_large_and_small_graphs_side_by_side(spark, tables):
+    """The large one, and the one with a file without a name, go the way of classes."""
+    cases = {seed: random_touches(seed) for seed in (30, 31)} | {1: [(f"a{i % 4}", f"p{i % 9}") for i in range(40)]}
+    rows = [(seed, a, p) for seed, case in cases.items() for a, p in case]
+    t = tables(**history_of([*rows, (2, "A", "f"), (2, "B", "f"), (2, "C", None)]))
+    touches = graph.author_touches(t)
+    _, others = graph._by_whole_graphs(touches, cells=1 << 20, links=60)
+    assert {r.graph.project_id for r in others.collect()} == {1, 2}
+    got = {(r["project_id"], r["path"]): r["contribution"] for r in graph.contribution(t, tile=(60, 1 << 20)).collect()}
+    expected = {(seed, p): v for seed, case in cases.items() for p, v in brute(case)[1].items()} | {(2, "f"): 1.0}
+    assert got == {k: pytest.approx(v) for k, v in expected.items()}
+
+
 def test_hand_written_cases(spark, tables):
     t = tables(**history_of([
         (1, "A", "f"), (1, "B", "f"), (1, "B", "g"), (1, "C", "g"), (1, "A", "alone"),
