@@ -1,6 +1,7 @@
 """Column functions on hand-written lines."""
 
 import posixpath
+import random
 import re
 
 import pytest
@@ -94,6 +95,27 @@ def test_tokens_follow_word_rules(spark):
     assert values(spark, [None], text.tokenize) == [None]
 
 
+def test_tokens_of_many_texts_are_those_of_the_pattern(spark):
+    """Of any characters, in texts longer than a slice, with nulls and bad bytes, without an array of all hits per text."""
+    rng = random.Random(5)
+    plain = "aB_9é -\n.İΣσßǅ½²漢𝒜𐐀\u0301\u00a0\u2028\ufffd"
+    whole = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    texts = ["".join(rng.choices(plain, k=rng.randrange(60))) for _ in range(2000)]
+    texts += ["".join(whole[i : i + 5000]) for i in range(0, len(whole), 5000)]
+    texts += ["".join(rng.choices(whole, k=200)) for _ in range(200)] + ["x", "é", "  ", "", None, "ab" * 70_000, "éa b " * 900_000]
+    # Each character beside a letter, and alone.
+    texts += [" ".join(f"a{c} {c} {c}{c}" for c in whole[i : i + 5000]) for i in range(0, len(whole), 5000)]
+    valid = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    broken = [b"ab\xffcd", b"\xf0", b"\xc3", b"ab \xe2\x82", b"\x80\x80"] * 3
+    rows = valid.union(spark.createDataFrame(list(enumerate(map(bytearray, broken), len(texts))), "i int, s binary").select("i", F.col("s").cast("string")))
+    rows = rows.repartition(2, "i")
+    hits = F.sort_array(F.array_distinct(text.tokens(F.col("s"))))
+    both = rows.select("i", "s", text.tokenize(F.col("s")).alias("found"), hits.alias("expected"))
+    assert both.count() == len(texts) + len(broken)
+    assert both.filter(~F.col("found").eqNullSafe(F.col("expected"))).select("i", F.hex("s")).take(3) == []
+    assert "regexp_extract_all" not in rows.select(text.tokenize(F.col("s")))._jdf.queryExecution().toString()
+
+
 def test_hunks_count_headers_after_a_newline(spark):
     assert values(spark, ["@@ -1 +1 @@\n+a", "x\n@@ a\n@@@ b\n", ""], text.count_hunks) == [0, 2, 0]
 
