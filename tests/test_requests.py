@@ -99,3 +99,20 @@ def test_versions_nobody_reads_stay_out_of_the_joins(spark, tables):
     got = {(r.project_id, r.path): (r.supported, r.insertions, r.deletions, r.modifications, r.aggregate) for r in churned.collect()}
     assert got == {(p, x): (p == 1, None, None, None, None) for p in (1, 2) for x in paths} | {
         (1, "a.c"): (True, 1, 0, 1, 2), (1, "c.c"): (True, 0, 1, 0, 1)}
+
+
+def test_ranges_of_a_patch_are_known_in_its_row(spark):
+    """One shuffle, of a row for each change; patches of one change that come twice are read together, as before."""
+    one = "@@ -1,2 +1,2 @@\n-a\n+b\n c\n@@ -9,0 +9,2 @@\n+x\n+y\n@@ -20 +22 @@\n-z"
+    rows = [(1, "ab12", "p", one), (1, "Name", "p", one), (None, None, None, one), (1, "none", "p", None), (1, "empty", "p", "")]
+    found = ranges.patch_linechanges(spark.createDataFrame(rows, "project_id bigint, sha string, path string, patch string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    expected = [("+", 1, 1), ("+", 9, 10), ("-", 1, 1), ("-", 20, 20)]
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.project_id, r.sha, r.path), []).append((r.kind, r.begin, r.end))
+    assert {k: sorted(v) for k, v in got.items()} == {k[:3]: expected for k in rows[:3]}
+    twice = spark.createDataFrame([(1, "s", "p", "@@ -1 +5,2 @@\n+a\n-b\n+c")] * 2, "project_id bigint, sha string, path string, patch string")
+    got = sorted((r.kind, r.begin, r.end) for r in ranges.patch_linechanges(twice).collect())
+    assert got == [("+", 5, 8), ("-", 1, 2)]
