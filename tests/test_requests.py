@@ -1,6 +1,9 @@
 """Requests read no more than they ask for."""
 
-from commitlens.operators import change, ranges, source
+from pyspark.sql import functions as F
+
+from commitlens.functions.names import packed, unpacked
+from commitlens.operators import change, history, ranges, source
 from commitlens.plans import queries
 from commitlens.sources import testdata
 
@@ -116,3 +119,29 @@ def test_ranges_of_a_patch_are_known_in_its_row(spark):
     twice = spark.createDataFrame([(1, "s", "p", "@@ -1 +5,2 @@\n+a\n-b\n+c")] * 2, "project_id bigint, sha string, path string, patch string")
     got = sorted((r.kind, r.begin, r.end) for r in ranges.patch_linechanges(twice).collect())
     assert got == [("+", 5, 8), ("-", 1, 2)]
+
+
+def test_ranges_and_blame_of_a_change_meet_once(spark):
+    """Deleted ranges and blame are shuffled once; names of any form come back, of two for a line the greater one counts."""
+    key = "project_id bigint, sha string, path string"
+    deleted = spark.createDataFrame([(1, "ab", "p", "-", 1, 4), (1, "Z z", "p", "-", 2, 2), (1, "ab", "p", "+", 9, 9)], f"{key}, kind string, begin bigint, end bigint")
+    blame = spark.createDataFrame([(1, "ab", "p", 1, "0f"), (1, "ab", "p", 2, "0f"), (1, "ab", "p", 3, "Zed"), (1, "ab", "p", 3, "0e"), (1, "Z z", "p", 2, None)], f"{key}, line bigint, last_sha string")
+    found = ranges.last_modifiers(deleted, blame)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "ab", "p", "0f", 1, 2), (1, "ab", "p", "Zed", 3, 3), (1, "Z z", "p", None, 2, 2)], key=str)
+
+
+def test_packed_names_come_back(spark):
+    names = ["", "ab", "abc", "AB", "0" * 40, "né", " 0a", None]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", packed(F.col("n")).alias("p"))
+    got = rows.select("n", unpacked(F.col("p")).alias("u"), F.length("p").alias("size")).collect()
+    assert [r.u for r in got] == names and got[4].size == 21
+    assert rows.select("p").distinct().count() == len(names)
+
+
+def test_before_last_at_once_and_by_buckets(spark):
+    rows = spark.createDataFrame([(k % 3, k // 3 + 1, f"v{k}") for k in range(15)] + [(None, 1, "n")], "k int, nth bigint, v string")
+    once, wide = (history.before_last(rows, ["k"], "nth", "v", last) for last in (5, None))
+    assert sorted(once.collect()) == sorted(wide.collect()) and once.count() == 12
+    assert "Generate" in wide._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in once._jdf.queryExecution().optimizedPlan().toString()
