@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from commitlens.functions.names import packed, unpacked
-from commitlens.operators import change, history, ranges, source
+from commitlens.operators import change, history, people, ranges, source
 from commitlens.plans import queries
 from commitlens.sources import testdata
 
@@ -145,3 +145,21 @@ def test_before_last_at_once_and_by_buckets(spark):
     once, wide = (history.before_last(rows, ["k"], "nth", "v", last) for last in (5, None))
     assert sorted(once.collect()) == sorted(wide.collect()) and once.count() == 12
     assert "Generate" in wide._jdf.queryExecution().optimizedPlan().toString() and "Generate" not in once._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_what_commits_reach_take_one_pass(spark, tables):
+    """Places asked for are sorted with the events, not joined with them again; nulls and names of any form count as before."""
+    commits = [(1, "0a", 1, "A", "a", 1), (1, "Bee", 2, "B", "b", 2), (1, "0c", 3, "A", "a", 3), (1, "0d", 4, None, "n", 4)]
+    parents = [(1, "Bee", "0a", 1), (1, "0c", "0a", 1), (1, "0d", "0c", 1), (1, "0d", "Bee", 2)]
+    changes = [(1, s, p, 3, 1, 1, "x", "y") for s, p in (("0a", "f"), ("Bee", "f"), ("0c", "f"), ("0d", "f"), ("0d", "g"), ("0c", None))]
+    t = tables(commits=(commits, COMMITS), commit_parents=(parents, "project_id bigint, sha string, parent_sha string, parent_no int"), changes=(changes, CHANGES))
+    found = people.pastauthors(t, merges=True)
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.sha, r.path): r.pastauthors for r in found.collect()} == {
+        ("0a", "f"): 0, ("Bee", "f"): 1, ("0c", "f"): 0, ("0d", "f"): 3, ("0d", "g"): 1, ("0c", None): 0
+    }
+    counted = people.pastchanges(t, merges=True)
+    assert "LeftSemi" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.sha, r.path): r.pastchanges for r in counted.collect()} == {
+        ("0a", "f"): 0, ("Bee", "f"): 1, ("0c", "f"): 1, ("0d", "f"): 3, ("0d", "g"): 0, ("0c", None): 0
+    }
